@@ -1 +1,8 @@
 """chronolex: as-of analytics over versioned, provenance-tracked document collections, on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors whole, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
