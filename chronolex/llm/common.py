@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +25,14 @@ def fold_of(doc_id: str | Column, parts: int) -> Column:
 def id_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, so that no other column (however named) reaches an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: Arrow types of the names used in schema strings.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of the schema string."""
+    names, types = zip(*(c.strip().split(" ", 1) for c in schema.split(",")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=ARROW[t]) for c, t in zip(columns, types, strict=True)], list(names))

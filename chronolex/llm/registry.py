@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from chronolex.llm.quality_rules import op7_quality_rules
+from chronolex.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
