@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from chronolex.llm.language_id import op2_language_id
 from chronolex.llm.quality_rules import op7_quality_rules
 from chronolex.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
