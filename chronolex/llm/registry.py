@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from chronolex.llm import decontamination
+from chronolex.llm.decontamination import op10_decontamination
 from chronolex.llm.language_id import op2_language_id
 from chronolex.llm.packing import op9_best_fit_packing
 from chronolex.llm.quality_rules import op7_quality_rules
 from chronolex.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op7_quality_rules, op9_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op7_quality_rules, op9_best_fit_packing, op10_decontamination)}
+ORACLES: dict[str, str] = {"op10_decontamination": decontamination.ORACLE_SQL}
