@@ -9,8 +9,9 @@ from chronolex.llm.jaccard_join import op3_jaccard_join
 from chronolex.llm.language_id import op2_language_id
 from chronolex.llm.license_scan import op6_license_scan
 from chronolex.llm.packing import op9_best_fit_packing
+from chronolex.llm.pii import op4_pii
 from chronolex.llm.quality_rules import op7_quality_rules
 from chronolex.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op5_chat_formatting, op6_license_scan, op7_quality_rules, op9_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_pii, op5_chat_formatting, op6_license_scan, op7_quality_rules, op9_best_fit_packing, op10_decontamination)}
 ORACLES: dict[str, str] = {"op5_chat_formatting": chat_formatting.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
