@@ -37,7 +37,7 @@ from chronolex.storage import load, materialise
 SLOTS = 21
 #: Below so many ids (8 bytes each) a list of candidates is broadcast; a shuffled join takes longer ones.
 BROADCAST_IDS = 1_000_000
-SKETCH = "doc_id long, ck binary, n int, b0 long, b1 long, b2 long, b3 long, pw int, ph long, prefix array<long>"
+SKETCH = "doc_id long, th long, ck binary, n int, b0 long, b1 long, b2 long, b3 long, pw int, ph long, prefix array<long>"
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -79,26 +79,22 @@ def sketches(texts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingle_set(text, size)
                 n = len(h)
                 if not n:
-                    rows.append((doc_id, b"", 0, 0, 0, 0, 0, 0, 0, []))
+                    rows.append((doc_id, th, b"", 0, 0, 0, 0, 0, 0, 0, []))
                     continue
                 key = xxhash.xxh3_128_digest(h.tobytes())
                 parity = np.bincount((h >> 56) & 255, minlength=256) & 1
                 bits = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
                 w = table[h & ((1 << SLOTS) - 1)]
-                keep = n - (9 * n + 9) // 10 + 1
-                if keep < n and keep > 0:
-                    order = np.lexsort((h, w))[:keep]
-                else:
-                    order = np.lexsort((h, w))
+                order = np.lexsort((h, w))[: n - (9 * n + 9) // 10 + 1]
                 first = h[order]
-                rows.append((doc_id, key, n, *bits, int(w[order[-1]]), int(first[-1]), first.tolist()))
+                rows.append((doc_id, th, key, n, *bits, int(w[order[-1]]), int(first[-1]), first.tolist()))
             yield record_batch(rows, SKETCH)
 
-    return texts.mapInArrow(run, SKETCH)
+    return texts.select("doc_id", "text", text_hash().alias("th")).mapInArrow(run, SKETCH)
 
 
 def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -136,8 +132,33 @@ def sizes_fit(a: str, b: str) -> Column:
     return (F.least(a, b) * 10 >= F.greatest(a, b) * 9)
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links at a Jaccard similarity of 0.9 or more."""
+    return _placed(docs, size).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+    """docs with one document of each component: one of smallest doc_id; columns as they are.
+
+    Documents without words are linked with nothing, so they all stay.
+    """
+    placed = materialise(_placed(docs, size), "placed")
+    gone = placed.where("n_shingles > 0 and not first").select("doc_id", "th").distinct()
+    key = "text_hash_of_join"
+    marked = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))))
+    left = marked.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_hash")), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_hash")), "left_anti")
+    again = placed.where("n_shingles > 0 and first").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    return left.dropDuplicates(["doc_id", key]).select(*docs.columns)
+
+
+def _placed(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, first): first marks the class whose document stays."""
     texts = id_text(docs)
     sketched = materialise(sketches(texts, size, rarity(texts, size)), "sketches")
     kept = ["n", "b0", "b1", "b2", "b3", "pw", "ph", "prefix"]
@@ -180,10 +201,11 @@ def jaccard_components(docs: DataFrame, size: int = 3) -> DataFrame:
     # component ids are document ids: the smallest of the classes of a component
     named = classes.select("cid", "ck", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = materialise(named, "named")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = materialise(named.join(smallest, "component").select("ck", "component_id"), "components")
-    found = sketched.select("doc_id", "ck", "n").join(final, "ck", "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("low"))
+    final = materialise(named.join(smallest, "component").select("ck", "component_id", "rep", (F.col("cid") == F.col("low.cid")).alias("winner")), "components")
+    found = sketched.select("doc_id", "th", "ck", "n").join(final, "ck", "left")
+    first = F.coalesce(F.col("winner") & F.col("doc_id").eqNullSafe(F.col("rep")), F.lit(True))
+    return found.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
