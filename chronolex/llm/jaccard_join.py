@@ -3,7 +3,7 @@
 A document's set is that of its distinct word shingles, as 64-bit hashes. Documents with one set form a class.
 Hashes have a global order, rare ones first, and sets of n hashes that share nine tenths must share one of the
 first n - ceil(0.9 n) + 1: the prefix. Classes with the same prefix and size form a group; the index over prefix
-hashes holds groups. Group pairs are filtered by size and by the hashes that the prefixes can't share, then expanded
+hashes holds groups. Group pairs are filtered by size and by how many hashes their prefixes share, then expanded
 to members, filtered by a 256-bit parity bitmap (each differing bit is a differing hash at least) and verified on
 the whole sets.
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import ASCII_LOWER, WORD, id_text, record_batch
+from chronolex.llm.common import id_text, record_batch
 from chronolex.llm.components import components
 from chronolex.storage import load, materialise
 
@@ -42,10 +42,10 @@ SKETCH = "doc_id long, th long, ck binary, n int, b0 long, b1 long, b2 long, b3
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = WORD.findall(text.lower() if text.isascii() else text.translate(ASCII_LOWER)) if text else []
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, dtype=np.int64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
     k = min(size, len(h))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -62,7 +62,7 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
         for b in batches:
             for text in b.column(0).to_pylist():
                 h = shingle_set(text, size)
-                np.add.at(used, h & ((1 << SLOTS) - 1), 1)
+                used[h & ((1 << SLOTS) - 1)] += 1
                 total += len(h)
         many = np.flatnonzero(used > max(5, 4 * total / len(used)))
         yield record_batch(list(zip(many.tolist(), used[many].tolist(), strict=True)), "slot int, n long")
@@ -100,7 +100,8 @@ def sketches(texts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
 def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(cid, hashes) of the wanted classes (cid, ck, rep), read again from one document each."""
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
+    few = wanted.count() <= BROADCAST_IDS
+    if few:
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,8 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield record_batch(rows, "ck binary, hashes array<long>")
 
     sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "ck binary, hashes array<long>")
-    return sets.join(wanted.select("cid", "ck"), "ck").dropDuplicates(["cid"]).select("cid", "hashes")
+    known = wanted.select("cid", "ck")
+    return sets.join(F.broadcast(known) if few else known, "ck").select("cid", "hashes")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -125,13 +127,22 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int)
     wanted = materialise(classes.select("cid", "ck", "rep").join(ends, "cid", "left_semi"), "wanted")
     sets = materialise(whole_sets(texts, wanted, size), "sets")
     both = close.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.where(19 * F.size(F.array_intersect("ha", "hb")) >= 9 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    # a document read twice (its id repeats) gives its pairs twice
+    return both.where(19 * F.size(F.array_intersect("ha", "hb")) >= 9 * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
 def sizes_fit(a: str, b: str) -> Column:
     return (F.least(a, b) * 10 >= F.greatest(a, b) * 9)
 
 
+def enough(c: str, n: str, k: str, other: str) -> Column:
+    """Whether sets of sizes n and other can share nine tenths if c of n's k prefix hashes are in the other's prefix.
+
+    n's is the prefix that ends first, so the other set holds no more of its k hashes; all the rest may be shared.
+    """
+    return 19 * (F.col(c) + F.col(n) - F.col(k)) >= 9 * (F.col(n) + F.col(other))
+
+
 def text_hash() -> Column:
     return F.xxhash64("text", F.length("text"))
 
@@ -169,13 +180,18 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     leaders = keyed.groupBy("g1", "g2").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
     members = materialise(keyed.join(leaders, ["g1", "g2"]).select("cid", "gid", "members"), "members")
     groups = members.where("cid = gid").select("gid", "members").join(classes.select(F.col("cid").alias("gid"), "n", "pw", "ph", "prefix"), "gid")
-    postings = groups.select("gid", "n", "pw", "ph", F.size("prefix").alias("k"), F.explode("prefix").alias("h"))
-    lists = postings.groupBy("h").agg(F.count("*").alias("df"), F.max(F.struct("pw", "ph", "gid")).alias("top")).where("df > 1")
-    lists = materialise(lists.select("h", F.col("top.gid").alias("pivot")), "lists")
-    shared = materialise(postings.join(lists, "h"), "postings")
-
-    # every group to its lists' pivots, and the members of a group to its leader
-    stars = shared.where("gid <> pivot").select(F.col("gid").alias("a"), F.col("pivot").alias("b")).distinct()
+    # one shuffle of (hash, group) serves both the counts and the choice of hashes that several groups have
+    postings = groups.select("gid", F.explode("prefix").alias("h")).repartition("h")
+    several = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    listed = materialise(postings.join(several.select("h"), "h"), "postings")
+    traits = groups.select("gid", "n", "pw", "ph", F.size("prefix").alias("k"))
+    shared = materialise(listed.join(traits, "gid"), "traits")
+    pivots = shared.groupBy("h").agg(F.max(F.struct("pw", "ph", "gid", "n", "k")).alias("top"))
+    pivots = materialise(pivots.select("h", F.col("top.gid").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.k").alias("pivot_k")), "pivots")
+
+    # every group to its lists' pivots, and the members of a group to its leader; a pivot's prefix ends last
+    stars = shared.join(pivots, "h").where("gid <> pivot").groupBy("gid", "pivot", "n", "k", "pivot_n").agg(F.count("*").alias("c"))
+    stars = stars.where(sizes_fit("n", "pivot_n") & enough("c", "n", "k", "pivot_n")).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
     inner = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     first = materialise(verified(stars.union(inner), classes, texts, size), "links")
     labels = materialise(components(first), "labels")
@@ -185,13 +201,14 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     whole = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     alone = shared.groupBy("gid").agg((F.max("k") - F.count("*")).alias("u"))  # prefix hashes that no other group's prefix has
     known = whole.join(alone, "gid").select("gid", "u", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("gid")).alias("component"))
-    ready = materialise(shared.select("h", "gid", "n", "pw", "ph").join(known, "gid"), "ready")
+    ready = materialise(shared.join(known, "gid"), "ready")
     # the one whose prefix ends first can share all but its own hashes
-    x = ready.where("19 * (n - u) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "component")])
+    x = ready.where("19 * (n - u) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "k", "pw", "ph", "u", "component")])
     y = ready.select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "component")])
     earlier = F.struct("x_pw", "x_ph", "x_gid") < F.struct("y_pw", "y_ph", "y_gid")
     fits = sizes_fit("x_n", "y_n") & (19 * (F.col("x_n") - F.col("x_u")) >= 9 * (F.col("x_n") + F.col("y_n")))
-    met = x.join(y, (x.h == y.h) & earlier & fits & (F.col("x_component") != F.col("y_component"))).select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb")).distinct()
+    met = x.join(y, (x.h == y.h) & earlier & fits & (F.col("x_component") != F.col("y_component"))).groupBy("x_gid", "y_gid", "x_n", "x_k", "y_n").agg(F.count("*").alias("c"))
+    met = met.where(enough("c", "x_n", "x_k", "y_n")).select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb"))
     met = met.union(labelled.where("members > 1").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     side = lambda s: labelled.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("component").alias(f"c{s}"))
     rest = met.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b")
