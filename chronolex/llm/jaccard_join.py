@@ -3,13 +3,14 @@
 A document's set is that of its distinct word shingles, as 64-bit hashes. Documents with one set form a class.
 Hashes have a global order, rare ones first, and sets of n hashes that share nine tenths must share one of the
 first n - ceil(0.9 n) + 1: the prefix. Classes with the same prefix and size form a group; the index over prefix
-hashes holds groups. Group pairs are filtered by size and by how many hashes their prefixes share, then expanded
+hashes holds groups. Group pairs are filtered by size and by where in their prefixes they first meet, then expanded
 to members, filtered by a 256-bit parity bitmap (each differing bit is a differing hash at least) and verified on
 the whole sets.
 
 Large families of near copies would make pairs in the square of their size. So each indexed hash first links its
 groups to one pivot, the one with fewest hashes of its own; linked classes get components, and later only pairs of
-different components count, as links inside one change nothing. No pair across components is dropped.
+different components count, as links inside one change nothing. A pair is made only where a run of common hashes
+begins, and of the pairs between two components one is verified first. No pair across components is dropped.
 
 Rarity comes from a table of fixed size, filled by what is common within partitions: any table gives a correct
 order, a good one short lists. Joins on hashes are plain equi-joins over written tables, whose skew Spark splits.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import id_text, record_batch
@@ -117,11 +118,16 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets.join(F.broadcast(known) if few else known, "ck").select("cid", "hashes")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose sets share nine tenths: parity bitmaps first, then the whole sets."""
+def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b, ...) of classes that sizes and parity bitmaps don't rule out, with n_a, n_b, differing."""
     side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(4)])
     differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit("n_a", "n_b") & (differing * 19 <= F.col("n_a") + F.col("n_b")))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differing", differing).where(sizes_fit("n_a", "n_b") & (F.col("differing") * 19 <= F.col("n_a") + F.col("n_b")))
+    return close.drop(*[f"{s}{i}" for s in "ab" for i in range(4)])
+
+
+def same_sets(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those pairs (a, b) of near classes whose whole sets share nine tenths."""
     close = materialise(close.select("a", "b", "n_a", "n_b"), "pairs")
     ends = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct()
     wanted = materialise(classes.select("cid", "ck", "rep").join(ends, "cid", "left_semi"), "wanted")
@@ -181,7 +187,7 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     members = materialise(keyed.join(leaders, ["g1", "g2"]).select("cid", "gid", "members"), "members")
     groups = members.where("cid = gid").select("gid", "members").join(classes.select(F.col("cid").alias("gid"), "n", "pw", "ph", "prefix"), "gid")
     # one shuffle of (hash, group) serves both the counts and the choice of hashes that several groups have
-    postings = groups.select("gid", F.explode("prefix").alias("h")).repartition("h")
+    postings = groups.select("gid", F.posexplode("prefix").alias("pos", "h")).repartition("h")
     several = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     listed = materialise(postings.join(several.select("h"), "h"), "postings")
     traits = groups.select("gid", "n", "pw", "ph", F.size("prefix").alias("k"))
@@ -193,7 +199,7 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     stars = shared.join(pivots, "h").where("gid <> pivot").groupBy("gid", "pivot", "n", "k", "pivot_n").agg(F.count("*").alias("c"))
     stars = stars.where(sizes_fit("n", "pivot_n") & enough("c", "n", "k", "pivot_n")).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
     inner = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    first = materialise(verified(stars.union(inner), classes, texts, size), "links")
+    first = materialise(same_sets(near(stars.union(inner), classes), classes, texts, size), "links")
     labels = materialise(components(first), "labels")
 
     # whatever else can link: pairs of groups that meet in a list and aren't in one component as a whole
@@ -201,19 +207,34 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     whole = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     alone = shared.groupBy("gid").agg((F.max("k") - F.count("*")).alias("u"))  # prefix hashes that no other group's prefix has
     known = whole.join(alone, "gid").select("gid", "u", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("gid")).alias("component"))
-    ready = materialise(shared.join(known, "gid"), "ready")
+    # rank of a hash among the listed ones of its prefix, and the listed one before it
+    order = Window.partitionBy("gid").orderBy("pos")
+    ready = materialise(shared.join(known, "gid").withColumn("rank", F.row_number().over(order)).withColumn("prev", F.lag("h").over(order)), "ready")
     # the one whose prefix ends first can share all but its own hashes
-    x = ready.where("19 * (n - u) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "k", "pw", "ph", "u", "component")])
-    y = ready.select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "component")])
+    x = ready.where("19 * (n - u - rank + 1) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "rank", "prev", "component")])
+    y = ready.where("19 * (n - pos) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "pos", "prev", "component")])
     earlier = F.struct("x_pw", "x_ph", "x_gid") < F.struct("y_pw", "y_ph", "y_gid")
-    fits = sizes_fit("x_n", "y_n") & (19 * (F.col("x_n") - F.col("x_u")) >= 9 * (F.col("x_n") + F.col("y_n")))
-    met = x.join(y, (x.h == y.h) & earlier & fits & (F.col("x_component") != F.col("y_component"))).groupBy("x_gid", "y_gid", "x_n", "x_k", "y_n").agg(F.count("*").alias("c"))
-    met = met.where(enough("c", "x_n", "x_k", "y_n")).select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb"))
+    # a pair is made where a run of common hashes begins; at the first of all, whatever comes before isn't shared
+    begins = F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
+    left = F.least(F.col("x_n") - F.col("x_u") - F.col("x_rank") + 1, F.col("y_n") - F.col("y_pos"))
+    fits = sizes_fit("x_n", "y_n") & (19 * left >= 9 * (F.col("x_n") + F.col("y_n")))
+    met = x.join(y, (x.h == y.h) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")))
+    met = met.select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb")).distinct()
     met = met.union(labelled.where("members > 1").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     side = lambda s: labelled.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("component").alias(f"c{s}"))
-    rest = met.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b")
-    second = verified(rest, classes, texts, size)
-    labels = materialise(components(first.union(second)), "labels")
+    rest = met.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b", "ca", "cb")
+    rest = materialise(near(rest, classes), "near")
+    # one pair of any two components is tried before the others, which mostly lie inside one component then
+    tried = rest.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("differing", "a", "b", "n_a", "n_b", "ca", "cb")).alias("p")).select("p.*")
+    tried = materialise(tried, "tried")
+    second = materialise(same_sets(tried, classes, texts, size), "links")
+    merged = materialise(components(tried.join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "labels")
+    renamed = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c))
+    left_over = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    for c in ("ca", "cb"):
+        left_over = left_over.join(merged.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}")), c, "left")
+    third = same_sets(left_over.where(renamed("ca") != renamed("cb")), classes, texts, size)
+    labels = materialise(components(first.union(second).union(third)), "labels")
 
     # component ids are document ids: the smallest of the classes of a component
     named = classes.select("cid", "ck", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
