@@ -1,8 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set is that of its distinct word shingles, as 64-bit hashes. Documents with one set form a class.
-Hashes have a global order, rare ones first, and sets of n hashes that share nine tenths must share one of the
-first n - ceil(0.9 n) + 1: the prefix. Classes with the same prefix and size form a group; the index over prefix
+Hashes have a global order, rare ones first, and sets of n hashes with a Jaccard similarity of t or more must share
+one of the first n - ceil(t n) + 1: the prefix. t is an exact fraction p / q, from which all filters follow. Classes with the same prefix and size form a group; the index over prefix
 hashes holds groups. Group pairs are filtered by size and by where in their prefixes they first meet, then expanded
 to members, filtered by a 256-bit parity bitmap (each differing bit is a differing hash at least) and verified on
 the whole sets.
@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from chronolex.llm.common import id_text, record_batch
 from chronolex.llm.components import components
 from chronolex.storage import load, materialise
 
+#: op3_jaccard_join links at this similarity.
+LEAST = Fraction(9, 10)
 #: log2 of the slots of the rarity table.
 SLOTS = 21
 #: Below so many ids (8 bytes each) a list of candidates is broadcast; a shuffled join takes longer ones.
@@ -74,8 +77,9 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
     return table
 
 
-def sketches(texts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
+def sketches(texts: DataFrame, size: int, table: np.ndarray, least: Fraction) -> DataFrame:
     """One row for each document: key of its set, size, parity bitmap, last prefix hash and prefix."""
+    p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +94,7 @@ def sketches(texts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
                 parity = np.bincount((h >> 56) & 255, minlength=256) & 1
                 bits = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
                 w = table[h & ((1 << SLOTS) - 1)]
-                order = np.lexsort((h, w))[: n - (9 * n + 9) // 10 + 1]
+                order = np.lexsort((h, w))[: n - (p * n + q - 1) // q + 1]
                 first = h[order]
                 rows.append((doc_id, th, key, n, *bits, int(w[order[-1]]), int(first[-1]), first.tolist()))
             yield record_batch(rows, SKETCH)
@@ -118,52 +122,59 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets.join(F.broadcast(known) if few else known, "ck").select("cid", "hashes")
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
     """Those pairs (a, b, ...) of classes that sizes and parity bitmaps don't rule out, with n_a, n_b, differing."""
     side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(4)])
     differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differing", differing).where(sizes_fit("n_a", "n_b") & (F.col("differing") * 19 <= F.col("n_a") + F.col("n_b")))
+    p, q = least.numerator, least.denominator
+    few = F.col("differing") * (p + q) <= (q - p) * (F.col("n_a") + F.col("n_b"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differing", differing).where(sizes_fit("n_a", "n_b", least) & few)
     return close.drop(*[f"{s}{i}" for s in "ab" for i in range(4)])
 
 
-def same_sets(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those pairs (a, b) of near classes whose whole sets share nine tenths."""
+def same_sets(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """Those pairs (a, b) of near classes whose whole sets have the least similarity or more."""
     close = materialise(close.select("a", "b", "n_a", "n_b"), "pairs")
     ends = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct()
     wanted = materialise(classes.select("cid", "ck", "rep").join(ends, "cid", "left_semi"), "wanted")
     sets = materialise(whole_sets(texts, wanted, size), "sets")
     both = close.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
     # a document read twice (its id repeats) gives its pairs twice
-    return both.where(19 * F.size(F.array_intersect("ha", "hb")) >= 9 * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    return both.where(shares(F.size(F.array_intersect("ha", "hb")), F.col("n_a") + F.col("n_b"), least)).select("a", "b").distinct()
 
 
-def sizes_fit(a: str, b: str) -> Column:
-    return (F.least(a, b) * 10 >= F.greatest(a, b) * 9)
+def sizes_fit(a: str, b: str, least: Fraction) -> Column:
+    return (F.least(a, b) * least.denominator >= F.greatest(a, b) * least.numerator)
 
 
-def enough(c: str, n: str, k: str, other: str) -> Column:
-    """Whether sets of sizes n and other can share nine tenths if c of n's k prefix hashes are in the other's prefix.
+def shares(common: Column, total: Column, least: Fraction) -> Column:
+    """Whether so many common hashes of sets of total hashes together make the least similarity."""
+    return (least.numerator + least.denominator) * common >= least.numerator * total
+
+
+def enough(c: str, n: str, k: str, other: str, least: Fraction) -> Column:
+    """Whether sets of sizes n and other can be similar enough if c of n's k prefix hashes are in the other's prefix.
 
     n's is the prefix that ends first, so the other set holds no more of its k hashes; all the rest may be shared.
     """
-    return 19 * (F.col(c) + F.col(n) - F.col(k)) >= 9 * (F.col(n) + F.col(other))
+    return shares(F.col(c) + F.col(n) - F.col(k), F.col(n) + F.col(other), least)
 
 
 def text_hash() -> Column:
     return F.xxhash64("text", F.length("text"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; links at a Jaccard similarity of 0.9 or more."""
-    return _placed(docs, size).select("doc_id", "n_shingles", "component_id")
+def jaccard_components(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; links at a Jaccard similarity of least or more."""
+    return _placed(docs, size, least).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFrame:
     """docs with one document of each component: one of smallest doc_id; columns as they are.
 
     Documents without words are linked with nothing, so they all stay.
     """
-    placed = materialise(_placed(docs, size), "placed")
+    placed = materialise(_placed(docs, size, least), "placed")
     gone = placed.where("n_shingles > 0 and not first").select("doc_id", "th").distinct()
     key = "text_hash_of_join"
     marked = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))))
@@ -174,10 +185,11 @@ def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
     return left.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
-def _placed(docs: DataFrame, size: int) -> DataFrame:
+def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, first): first marks the class whose document stays."""
+    p, q = least.numerator, least.denominator
     texts = id_text(docs)
-    sketched = materialise(sketches(texts, size, rarity(texts, size)), "sketches")
+    sketched = materialise(sketches(texts, size, rarity(texts, size), least), "sketches")
     kept = ["n", "b0", "b1", "b2", "b3", "pw", "ph", "prefix"]
     classes = sketched.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in kept])
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -197,9 +209,9 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
 
     # every group to its lists' pivots, and the members of a group to its leader; a pivot's prefix ends last
     stars = shared.join(pivots, "h").where("gid <> pivot").groupBy("gid", "pivot", "n", "k", "pivot_n").agg(F.count("*").alias("c"))
-    stars = stars.where(sizes_fit("n", "pivot_n") & enough("c", "n", "k", "pivot_n")).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
+    stars = stars.where(sizes_fit("n", "pivot_n", least) & enough("c", "n", "k", "pivot_n", least)).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
     inner = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    first = materialise(same_sets(near(stars.union(inner), classes), classes, texts, size), "links")
+    first = materialise(same_sets(near(stars.union(inner), classes, least), classes, texts, size, least), "links")
     labels = materialise(components(first), "labels")
 
     # whatever else can link: pairs of groups that meet in a list and aren't in one component as a whole
@@ -211,29 +223,29 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     order = Window.partitionBy("gid").orderBy("pos")
     ready = materialise(shared.join(known, "gid").withColumn("rank", F.row_number().over(order)).withColumn("prev", F.lag("h").over(order)), "ready")
     # the one whose prefix ends first can share all but its own hashes
-    x = ready.where("19 * (n - u - rank + 1) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "rank", "prev", "component")])
-    y = ready.where("19 * (n - pos) >= 9 * (n + (9 * n + 9) div 10)").select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "pos", "prev", "component")])
+    x = ready.where(f"{p + q} * (n - u - rank + 1) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "rank", "prev", "component")])
+    y = ready.where(f"{p + q} * (n - pos) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "pos", "prev", "component")])
     earlier = F.struct("x_pw", "x_ph", "x_gid") < F.struct("y_pw", "y_ph", "y_gid")
     # a pair is made where a run of common hashes begins; at the first of all, whatever comes before isn't shared
     begins = F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
     left = F.least(F.col("x_n") - F.col("x_u") - F.col("x_rank") + 1, F.col("y_n") - F.col("y_pos"))
-    fits = sizes_fit("x_n", "y_n") & (19 * left >= 9 * (F.col("x_n") + F.col("y_n")))
+    fits = sizes_fit("x_n", "y_n", least) & shares(left, F.col("x_n") + F.col("y_n"), least)
     met = x.join(y, (x.h == y.h) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")))
     met = met.select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb")).distinct()
     met = met.union(labelled.where("members > 1").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     side = lambda s: labelled.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("component").alias(f"c{s}"))
     rest = met.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b", "ca", "cb")
-    rest = materialise(near(rest, classes), "near")
+    rest = materialise(near(rest, classes, least), "near")
     # one pair of any two components is tried before the others, which mostly lie inside one component then
     tried = rest.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("differing", "a", "b", "n_a", "n_b", "ca", "cb")).alias("p")).select("p.*")
     tried = materialise(tried, "tried")
-    second = materialise(same_sets(tried, classes, texts, size), "links")
+    second = materialise(same_sets(tried, classes, texts, size, least), "links")
     merged = materialise(components(tried.join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "labels")
     renamed = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c))
     left_over = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     for c in ("ca", "cb"):
         left_over = left_over.join(merged.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}")), c, "left")
-    third = same_sets(left_over.where(renamed("ca") != renamed("cb")), classes, texts, size)
+    third = same_sets(left_over.where(renamed("ca") != renamed("cb")), classes, texts, size, least)
     labels = materialise(components(first.union(second).union(third)), "labels")
 
     # component ids are document ids: the smallest of the classes of a component

@@ -6,6 +6,8 @@ next stage's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolex.llm.decontamination import decontaminate
@@ -22,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by n-gram Jaccard similarity."""
-    return keep_one(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more between sets of five-word shingles."""
+    return keep_one(docs, 5, Fraction(4, 5))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,3 +215,33 @@ def test_pipeline_equals_its_parts(spark):
     assert {r.doc_id for r in rows} == first - leaks
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_pipeline_links_near_copies_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    base = [f"w{i}" for i in range(100)]
+    for k in range(40):  # near copies with up to five changed words
+        w = list(base)
+        for e in range(k % 6):
+            w[(37 * k + 23 * e) % 100] = f"x{k}e{e}"
+        texts[10_000 + k] = " ".join(w)
+    alone = [f"v{i}" for i in range(100)]
+    texts |= {20_000: " ".join(alone), 20_001: " ".join("x" if i in (30, 60) else x for i, x in enumerate(alone)), 20_002: None}
+    sets, parent = {i: shingles(t, 5) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        for j, t in sets.items():
+            if j < i and s and 10 * len(s & t) >= 8 * len(s | t):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert left == {i for i in texts if root(i) == i}
+    assert 20_001 not in left and 20_001 in {r.doc_id for r in jaccard_join.keep_one(docs).collect()}
