@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from chronolex.functions.text import clamp, cosine, normalise, similarity, trigr
 #: The fusion constant and the channels' weights.
 RRF_K = 60
 WEIGHTS = {"lexical": 1.0, "structural": 0.75, "vector": 1.0}
+#: Vectors are compared in blocks of so many queries and of so many rows at most.
+QUERY_BLOCK, ROW_BLOCK = 256, 1024
 
 
 def lexical_search(units: DataFrame, query: str, keys: list[str], limit: int | None = None) -> DataFrame:
@@ -57,6 +62,60 @@ def vector_topk(vectors: DataFrame, query: list[float], key: str, column: str, l
     return scored.orderBy(F.desc("score"), key).limit(clamp(limit, 20, 200))
 
 
+def _blocks(vectors: DataFrame, key: str, column: str, most: int) -> DataFrame:
+    """(dims, ids, data): unit vectors of one length packed as rows; null, zero and non-finite ones are skipped."""
+    schema = "dims int, ids array<long>, data binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def packed(n: int) -> pa.RecordBatch:
+            rows = held.pop(n)
+            m = np.array([v for _, v in rows], dtype=np.float64)
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = np.sqrt((m * m).sum(axis=1))
+            good = np.isfinite(norms) & (norms > 0)
+            ids = [i for (i, _), g in zip(rows, good, strict=True) if g]
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([(m[good] / norms[good, None]).tobytes()], pa.binary())], names=["dims", "ids", "data"])
+
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i is None or not v or None in v:
+                    continue
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) == most:
+                    yield packed(len(v))
+        for n in list(held):
+            yield packed(n)
+
+    return vectors.select(F.col(key).cast("long"), F.col(column).cast("array<double>")).mapInArrow(pack, schema)
+
+
+def vector_topk_batch(queries: DataFrame, vectors: DataFrame, key: str, column: str, limit: int | None = None) -> DataFrame:
+    """(query_id, key, score): exact top-k by cosine of every query over all vectors of its length.
+
+    Blocks of queries meet blocks of vectors; each pair of blocks keeps its own top-k of every query, and these
+    are merged for each query.
+    """
+    k = clamp(limit, 20, 200)
+    schema = f"query_id long, {key} long, score double"
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dims, qi, q, vi, v in zip(*(b.column(c).to_pylist() for c in ("dims", "q_ids", "q_data", "ids", "data")), strict=True):
+                if not qi or not vi:
+                    continue
+                ids, qs = np.array(vi), np.frombuffer(q).reshape(-1, dims)
+                scores = np.round(np.clip(qs @ np.frombuffer(v).reshape(-1, dims).T, -1, 1), 6) + 0.0
+                top = [np.lexsort((ids, -s))[:k] for s in scores]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, [len(t) for t in top]), pa.int64()), pa.array(np.concatenate([ids[t] for t in top]), pa.int64()), pa.array(np.concatenate([s[t] for s, t in zip(scores, top, strict=True)]), pa.float64())], names=["query_id", key, "score"])
+
+    asked = _blocks(queries, key, column, QUERY_BLOCK).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    met = _blocks(vectors, key, column, ROW_BLOCK).crossJoin(asked).where("dims = q_dims").select("dims", "q_ids", "q_data", "ids", "data")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return met.mapInArrow(best, schema).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
+
+
 def ranked(hits: DataFrame, channel: str, key: str, order: list[Column], per: list[str] | None = None) -> DataFrame:
     """Hits of one channel with their rank: hits are a limited list, or limited per query."""
     w = Window.partitionBy(*(per or [])).orderBy(*order)

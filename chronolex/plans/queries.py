@@ -242,6 +242,15 @@ def vector_topk(spark, sf_dir):
     return search.vector_topk(e.where(F.col("label") == q.label), list(q.embedding), "vec_id", "embedding")
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, e q WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+def vector_topk_batch(spark, sf_dir):
+    """Every hundredth vector as a query against all vectors."""
+    e = load(spark, sf_dir, "embeddings")
+    return search.vector_topk_batch(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
+
+
 def _channels(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     lexical = d.where(F.col("text").contains("License")).orderBy("n_chars", "doc_id").limit(50)

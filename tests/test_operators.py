@@ -5,6 +5,7 @@ import json
 import zipfile
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronolex.functions import text as fn
@@ -121,3 +122,22 @@ def test_sources(spark, tmp_path):
     assert got == [("x", True, {}), ("y", False, {"title": ["t"]})]
     (tmp_path / "g.pdf").write_bytes(b"%PDF-1.7 /Type /Sig /ByteRange [0 1]\xff")
     assert rows(readers.pdf_signatures(spark, f"file://{tmp_path}/g.pdf"), "is_pdf", "n_byte_ranges", "n_signatures") == [(True, 1, 1)]
+
+
+def test_vector_topk_of_many_queries(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(3000, 8)).round(1)
+    m[5], m[9] = 0, m[4]  # a zero vector, a tie
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(9000, [1.0, 2.0]), (9001, None)], "id long, e array<float>").repartition(3)
+    asked = v.where("id % 10 = 0")  # 300: more than a block
+    got = {}
+    for r in search.vector_topk_batch(asked, v, "id", "e", 7).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id))
+    assert sorted(got.pop(9000)) == [(-1.0, 9000)]
+    f = m.astype(np.float32).astype(float)
+    good = [i for i in range(3000) if f[i].any()]
+    unit = f[good] / np.sqrt((f[good] ** 2).sum(axis=1))[:, None]
+    for i in range(0, 3000, 10):
+        want = sorted(zip((-np.round(unit @ unit[good.index(i)], 6)).tolist(), good))[:7]
+        assert np.allclose([x[0] for x in sorted(got[i])], [x[0] for x in want], atol=2e-6)
+    assert set(got) == set(range(0, 3000, 10)) and got[0] and {r[1] for r in sorted(got[0])[:1]} == {0}
