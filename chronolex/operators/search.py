@@ -130,6 +130,12 @@ def fuse(hits: DataFrame, key: str, per: list[str] | None = None, weights: dict[
     return best.groupBy(*(per or []), key).agg(F.round(F.sum(table[F.col("channel")] / (F.lit(RRF_K) + F.col("rank"))), 9).alias("score"), F.count("*").alias("n_channels"))
 
 
+def guarded(hits: DataFrame, scope: DataFrame, key: str) -> DataFrame:
+    """Hits with the columns of the scope; a hit outside of it fails the query."""
+    joined = hits.join(scope.withColumn("in_scope", F.lit(True)), key, "left")
+    return joined.where(F.when(F.col("in_scope"), True).otherwise(F.raise_error(F.lit("retrieval hit outside the resolved scope")).cast("boolean"))).drop("in_scope")
+
+
 def budgeted(ranked_rows: DataFrame, group: str, order: str, length: str, key: str, most: int = 8, budget: int = 6000) -> DataFrame:
     """Contexts chosen in rank order: one that would exceed the budget is skipped, later ones may still fit.
 

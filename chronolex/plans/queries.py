@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronolex.functions.identity import content_id, manifest_hash
 from chronolex.functions.text import normalise, quote, similarity, trigrams
 from chronolex.operators import activity, chunk, evidence, linkage, merge, quality, search, temporal, tree, watch
-from chronolex.storage import load
+from chronolex.storage import load, materialise
 from chronolex.streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,15 +286,38 @@ def context_budget(spark, sf_dir):
     return search.budgeted(ranked, "source", "rk", "n_chars", "doc_id")
 
 
+def resolved_documents(spark, sf_dir):
+    """Documents whose revision (the order of their id) is the one resolved on the probe's date, with content to read."""
+    d = load(spark, sf_dir, "documents")
+    contents = d.groupBy(F.col("doc_id").alias("o_orderkey")).agg(F.count("*").alias("n_contents"))
+    r = temporal.resolve_as_of(intervals(spark, sf_dir), contents, probes(spark, sf_dir, PROBES[1:2]), "o_custkey", "o_orderkey", "valid_from", "probe_date")
+    selected = r.where("status = 'resolved' and content_status = 'available'").select(F.col("selected").alias("doc_id"))
+    return d.join(selected, "doc_id", "left_semi")
+
+
+def scoped_channels(spark, sf_dir, scope: DataFrame) -> DataFrame:
+    """The hits of all three channels; each searches the scope only, before its limit."""
+    e = load(spark, sf_dir, "embeddings")
+    lexical = search.lexical_search(scope, "License", ["doc_id"], 50)
+    structural = search.structural_search(scope, {"source": "src0"}, {}, ["doc_id"], 50)
+    inside = e.join(scope.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    vector = search.vector_topk_batch(e.where("vec_id = 0"), inside, "vec_id", "embedding", 50).withColumnRenamed("vec_id", "doc_id")
+    hits = search.ranked(lexical, "lexical", "doc_id", [F.desc("score"), F.col("doc_id")])
+    hits = hits.unionByName(search.ranked(structural, "structural", "doc_id", [F.col("doc_id")]))
+    return hits.unionByName(search.ranked(vector, "vector", "doc_id", [F.desc("score"), F.col("doc_id")]))
+
+
 @query()
 def hybrid_pipeline(spark, sf_dir):
-    """Resolve the scope, search three channels in it, fuse, choose contexts within the budget, validate the scope."""
-    d = load(spark, sf_dir, "documents")
-    scope = d.where("lang = 'en'")
-    fused = search.fuse(_channels(spark, sf_dir), "doc_id").join(scope.select("doc_id", "source", "n_chars"), "doc_id")
+    """Resolve the revisions as of a date, search three channels in their English documents, fuse, choose contexts within the budget, validate the scope.
+
+    Revisions that aren't resolved or have no single content are blocked: they add no document to the scope.
+    """
+    scope = materialise(resolved_documents(spark, sf_dir).where("lang = 'en'"), "scope")
+    fused = search.fuse(scoped_channels(spark, sf_dir, scope), "doc_id")
+    found = search.guarded(fused, scope.select("doc_id", "source", "n_chars", "text"), "doc_id")
     w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    ranked = fused.withColumn("rk", F.row_number().over(w)).where("rk <= 40")
-    chosen = search.budgeted(ranked, "source", "rk", "n_chars", "doc_id")
+    chosen = search.budgeted(found.withColumn("rk", F.row_number().over(w)), "source", "rk", "n_chars", "doc_id")
     return chosen.join(scope.select("doc_id", quote(normalise("text")).alias("quote"), F.sha2("text", 256).alias("sha")), "doc_id")
 
 
@@ -324,8 +347,6 @@ def page_tree_nodes(spark, sf_dir):
 
 @query()
 def page_tree_dq(spark, sf_dir):
-    from chronolex.storage import materialise
-
     return tree.tree_checks(materialise(page_tree_nodes(spark, sf_dir), "nodes"))
 
 

@@ -6,11 +6,13 @@ import zipfile
 from datetime import date
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronolex.functions import text as fn
 from chronolex.functions.identity import content_id
 from chronolex.operators import chunk, linkage, merge, search, temporal, tree, watch
+from chronolex.plans import queries
 from chronolex.sources import readers
 
 
@@ -141,3 +143,26 @@ def test_vector_topk_of_many_queries(spark):
         want = sorted(zip((-np.round(unit @ unit[good.index(i)], 6)).tolist(), good))[:7]
         assert np.allclose([x[0] for x in sorted(got[i])], [x[0] for x in want], atol=2e-6)
     assert set(got) == set(range(0, 3000, 10)) and got[0] and {r[1] for r in sorted(got[0])[:1]} == {0}
+
+
+def test_channels_search_inside_the_scope(spark):
+    sf = "/root/testdata/sf0.01"
+    scope = queries.resolved_documents(spark, sf).where("lang = 'en'")
+    inside = {r.doc_id: r for r in scope.collect()}
+    resolved = {r.selected for r in queries.as_of_resolution(spark, sf).where("probe_date = '1996-01-01' and status = 'resolved'").collect()}
+    assert inside and set(inside) <= resolved
+    hits = {}
+    for r in queries.scoped_channels(spark, sf, scope).collect():
+        hits.setdefault(r.channel, set()).add(r.doc_id)
+    vectors = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert hits.get("lexical", set()) == {i for i, r in inside.items() if "License" in r.text}
+    assert hits["structural"] == {i for i, r in inside.items() if r.source == "src0"}
+    assert hits["vector"] == set(sorted(inside)) & vectors
+    assert {r.doc_id for r in queries.hybrid_pipeline(spark, sf).collect()} <= set(inside)
+
+
+def test_guard_fails_outside_the_scope(spark):
+    hits, scope = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a")], "k long, s string")
+    assert rows(search.guarded(hits.where("k = 1"), scope, "k")) == [(1, "a")]
+    with pytest.raises(Exception, match="outside the resolved scope"):
+        search.guarded(hits, scope, "k").collect()
