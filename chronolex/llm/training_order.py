@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronolex.llm.common import id_text, record_batch
 from chronolex.llm.token_ids import encoder
-from chronolex.storage import load, shared_dir
+from chronolex.storage import load, materialise, shared_dir
 
 SEQUENCES = "part int, pos long, first_doc_id long, n_tokens int, ids binary"
 ROUNDS = 4
@@ -153,5 +153,12 @@ def read_shard(uri: str, shard: int, length: int, first: int = 0, count: int = 1
         return np.frombuffer(f.read(count * 2 * length), dtype="<u2").reshape(-1, length)
 
 
+def written_order(docs: DataFrame, uri: str) -> DataFrame:
+    """Rows of training_order, each with n_slots and n_bytes of its shard, after all shards were written under uri."""
+    ordered = training_order(docs)
+    written = materialise(write_shards(ordered, uri), "shards_written")
+    return ordered.join(F.broadcast(written), "shard").select(*ordered.columns, "n_slots", "n_bytes")
+
+
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(load(spark, sf_dir, "documents"))
+    return written_order(load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/chronolex/shards-{uuid.uuid4().hex}")

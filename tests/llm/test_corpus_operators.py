@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -245,3 +246,18 @@ def test_pipeline_links_near_copies_at_five_words_and_four_fifths(spark):
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert left == {i for i in texts if root(i) == i}
     assert 20_001 not in left and 20_001 in {r.doc_id for r in jaccard_join.keep_one(docs).collect()}
+
+
+def test_the_query_writes_its_shards(spark):
+    def folders():
+        found = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("chronolex/shards-*/")
+        return set(found)
+
+    before = folders()
+    rows = training_order.op8_training_order(spark, SF).collect()
+    (folder,) = folders() - before
+    assert rows and {f.name for f in folder.iterdir()} == {f"shard-{r.shard:08d}.u16" for r in rows}
+    for r in rows:
+        data = (folder / f"shard-{r.shard:08d}.u16").read_bytes()
+        assert len(data) == r.n_bytes == r.n_slots * len(r.ids) and data[r.byte_offset : r.byte_offset + len(r.ids)] == bytes(r.ids)
+    assert len(rows) == sum({r.shard: r.n_slots for r in rows}.values())
