@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.storage import materialise
+
 
 def recent(log: DataFrame, keys: list[str], time: str, row_id: str) -> DataFrame:
     """Count, first and last time and the last row's id of each key."""
@@ -23,7 +25,20 @@ def related_materials(rows: DataFrame, group: str, state: str) -> DataFrame:
 
 
 def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """min, median, nearest-rank p95 (half to even), max and mean of each group."""
-    exact = F.sort_array(F.collect_list(value))
-    s = rows.groupBy(group).agg(exact.alias("v"), F.round(F.avg(value), 6).alias("mean"))
-    return s.select(group, F.element_at("v", 1).alias("lo"), F.element_at("v", -1).alias("hi"), "mean", F.element_at("v", F.bround((F.size("v") - 1) * 0.95, 0).cast("int") + 1).alias("p95"), F.size("v").cast("long").alias("n"))
+    """min, nearest-rank p95 (half to even), max, mean and number of values of each group.
+
+    Equal values are counted first; ranges of (group, value) are ranked by themselves after the totals of the
+    ranges before them, so no task holds a group.
+    """
+    stats = rows.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.round(F.avg(value), 6).alias("mean"), F.count(value).alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = materialise(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "counts")
+    # one row for each group and range
+    parts = counts.groupBy("g", "part").agg(F.sum("c").alias("size"))
+    ends = parts.withColumn("end", F.sum("size").over(Window.partitionBy("g").orderBy("part")))
+    wanted = stats.select(F.col(group).alias("of"), (F.bround((F.col("n") - 1) * 0.95, 0).cast("long") + 1).alias("place"))
+    holds = ends.join(wanted, F.col("g").eqNullSafe(F.col("of"))).where("place > end - size and place <= end").select("of", F.col("part").alias("at"), (F.col("place") - F.col("end") + F.col("size")).alias("place"))
+    inside = counts.join(holds, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    up_to = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("of", "part").orderBy("v")))
+    p95 = up_to.where("upto >= place").groupBy("of").agg(F.min("v").alias("p95"))
+    return stats.join(p95, F.col(group).eqNullSafe(F.col("of")), "left").select(group, "lo", "hi", "mean", "p95", "n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import text as fn
 from chronolex.functions.identity import content_id
-from chronolex.operators import chunk, linkage, merge, search, temporal, tree, watch
+from chronolex.operators import activity, chunk, linkage, merge, search, temporal, tree, watch
 from chronolex.plans import queries
 from chronolex.sources import readers
 
@@ -166,3 +166,16 @@ def test_guard_fails_outside_the_scope(spark):
     assert rows(search.guarded(hits.where("k = 1"), scope, "k")) == [(1, "a")]
     with pytest.raises(Exception, match="outside the resolved scope"):
         search.guarded(hits, scope, "k").collect()
+
+
+def test_latency_stats_hold_no_group(spark):
+    rng = np.random.default_rng(5)
+    data = [(g, float(x)) for g, n in (("a", 2000), ("b", 11), (None, 30), ("d", 1)) for x in rng.integers(0, 500, n)] + [("a", None), ("e", None)]
+    d = spark.createDataFrame(data, "g string, v double").repartition(5)
+    out = activity.latency_stats(d, "g", "v")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = []
+    for g in ("a", "b", None, "d"):
+        v = sorted(x for k, x in data if k == g and x is not None)
+        want.append((g, v[0], v[-1], v[round((len(v) - 1) * 0.95)], len(v)))
+    assert rows(out, "g", "lo", "hi", "p95", "n") == sorted([*want, ("e", None, None, None, 0)], key=repr)
