@@ -12,8 +12,9 @@ groups to one pivot, the one with fewest hashes of its own; linked classes get c
 different components count, as links inside one change nothing. A pair is made only where a run of common hashes
 begins, and of the pairs between two components one is verified first. No pair across components is dropped.
 
-Rarity comes from a table of fixed size, filled by what is common within partitions: any table gives a correct
-order, a good one short lists. Joins on hashes are plain equi-joins over written tables, whose skew Spark splits.
+Rarity comes from two tables of fixed size: of word counts, whose logs add up to what a shingle of independent words
+would have, and of shingles that are common within some partition: any tables give a correct order, good ones short
+lists. Lists are split by size, as sets of too different sizes can't be similar. Joins on hashes are plain equi-joins over written tables, whose skew Spark splits.
 
 Defined results: null or wordless text has an empty set, no link and its own doc_id as component; fewer words
 than a shingle make one shingle. Repeated rows are linked by their equal sets. An empty table gives no rows; other
@@ -23,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -33,59 +35,101 @@ from pyspark.sql import functions as F
 
 from chronolex.llm.common import id_text, record_batch
 from chronolex.llm.components import components
-from chronolex.storage import load, materialise
+from chronolex.storage import discard, load, materialise
 
 #: op3_jaccard_join links at this similarity.
 LEAST = Fraction(9, 10)
-#: log2 of the slots of the rarity table.
-SLOTS = 21
+#: log2 of the slots of the tables of shingles and of words.
+SLOTS, WORD_SLOTS = 21, 20
+#: Hashes that a batch of sets or prefixes holds before it is handed on.
+BATCH = 500_000
 #: Below so many ids (8 bytes each) a list of candidates is broadcast; a shuffled join takes longer ones.
 BROADCAST_IDS = 1_000_000
 SKETCH = "doc_id long, th long, ck binary, n int, b0 long, b1 long, b2 long, b3 long, pw int, ph long, prefix array<long>"
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
+def words_hashed(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's words, in order."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
+
+
+def shingled(h: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the shingles of these words, in order."""
     k = min(size, len(h))
+    if not k:
+        return np.zeros(0, dtype=np.int64)
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique((out * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+    return (out * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """A byte for each slot of hashes: the log of how many documents use it, where that is many in some partition."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    return np.unique(shingled(words_hashed(text), size))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, total = np.zeros(1 << SLOTS, dtype=np.int32), 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                h = shingle_set(text, size)
-                used[h & ((1 << SLOTS) - 1)] += 1
-                total += len(h)
-        many = np.flatnonzero(used > max(5, 4 * total / len(used)))
-        yield record_batch(list(zip(many.tolist(), used[many].tolist(), strict=True)), "slot int, n long")
 
-    table = np.zeros(1 << SLOTS, dtype=np.uint8)
-    for r in texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[r.slot] = min(255, round(8 * np.log2(1 + r["n"])))
-    return table
+@dataclass
+class Rarity:
+    """Tables of fixed size, a byte (log of a count) for each slot of hashes: of words, and of shingles that are common somewhere."""
+
+    words: np.ndarray
+    shingles: np.ndarray
+
+    def weights(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The set of these words and each member's weight, larger for what is expected to be more common.
+
+        A shingle's weight is the sum of its words' logs, as of independent words; common ones come after all others.
+        """
+        k = min(size, len(h))
+        found, at = np.unique(shingled(h, size), return_index=True)
+        own = self.words[(h & np.uint64(len(self.words) - 1)).astype(np.int64)].astype(np.int32)
+        total = sum(own[i : len(h) - k + 1 + i] for i in range(k)) if k else own
+        return found, total[at] + 4096 * self.shingles[found & (len(self.shingles) - 1)].astype(np.int32)
 
 
-def sketches(texts: DataFrame, size: int, table: np.ndarray, least: Fraction) -> DataFrame:
+def rarity(texts: DataFrame, size: int) -> Rarity:
+    """Words counted in hashed slots (those a partition has once aside), and shingles where they are many in some partition."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, used, total = np.zeros(1 << WORD_SLOTS, dtype=np.int32), np.zeros(1 << SLOTS, dtype=np.int32), 0
+        for b in batches:
+            for text in b.column(0):
+                h = words_hashed(text.as_py())
+                if len(h):
+                    np.add.at(words, (h & np.uint64(len(words) - 1)).astype(np.int64), 1)
+                    s = np.unique(shingled(h, size))
+                    used[s & (len(used) - 1)] += 1
+                    total += len(s)
+        for table, counts, least in ((0, words, 1), (1, used, max(5, 4 * total / len(used)))):
+            many = np.flatnonzero(counts > least)
+            for i in range(0, len(many), 50_000):
+                part = many[i : i + 50_000]
+                slots = pa.array(part.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), table, dtype=np.int32)), slots, pa.array(counts[part].astype(np.int64))], ["of", "slot", "n"])
+
+    tables = [np.zeros(1 << WORD_SLOTS, dtype=np.uint8), np.zeros(1 << SLOTS, dtype=np.uint8)]
+    summed = texts.select("text").mapInArrow(count, "of int, slot int, n long").groupBy("of", "slot").agg(F.sum("n").alias("n"))
+    logs = F.least(F.lit(255), F.round(8 * F.log2(1 + F.col("n")))).cast("int")
+    block = F.shiftright("slot", 12)  # rows to the driver: one a block, 2 ** (WORD_SLOTS - 12) + 2 ** (SLOTS - 12) at most
+    blocks = summed.select("of", block.alias("block"), F.struct("slot", logs.alias("w")).alias("x")).groupBy("of", "block").agg(F.collect_list("x.slot").alias("slots"), F.collect_list("x.w").alias("ws"))
+    for r in blocks.toLocalIterator():
+        tables[r.of][np.array(r.slots)] = r.ws
+    return Rarity(*tables)
+
+
+def sketches(texts: DataFrame, size: int, table: Rarity, least: Fraction) -> DataFrame:
     """One row for each document: key of its set, size, parity bitmap, last prefix hash and prefix."""
     p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = shingle_set(text, size)
+            rows, held = [], 0
+            for doc_id, text, th in zip(*b.columns, strict=True):
+                doc_id, th, words = doc_id.as_py(), th.as_py(), words_hashed(text.as_py())
+                h, w = table.weights(words, size)
                 n = len(h)
                 if not n:
                     rows.append((doc_id, th, b"", 0, 0, 0, 0, 0, 0, 0, []))
@@ -93,10 +137,13 @@ def sketches(texts: DataFrame, size: int, table: np.ndarray, least: Fraction) ->
                 key = xxhash.xxh3_128_digest(h.tobytes())
                 parity = np.bincount((h >> 56) & 255, minlength=256) & 1
                 bits = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
-                w = table[h & ((1 << SLOTS) - 1)]
                 order = np.lexsort((h, w))[: n - (p * n + q - 1) // q + 1]
                 first = h[order]
                 rows.append((doc_id, th, key, n, *bits, int(w[order[-1]]), int(first[-1]), first.tolist()))
+                held += len(first)
+                if held > BATCH:
+                    yield record_batch(rows, SKETCH)
+                    rows, held = [], 0
             yield record_batch(rows, SKETCH)
 
     return texts.select("doc_id", "text", text_hash().alias("th")).mapInArrow(run, SKETCH)
@@ -109,13 +156,21 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     if few:
         ids = F.broadcast(ids)
 
+    def batch(sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))], ["ck", "hashes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text in b.column(0).to_pylist():
-                h = shingle_set(text, size)
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()), h.tolist()))
-            yield record_batch(rows, "ck binary, hashes array<long>")
+            sets, held = [], 0
+            for text in b.column(0):
+                sets.append(shingle_set(text.as_py(), size))
+                held += len(sets[-1])
+                if held > BATCH:
+                    yield batch(sets)
+                    sets, held = [], 0
+            yield batch(sets)
 
     sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "ck binary, hashes array<long>")
     known = wanted.select("cid", "ck")
@@ -140,7 +195,9 @@ def same_sets(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     sets = materialise(whole_sets(texts, wanted, size), "sets")
     both = close.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
     # a document read twice (its id repeats) gives its pairs twice
-    return both.where(shares(F.size(F.array_intersect("ha", "hb")), F.col("n_a") + F.col("n_b"), least)).select("a", "b").distinct()
+    same = materialise(both.where(shares(F.size(F.array_intersect("ha", "hb")), F.col("n_a") + F.col("n_b"), least)).select("a", "b").distinct(), "links")
+    discard(close, wanted, sets)
+    return same
 
 
 def sizes_fit(a: str, b: str, least: Fraction) -> Column:
@@ -179,10 +236,12 @@ def keep_one(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFra
     key = "text_hash_of_join"
     marked = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))))
     left = marked.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_hash")), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_hash")), "left_anti")
-    again = placed.where("n_shingles > 0 and first").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    again = placed.where("n_shingles > 0 and first").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_hash"))
     if again.isEmpty():
         return left.select(*docs.columns)
-    return left.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    repeated = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_hash"))
+    once = left.join(again, repeated, "left_semi").dropDuplicates(["doc_id", key])
+    return left.join(again, repeated, "left_anti").union(once).select(*docs.columns)
 
 
 def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
@@ -204,6 +263,7 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     listed = materialise(postings.join(several.select("h"), "h"), "postings")
     traits = groups.select("gid", "n", "pw", "ph", F.size("prefix").alias("k"))
     shared = materialise(listed.join(traits, "gid"), "traits")
+    discard(listed)
     pivots = shared.groupBy("h").agg(F.max(F.struct("pw", "ph", "gid", "n", "k")).alias("top"))
     pivots = materialise(pivots.select("h", F.col("top.gid").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.k").alias("pivot_k")), "pivots")
 
@@ -211,7 +271,7 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     stars = shared.join(pivots, "h").where("gid <> pivot").groupBy("gid", "pivot", "n", "k", "pivot_n").agg(F.count("*").alias("c"))
     stars = stars.where(sizes_fit("n", "pivot_n", least) & enough("c", "n", "k", "pivot_n", least)).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
     inner = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    first = materialise(same_sets(near(stars.union(inner), classes, least), classes, texts, size, least), "links")
+    first = same_sets(near(stars.union(inner), classes, least), classes, texts, size, least)
     labels = materialise(components(first), "labels")
 
     # whatever else can link: pairs of groups that meet in a list and aren't in one component as a whole
@@ -230,16 +290,21 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     begins = F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
     left = F.least(F.col("x_n") - F.col("x_u") - F.col("x_rank") + 1, F.col("y_n") - F.col("y_pos"))
     fits = sizes_fit("x_n", "y_n", least) & shares(left, F.col("x_n") + F.col("y_n"), least)
-    met = x.join(y, (x.h == y.h) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")))
+    # sizes that fit lie in one class of log(n) / log(1 / t) or in two neighbouring ones
+    size_class = lambda n: F.floor(F.log(F.col(n)) / (float(np.log(q / p)) or 1.0) + 1e-9)
+    x = x.withColumn("size_class", F.explode(F.array(*[size_class("x_n") + i for i in (-1, 0, 1)])))
+    y = y.withColumn("size_class", size_class("y_n"))
+    met = x.join(y, (x.h == y.h) & (x.size_class == y.size_class) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")))
     met = met.select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb")).distinct()
     met = met.union(labelled.where("members > 1").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     side = lambda s: labelled.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("component").alias(f"c{s}"))
     rest = met.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b", "ca", "cb")
     rest = materialise(near(rest, classes, least), "near")
+    discard(ready, shared, pivots)
     # one pair of any two components is tried before the others, which mostly lie inside one component then
     tried = rest.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("differing", "a", "b", "n_a", "n_b", "ca", "cb")).alias("p")).select("p.*")
     tried = materialise(tried, "tried")
-    second = materialise(same_sets(tried, classes, texts, size, least), "links")
+    second = same_sets(tried, classes, texts, size, least)
     merged = materialise(components(tried.join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "labels")
     renamed = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c))
     left_over = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
