@@ -45,6 +45,7 @@ SLOTS, WORD_SLOTS = 21, 20
 BATCH = 500_000
 #: Below so many ids (8 bytes each) a list of candidates is broadcast; a shuffled join takes longer ones.
 BROADCAST_IDS = 1_000_000
+BITS = ("b0", "b1", "b2", "b3")
 SKETCH = "doc_id long, th long, ck binary, n int, b0 long, b1 long, b2 long, b3 long, pw int, ph long, prefix array<long>"
 
 
@@ -177,14 +178,23 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets.join(F.broadcast(known) if few else known, "ck").select("cid", "hashes")
 
 
+def differing(a: list[str], b: list[str]) -> Column:
+    """Number of bits in which two bitmaps differ."""
+    bits = [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)]
+    return sum(bits[1:], bits[0])
+
+
+def few_differ(bits: Column, total: Column, least: Fraction) -> Column:
+    """Whether sets of total hashes can have the least similarity if so many hashes at least are in one of them only."""
+    return bits * (least.numerator + least.denominator) <= (least.denominator - least.numerator) * total
+
+
 def near(pairs: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
     """Those pairs (a, b, ...) of classes that sizes and parity bitmaps don't rule out, with n_a, n_b, differing."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(4)])
-    differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    p, q = least.numerator, least.denominator
-    few = F.col("differing") * (p + q) <= (q - p) * (F.col("n_a") + F.col("n_b"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differing", differing).where(sizes_fit("n_a", "n_b", least) & few)
-    return close.drop(*[f"{s}{i}" for s in "ab" for i in range(4)])
+    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in BITS])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differing", differing([f"a_{c}" for c in BITS], [f"b_{c}" for c in BITS]))
+    close = joined.where(sizes_fit("n_a", "n_b", least) & few_differ(F.col("differing"), F.col("n_a") + F.col("n_b"), least))
+    return close.drop(*[f"{s}_{c}" for s in "ab" for c in BITS])
 
 
 def same_sets(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int, least: Fraction) -> DataFrame:
@@ -278,13 +288,15 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     whole = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     alone = shared.groupBy("gid").agg((F.max("k") - F.count("*")).alias("u"))  # prefix hashes that no other group's prefix has
-    known = whole.join(alone, "gid").select("gid", "u", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("gid")).alias("component"))
+    # the bitmap of a group of one class; larger groups are filtered once they are expanded
+    bits = members.where("members = 1").select("gid").join(classes.select(F.col("cid").alias("gid"), *BITS), "gid")
+    known = whole.join(alone, "gid").join(bits, "gid", "left").select("gid", "u", *BITS, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("gid")).alias("component"))
     # rank of a hash among the listed ones of its prefix, and the listed one before it
     order = Window.partitionBy("gid").orderBy("pos")
     ready = materialise(shared.join(known, "gid").withColumn("rank", F.row_number().over(order)).withColumn("prev", F.lag("h").over(order)), "ready")
     # the one whose prefix ends first can share all but its own hashes
-    x = ready.where(f"{p + q} * (n - u - rank + 1) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "rank", "prev", "component")])
-    y = ready.where(f"{p + q} * (n - pos) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "pos", "prev", "component")])
+    x = ready.where(f"{p + q} * (n - u - rank + 1) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "rank", "prev", "component", *BITS)])
+    y = ready.where(f"{p + q} * (n - pos) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "pos", "prev", "component", *BITS)])
     earlier = F.struct("x_pw", "x_ph", "x_gid") < F.struct("y_pw", "y_ph", "y_gid")
     # a pair is made where a run of common hashes begins; at the first of all, whatever comes before isn't shared
     begins = F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
@@ -294,7 +306,8 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     size_class = lambda n: F.floor(F.log(F.col(n)) / (float(np.log(q / p)) or 1.0) + 1e-9)
     x = x.withColumn("size_class", F.explode(F.array(*[size_class("x_n") + i for i in (-1, 0, 1)])))
     y = y.withColumn("size_class", size_class("y_n"))
-    met = x.join(y, (x.h == y.h) & (x.size_class == y.size_class) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")))
+    close = F.coalesce(few_differ(differing([f"x_{b}" for b in BITS], [f"y_{b}" for b in BITS]), F.col("x_n") + F.col("y_n"), least), F.lit(True))
+    met = x.join(y, (x.h == y.h) & (x.size_class == y.size_class) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")) & close)
     met = met.select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb")).distinct()
     met = met.union(labelled.where("members > 1").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     side = lambda s: labelled.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("component").alias(f"c{s}"))
