@@ -1,7 +1,8 @@
 """Token ids of a byte-level BPE vocabulary, for use inside tasks.
 
 The vocabulary is the tokenizer's JSON file (a parameter, as public_tokenizers.path gives it). Ids equal those
-of the tokenizers library for that file with encode_special_tokens set: tests compare them. Text is cut at single
+of the tokenizers library for that file as it comes: strings of added tokens in a text become their ids (with
+special=False they are ordinary text, as with the library's encode_special_tokens). Text is cut at single
 blanks between non-blank characters, where no token of this pre-tokenisation can reach across; the pieces' ids
 come from a bounded cache, and new pieces from tiktoken with the same vocabulary.
 """
@@ -52,16 +53,26 @@ class _Pieces(dict):
 class Encoder:
     """Whole texts to ids, as bytes of unsigned 32-bit little-endian numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        added = {t["content"] for t in spec.get("added_tokens", ())}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        if any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take blanks or word borders into account aren't supported")
+        self.top = max([*spec["model"]["vocab"].values(), *added.values()])
+        self._added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()} if special else {}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self._encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._pieces = _Pieces(self._encode)
 
     def __call__(self, text: str) -> bytes:
+        if self._added and any(t in text for t in self._added):
+            return b"".join(self._added[x] if i % 2 else self._plain(x) for i, x in enumerate(self._cut.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         parts = text.split(" ")
