@@ -4,8 +4,10 @@ Documents become token ids with an end token; each input partition's stream is c
 (the last is filled up with the end token). Counting the partitions' sequences numbers them all, and a keyed Feistel
 permutation over the next power of four, walked until it falls below their number, gives each its global slot: a
 random order that needs no shuffle to know, can be inverted, and is the same for one key. Sequences are
-partitioned by range of slots and sorted, so a shard holds consecutive slots at one stride: reading from any slot
-on is one seek (read_shard). write_shards writes such files, each whole or not at all, and leaves finished ones alone.
+partitioned by range of slots (slots are dense, so each partition gets exactly one shard's range) and sorted, so a
+shard holds consecutive slots at one stride: reading from any slot on is one seek (read_shard). write_shards writes
+such files, each whole or not at all, with a manifest of its own (key, length, end token, number of sequences,
+vocabulary, checksum); a shard whose manifest and size are those to be written is left alone, any other is written anew.
 
 Defined results: null or empty text is one end token. Repeated rows are written each. An empty table gives no
 sequence. Other columns are ignored.
@@ -13,7 +15,11 @@ sequence. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +44,8 @@ def sequences(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
+        if max(encode.top, end) > 0xFFFF:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
         last = np.array([end], dtype="<u4").tobytes()
         buffer, first, pos = bytearray(), None, 0
         for b in batches:
@@ -87,9 +95,14 @@ def permuted(index: np.ndarray, total: int, key: int) -> np.ndarray:
 
 def training_order(docs: DataFrame, path: str | None = None, length: int = 2048, end: int = 2, key: int = 20240501, shard_slots: int = 4096) -> DataFrame:
     """(slot, shard, byte_offset, first_doc_id, n_tokens, ids_crc32, ids), range-partitioned and sorted by slot."""
+    return _ordered(docs, path or public_tokenizers.path("byte_bpe_50k.json"), length, end, key, shard_slots)[0]
+
+
+def _ordered(docs: DataFrame, path: str, length: int, end: int, key: int, shard_slots: int) -> tuple[DataFrame, int]:
+    """The rows of training_order and the number of sequences."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/chronolex/sequences-{uuid.uuid4().hex}"
-    made = sequences(docs, path or public_tokenizers.path("byte_bpe_50k.json"), length, end)
+    made = sequences(docs, path, length, end)
     made.write.option("compression", "zstd").parquet(out)
     kept = spark.read.schema(made.schema).parquet(out)
     counts = sorted((r.part, r["n"]) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row an input partition
@@ -105,44 +118,69 @@ def training_order(docs: DataFrame, path: str | None = None, length: int = 2048,
 
     placed = kept.withColumn("slot", slot("part", "pos"))
     shard = F.floor(F.col("slot") / shard_slots).cast("long")
-    ranged = placed.withColumn("shard", shard).repartitionByRange(max(1, -(-total // shard_slots)), "shard").sortWithinPartitions("slot")
-    return ranged.select("slot", "shard", ((F.col("slot") % shard_slots) * 2 * length).alias("byte_offset"), "first_doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
+    ranged = placed.withColumn("shard", shard).repartitionById(max(1, -(-total // shard_slots)), F.col("shard").cast("int")).sortWithinPartitions("slot")
+    return ranged.select("slot", "shard", ((F.col("slot") % shard_slots) * 2 * length).alias("byte_offset"), "first_doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids"), total
+
+
+WRITTEN = "slot long, shard long, byte_offset long, first_doc_id long, n_tokens int, ids_crc32 long, n_slots long, n_bytes long"
 
 
-def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
+def write_shards(ordered: DataFrame, uri: str, made_of: dict) -> DataFrame:
     """Writes the shards as files shard-<number>.u16 under uri (anything pyarrow's file systems open).
 
-    Returns (shard, n_slots, n_bytes). A file appears under its name only when it is whole; one that is there
-    with its full size is not written again, so a stopped job goes on where it was.
+    Returns the rows without their ids, each with n_slots and n_bytes of its shard. made_of says what the sequences
+    were made with; with the shard's size and checksum it is the manifest, in manifest/shard-<number>.json. The
+    file appears under its name only when it is whole, the manifest after it. A file of the size and checksum that
+    its manifest says, equal to those to be written, isn't written again, so a stopped job goes on where it was.
     """
-    schema = "shard long, n_slots long, n_bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(uri)
-        files.create_dir(root, recursive=True)
+        files.create_dir(f"{root}/manifest", recursive=True)
+        kept: list[pa.RecordBatch] = []
         current, parts = None, []
 
+        def put(name: str, data: bytes) -> None:
+            temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(temporary) as f:
+                f.write(data)
+            files.move(temporary, name)
+
         def close() -> pa.RecordBatch:
-            name, data = f"{root}/shard-{current:08d}.u16", b"".join(parts)
-            there = files.get_file_info(name)
-            if there.type != fs.FileType.File or there.size != len(data):
-                temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
-                with files.open_output_stream(temporary) as f:
-                    f.write(data)
-                files.move(temporary, name)
-            return record_batch([(current, len(parts), len(data))], schema)
+            data = b"".join(parts)
+            name, manifest = f"{root}/shard-{current:08d}.u16", f"{root}/manifest/shard-{current:08d}.json"
+            says = json.dumps(made_of | {"shard": current, "n_bytes": len(data), "crc32": zlib.crc32(data)}, sort_keys=True).encode()
+            there, said = files.get_file_info([name, manifest])
+            known = said.type == fs.FileType.File and said.size == len(says) and there.size == len(data)
+            if known:
+                with files.open_input_file(manifest) as f:
+                    known = f.read() == says
+            if not known:
+                if said.type == fs.FileType.File:
+                    files.delete_file(manifest)  # what it says no longer holds
+                put(name, data)
+                put(manifest, says)
+            rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            sizes = [pa.array(np.full(rows.num_rows, n, dtype=np.int64)) for n in (len(parts), len(data))]
+            return pa.RecordBatch.from_arrays([*rows.columns, *sizes], [*rows.schema.names, "n_slots", "n_bytes"])
 
         for b in batches:
-            for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if shard != current and parts:
+            shards = b.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if int(shards[lo]) != current and parts:
                     yield close()
-                    parts = []
-                current = shard
-                parts.append(ids)
+                    parts, kept = [], []
+                current = int(shards[lo])
+                own = b.slice(lo, hi - lo)
+                parts += own.column(6).to_pylist()
+                kept.append(own.select(range(6)))
         if parts:
             yield close()
 
-    return ordered.select("shard", "ids").mapInArrow(run, schema)
+    return ordered.mapInArrow(run, WRITTEN)
 
 
 def read_shard(uri: str, shard: int, length: int, first: int = 0, count: int = 1) -> np.ndarray:
@@ -153,11 +191,24 @@ def read_shard(uri: str, shard: int, length: int, first: int = 0, count: int = 1
         return np.frombuffer(f.read(count * 2 * length), dtype="<u2").reshape(-1, length)
 
 
-def written_order(docs: DataFrame, uri: str) -> DataFrame:
-    """Rows of training_order, each with n_slots and n_bytes of its shard, after all shards were written under uri."""
-    ordered = training_order(docs)
-    written = materialise(write_shards(ordered, uri), "shards_written")
-    return ordered.join(F.broadcast(written), "shard").select(*ordered.columns, "n_slots", "n_bytes")
+def written_order(docs: DataFrame, uri: str, path: str | None = None, length: int = 2048, end: int = 2, key: int = 20240501, shard_slots: int = 4096) -> DataFrame:
+    """(slot, shard, byte_offset, first_doc_id, n_tokens, ids_crc32, n_slots, n_bytes) after all shards were written under uri.
+
+    The ids are in the shards: of each row at its byte_offset. Shards of an earlier, longer order are removed.
+    """
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    ordered, total = _ordered(docs, path, length, end, key, shard_slots)
+    with open(path, "rb") as f:
+        vocabulary = hashlib.sha256(f.read()).hexdigest()
+    made_of = {"key": key, "length": length, "end": end, "shard_slots": shard_slots, "total": total, "vocabulary_sha256": vocabulary}
+    written = materialise(write_shards(ordered, uri, made_of), "shards_written")
+    files, root = fs.FileSystem.from_uri(uri)
+    if files.get_file_info(root).type == fs.FileType.Directory:
+        for f in files.get_file_info(fs.FileSelector(root, recursive=True)):
+            number = re.fullmatch(r"shard-(\d{8})\.(u16|json)", f.base_name)
+            if number and int(number[1]) * shard_slots >= total:
+                files.delete_file(f.path)
+    return written
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
