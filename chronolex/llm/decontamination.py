@@ -8,7 +8,7 @@ grows with the document and finds short items in long texts. Documents and items
 candidates, and are verified by the exact containment of the item's shingles in the text.
 
 A bitmap of fixed size drops hashes that no sketch holds before anything is shuffled; it never drops a true one.
-Texts are keyed by a hash, so copies are verified once. DataFrame functions only.
+Texts are keyed by 128 bits of hashes, so copies are verified once. DataFrame functions only.
 
 Defined results: null or empty text contains nothing; an item without words is contained in nothing. An item of
 fewer words than a shingle is one shingle of all its words. Repeated items are separate; rows with one id and the
@@ -41,7 +41,8 @@ def shingles(words: Column, size: int, of: str) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    return F.xxhash64(text, F.length(text))
+    """128 bits of a text, as hexadecimal digits; null for a null text."""
+    return F.when(text.isNotNull(), F.concat(F.hex(F.xxhash64(text)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), text))))
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
