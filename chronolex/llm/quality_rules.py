@@ -3,7 +3,8 @@
 Each language's reference is a histogram of character classes and one of common words, summed over all
 documents of that language. A document is compared with every reference by Jensen-Shannon distance (square
 root of the base-2 divergence, 0 to 1) and judged by its nearest one; short documents are not judged, as
-their histograms say little. One scan counts, a second one scores; only the references (bounded) reach the driver.
+their histograms say little. One scan finds which words can be common, a second one counts them whole, a third one
+scores; only the references (bounded) reach the driver. Results don't depend on how rows are partitioned.
 
 Defined results: null or empty text has zero counts, no distance, base_failed true (fewer than 50 words).
 No row with a language: no references, so the divergence never fails a document. Repeated rows are scored
@@ -90,44 +91,66 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
                 yield text, lang
 
 
+class Frequent:
+    """Counts of frequent words in bounded memory: each is too low by slack at most, and words left out have slack at most."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.slack, self.total, self.counts = most, 0, 0, Counter()
+
+    def add(self, words: list[str]) -> None:
+        self.counts.update(words)
+        self.total += len(words)
+        if len(self.counts) > self.most:
+            cut = sorted(self.counts.values())[len(self.counts) // 2]
+            self.slack += cut
+            self.counts = Counter({w: n - cut for w, n in self.counts.items() if n > cut})
+
+    def at_least(self, share: float) -> list[str]:
+        """Every word with that share of all words, and maybe some with less."""
+        return [w for w, n in self.counts.items() if n + self.slack >= share * self.total]
+
+
 def references(docs: DataFrame, limits: Limits) -> dict:
     """Per language: distribution over CLASSES, the common words and their distribution (last place: all other words).
 
-    Every partition counts all its words and passes on those that make at least an eighth of common_share of
-    its words of the language (1,600 at most), with the number of all words. Where a common word is rarer than
-    that in some partition, its sum lacks those few occurrences; they count as other words.
+    A word with a share of all words of a language has that share in some partition, so the words that reach
+    common_share in a partition hold all common ones (1 / common_share a partition, and few more). These are counted
+    in all documents.
     """
     share = limits.common_share
     named = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Frequent] = defaultdict(Frequent)
         chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), dtype=np.int64))
-        counts: dict[str, Counter] = defaultdict(Counter)
-        total: Counter = Counter()
         for text, lang in _pairs(batches):
+            found[lang].add(text.lower().split())
             chars[lang] += char_histogram(text)
-            words = text.lower().split()
-            counts[lang].update(words)
-            total[lang] += len(words)
-            if len(counts[lang]) > 300_000:  # bounds memory: drops words below a hundredth of the cut
-                floor = total[lang] * share / 800
-                counts[lang] = Counter({w: n for w, n in counts[lang].items() if n >= floor})
         rows = [(lang, f"c{i}", int(n)) for lang, h in chars.items() for i, n in enumerate(h)]
-        rows += [(lang, "t", n) for lang, n in total.items()]
-        rows += [(lang, f"w{w}", n) for lang, c in counts.items() for w, n in c.items() if n * 8 >= share * total[lang]]
-        if rows:
-            yield record_batch(rows, "lang string, what string, n long")
+        rows += [(lang, "t", f.total) for lang, f in found.items()]
+        rows += [(lang, f"w{w}", 0) for lang, f in found.items() for w in f.at_least(share)]
+        yield record_batch(rows, "lang string, what string, n long")
 
-    out: dict = {}
-    summed = named.mapInArrow(count, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n")).collect()
     by: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in summed:
+    for r in named.mapInArrow(candidates, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n")).collect():
         by[r.lang][r.what] = r.n
+    wanted = {lang: frozenset(k[1:] for k in got if k[0] == "w") for lang, got in by.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for text, lang in _pairs(batches):
+            counts[lang].update(filter(wanted.get(lang, frozenset()).__contains__, text.lower().split()))
+        yield record_batch([(lang, w, n) for lang, c in counts.items() for w, n in c.items()], "lang string, word string, n long")
+
+    if any(wanted.values()):
+        for r in named.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+            by[r.lang]["w" + r.word] = r.n
+    out: dict = {}
     for lang, got in sorted(by.items()):
         chars = np.array([got.get(f"c{i}", 0) for i in range(len(CLASSES))], dtype=float)
         total = got.get("t", 0)
         common = sorted(k[1:] for k, n in got.items() if k[0] == "w" and n >= share * total)
-        hist = np.array([got[f"w{w}"] for w in common] + [0.0])
+        hist = np.array([float(got[f"w{w}"]) for w in common] + [0.0])
         hist[-1] = total - hist.sum()
         if chars.sum() and total:
             out[lang] = (chars / chars.sum(), common, hist / total)
