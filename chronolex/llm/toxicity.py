@@ -7,8 +7,8 @@ Each hit has the reliability measured for its kind (exact, stem, one edit, two e
 window: quotation marks or words of reporting around it lower it, address to a person raises it. A document's
 score is the noisy-or of its hits, or the share of toxic documents among those without a hit.
 
-Fit: a bounded sample of labelled rows (Sample), copies collapsed by a minhash so that one copied text can't
-make its own words look toxic. Scoring reads every whole text; nothing but the text is an input.
+Fit: a bounded sample of labelled rows (Sample), near copies collapsed by minhashes (the row of least id stays) so
+that one copied text can't make its own words look toxic. Scoring reads every whole text; nothing but the text is an input.
 
 Defined results: null, empty or letterless text gets the score of documents without a hit. Labels that are
 null are ignored; with no toxic label at all, every score is 0. Repeated documents are scored one by one;
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import fold_of, id_text, record_batch
@@ -37,7 +37,9 @@ QUOTES = frozenset("\"“”„«»‘’")
 REPORTING = frozenset("said says wrote called quoted quote reported according sagte schrieb zitierte laut dit écrit cité selon dijo escribió citó según".split())
 ADDRESS = frozenset("you your you're u ur du dich dein ihr tu te vous votre toi tú usted vosotros eres".split())
 PUNCTUATION = " .,;:!?()[]{}<>\"“”„«»‘’'*_-…\n\t"
-MINHASH = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Odd multipliers of the minhashes: bands of two, then those that similarity is estimated by.
+MINHASH = (np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+BANDS = 2
 EXACT, STEM, ONE_EDIT, TWO_EDITS = range(4)
 #: Reliability believed of each kind before any evidence, worth two documents.
 PRIOR = (0.9, 0.8, 0.6, 0.4)
@@ -45,11 +47,10 @@ PRIOR = (0.9, 0.8, 0.6, 0.4)
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the fit: labelled rows of either class, terms of the lexicon; least evidence for a term (in nats)."""
+    """Bounds of the fit: labelled rows of either class; least evidence for a term (in nats)."""
 
     toxic: int = 5000
     clean: int = 15000
-    terms: int = 2000
     evidence: float = 18.0
     purity: float = 0.95
 
@@ -207,20 +208,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> DataFra
     share = {k: math.ceil(1_000_000 * most / max(1, counts.get(k, 0))) for k, most in ((1, sample.toxic), (0, sample.clean))}
     chosen = known.where(drawn < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
 
+    schema = "doc_id long, text string, toxic int, k0 long, k1 long, sketch array<long>"
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = text.lower().split()
-                h = np.array([xxhash.xxh3_64_intdigest(" ".join(x)) for x in zip(w, w[1:], w[2:], strict=False)] or [xxhash.xxh3_64_intdigest(text)], dtype=np.uint64)
-                rows.append((text, toxic, *(int((h * m >> np.uint64(1)).min()) for m in MINHASH)))
-            yield record_batch(rows, "text string, toxic int, k0 long, k1 long, k2 long, k3 long")
+                h = np.array([xxhash.xxh3_64_intdigest(" ".join(x).encode("utf-8", "surrogatepass")) for x in zip(w, w[1:], w[2:], strict=False)] or [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))], dtype=np.uint64)
+                low = [int(((h * m) >> np.uint64(1)).min()) for m in MINHASH]
+                bands = [xxhash.xxh3_64_intdigest(np.array(low[2 * i : 2 * i + 2], dtype="<u8").tobytes()) >> 1 for i in range(BANDS)]
+                rows.append((doc_id, text, toxic, *bands, low[2 * BANDS :]))
+            yield record_batch(rows, schema)
 
     # the chosen ids are bounded by the sample's parameters, so this broadcast is
-    rows = id_text(docs).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = rows.mapInArrow(keyed, "text string, toxic int, k0 long, k1 long, k2 long, k3 long")
-    for k in range(len(MINHASH)):  # near copies agree in one of the minhashes almost surely
-        rows = rows.dropDuplicates([f"k{k}", "toxic"])
+    rows = id_text(docs).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(keyed, schema)
+    for k in range(BANDS):  # a row goes if it agrees with the first one of its band in half of the other minhashes
+        first = Window.partitionBy("toxic", f"k{k}").orderBy("doc_id", "text")
+        rows = rows.withColumn("lead", F.first("sketch").over(first)).withColumn("rank", F.row_number().over(first))
+        agree = F.aggregate(F.zip_with("sketch", "lead", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+        rows = rows.where((F.col("rank") == 1) | (agree < (len(MINHASH) - 2 * BANDS) // 2)).drop("lead", "rank")
     return materialise(rows.select("text", "toxic"), "toxicity")
 
 
@@ -247,7 +254,7 @@ def learn(rows: DataFrame, sample: Sample) -> Model:
     least = max(3, math.ceil(sample.evidence / max(0.3, math.log(1 / base)))) if base < 1 else 3
     stats = rows.mapInArrow(frequencies, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     pure = stats.where((F.col("toxic") >= least) & (F.col("toxic") >= sample.purity * (F.col("toxic") + F.col("clean"))))
-    found = pure.orderBy(F.desc("toxic"), "gram").limit(sample.terms).collect()
+    found = pure.orderBy("gram").collect()  # bounded by the sample: every one is in several of its rows
     terms = {w: allowed_edits(w) for w in sorted(r.gram[1:] for r in found if r.gram[0] == "=")}
     stems: list[str] = []
     for s in sorted((r.gram for r in found if r.gram[0] != "="), key=len):
