@@ -2,8 +2,9 @@
 
 A text becomes a normalised TF-IDF vector over hashed character n-grams (one to three letters, words padded by
 a space). Every language has several centroids, clustered by spherical k-means; a text gets the language of the
-centroid of largest cosine. Its distance decides on rejection: a text whose cosine lies below what training texts
-of about its length reach is rejected (column rejected), but still gets its nearest language.
+centroid of largest cosine. Its distance decides on rejection: a text whose cosine lies well below what labelled
+texts of about its length reach, measured on rows that no centroid was fitted to, is rejected (column rejected), but
+still gets its nearest language.
 
 Fit: document frequencies and centroids come from a bounded sample of labelled rows for each language (Fit), drawn by
 a hash of the id; the rest of the labelled rows isn't needed. Scoring reads every whole text.
@@ -38,17 +39,18 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the fit: rows drawn of each language, centroids of each, rounds of k-means; languages at most.
+    """Bounds of the fit: rows drawn of each language, centroids of each, rounds of k-means.
 
-    reject_quantile and reject_margin: a text is rejected if its cosine is below that quantile of the training
-    texts of its length class, less the margin.
+    One of five of the drawn rows is kept from the centroids and shows what unseen texts reach. Of their cosines in a
+    length class, low is the reject_quantile and middle the median: a text is rejected below
+    low - reject_tail * (middle - low) - reject_margin.
     """
 
-    rows: int = 1500
+    rows: int = 2000
     centroids: int = 4
     rounds: int = 12
-    languages: int = 500
     reject_quantile: float = 0.001
+    reject_tail: float = 1.0
     reject_margin: float = 0.05
 
 
@@ -66,29 +68,39 @@ def _letter_table() -> np.ndarray:
 FOLD = _letter_table()
 
 
-def _counts(piece: str) -> tuple[np.ndarray, int]:
+def _folded(piece: str) -> np.ndarray:
     codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    folded = np.where(codes < 0x10000, FOLD[np.minimum(codes, 0xFFFF)], codes)
-    letters = int((folded != 32).sum())
-    if not letters:
-        return np.zeros(SIZE), 0
-    x = np.concatenate(([32], folded, [32])).astype(np.uint32)
-    x = x[np.concatenate(([True], (x[1:] != 32) | (x[:-1] != 32)))]  # runs of other characters count as one space
-    one, shift = x * np.uint32(0x9E3779B1), np.uint32(32 - BITS)
-    two = (one[:-1] ^ (x[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-    three = (two[:-1] ^ (x[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
-    return sum(np.bincount(h >> shift, minlength=SIZE) for h in (one, two, three)).astype(float), letters
+    return np.where(codes < 0x10000, FOLD[np.minimum(codes, 0xFFFF)], codes).astype(np.uint32)
+
+
+def _grams(before: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Counts of the one- to three-grams that end in x; before holds the (up to two) codes ahead of it."""
+    k, all_ = len(before), np.concatenate((before, x))
+    one, shift = all_ * np.uint32(0x9E3779B1), np.uint32(32 - BITS)
+    two = (one[:-1] ^ (all_[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+    three = (two[:-1] ^ (all_[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
+    own = (one[k:], two[max(0, k - 1) :], three[max(0, k - 2) :])
+    return sum(np.bincount(h >> shift, minlength=SIZE) for h in own).astype(float)
 
 
 def vector(text: str | None) -> tuple[np.ndarray | None, int]:
-    """Damped n-gram counts of the whole text and its number of letters; None without letters."""
+    """Damped n-gram counts of the whole text and its number of letters; None without letters.
+
+    Words have a space on either side; runs of other characters count as one space. A long text is read in
+    pieces, each with the two codes before it, so pieces change nothing.
+    """
     if not text:
         return None, 0
-    total, letters = np.zeros(SIZE), 0
+    total, letters, before = np.zeros(SIZE), 0, np.zeros(0, dtype=np.uint32)
     for i in range(0, len(text), PIECE):
-        counts, n = _counts(text[i : i + PIECE])
-        total += counts
-        letters += n
+        x = _folded(text[i : i + PIECE])
+        letters += int((x != 32).sum())
+        ends = ([32] if i == 0 else [], [32] if i + PIECE >= len(text) else [])
+        x = np.concatenate((ends[0], x, ends[1])).astype(np.uint32)
+        last = before[-1] if len(before) else 0
+        x = x[(x != 32) | (np.concatenate(([last], x[:-1])) != 32)]
+        total += _grams(before, x)
+        before = np.concatenate((before, x))[-2:]
     return (np.log1p(total), letters) if letters else (None, 0)
 
 
@@ -115,15 +127,13 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, fit: Fit) -> DataFrame:
-    """(lang, text) rows to learn from: about fit.rows of each language, drawn by a hash of the id."""
+    """(lang, text, kept) rows to learn from: about fit.rows of each language, drawn by a hash of the id; kept ones calibrate."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where((fold_of("doc_id", 3) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit.languages).collect()
-    if not counts:
-        return known.select("lang", "text").limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, fit.rows / r.n)])
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
     drawn = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    kept = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(5)) == 0
+    return known.join(F.broadcast(counts), "lang").where(drawn * F.col("n") < fit.rows).select("lang", "text", kept.alias("kept"))
 
 
 def learn(docs: DataFrame, fit: Fit) -> Model:
@@ -140,7 +150,8 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
         if n:
             yield record_batch([(i, int(x)) for i, x in enumerate(df) if x] + [(-1, n)], "slot int, n long")
 
-    df = {r.slot: r["n"] for r in rows.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    learned = rows.where("not kept")
+    df = {r.slot: r["n"] for r in learned.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     n = df.pop(-1, 0)
     idf = np.zeros(SIZE)
     for slot, x in df.items():
@@ -169,7 +180,7 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
         kept = c[own >= max(2, 0.01 * len(x))] if (own >= max(2, 0.01 * len(x))).any() else c
         return pd.DataFrame({"lang": [key[0]] * len(kept), "weights": [row.astype("<f4").tobytes() for row in kept]})
 
-    found = sorted(rows.groupBy("lang").applyInPandas(cluster, "lang string, weights binary").collect(), key=lambda r: (r.lang, bytes(r.weights)))
+    found = sorted(learned.select("lang", "text").groupBy("lang").applyInPandas(cluster, "lang string, weights binary").collect(), key=lambda r: (r.lang, bytes(r.weights)))
     languages = sorted({r.lang for r in found})
     centroids = np.array([np.frombuffer(r.weights, dtype="<f4") for r in found], dtype=float).reshape(len(found), SIZE)
     owner = np.array([languages.index(r.lang) for r in found], dtype=int)
@@ -186,13 +197,14 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
                     out.append((min(LENGTHS - 1, vector(text)[1].bit_length()), score))
             yield record_batch(out, "length int, score double")
 
-    got = rows.select("text").mapInArrow(cosines, "length int, score double").groupBy("length").agg(F.expr(f"percentile_approx(score, {fit.reject_quantile}, 10000)").alias("low")).collect()
-    low = {r.length: r.low for r in got}
-    floor, least = np.zeros(LENGTHS), 1.0
+    seen = rows.where("kept").select("text").mapInArrow(cosines, "length int, score double").groupBy("length")
+    got = seen.agg(F.expr(f"percentile_approx(score, array({fit.reject_quantile}, 0.5), 10000)").alias("q")).collect()
+    low = {r.length: r.q[0] - fit.reject_tail * (r.q[1] - r.q[0]) - fit.reject_margin for r in got}
+    least = None
     for length in reversed(range(LENGTHS)):  # shorter texts never face a higher bar than longer ones
-        least = min(least, low.get(length, least if least < 1 else 1.0))
-        floor[length] = max(0.0, (least if least < 1 else 0.0) - fit.reject_margin)
-    model.floor = floor
+        if length in low:
+            least = low[length] if least is None else min(least, low[length])
+        model.floor[length] = max(0.0, least if least is not None else min(low.values(), default=0.0))
     return model
 
 
