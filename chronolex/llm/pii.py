@@ -3,9 +3,11 @@
 The patterns find e-mail addresses, IP addresses, card and phone numbers. The field labels tokens (runs of
 non-blank characters) by word-shape features of the token and its neighbours; it is trained here on a small table
 made from the forms below, by gradient ascent on the exact likelihood, and decoded by Viterbi over padded numpy
-batches. A span can begin only at (or right before) a token with a digit, an @ or a mark of disguise, so only the
-tokens within a few places of such a token are decoded: all others are outside for certain. Spans of the field that touch one of
-the patterns' are dropped; the patterns' spans always stay.
+batches. It adds what the patterns miss: disguised addresses, numbers of other layouts, card numbers with a wrong
+digit, and a fifth kind, secrets (access tokens, keys, passwords) by the words before them. By definition a span
+begins only at (or right before) a token with a digit, an @ or a mark of disguise and stays within REACH tokens of
+one; so only those tokens are decoded, in whole runs, however long, with the features of their true neighbours. Spans
+of the field that touch one of the patterns' are dropped; the patterns' spans always stay.
 
 Defined results: null text counts as empty; empty text has no spans. Repeated rows are scanned one by one. Every
 pattern is scanned in time linear in the text, so very long texts and runs of one character are no danger.
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from chronolex.llm.common import id_text, record_batch
 from chronolex.storage import load
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds that patterns find.
+BASE_KINDS = 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only begin where a run of digits does, as it takes runs whole; the look-behind keeps long runs linear
@@ -84,17 +88,22 @@ def joined(spans: list[Span]) -> str:
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
 TOKEN = re.compile(r"\S+")
+HEX = re.compile(r"[0-9A-Fa-f]{16,}")
 DISGUISE = re.compile(r"[\[({<](?:at|AT|dot|DOT)[\])}>]")
 TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|AT|dot|DOT)[\])}>]")
 REACH = 3
-CUES = frozenset("call phone tel mobile fax card visa mastercard number account ip address server host mail email e-mail contact write version page year token password section room".split())
-#: Forms of the training table; # is a digit, @w a made-up word.
+CUES = frozenset("call phone tel mobile fax card visa mastercard number account ip address server host mail email e-mail contact write version page year token password section room secret key api_key apikey passwd pwd bearer commit revision checksum".split())
+#: Marks that stand around a token without being part of it.
+EDGES = ".,;:!?\"'#*$%&|<>"
+#: Forms of the training table; # is a digit, @w a made-up word, @h hexadecimal digits, @k letters and
+#: digits; what is before ~ only tells of the span.
 FORMS = {
     "email": ("@w@@w.com", "@w.@w@@w.org", "@w [at] @w.com", "@w(at)@w.de", "@w [at] @w [dot] com", "@w @ @w.com", "@w_##@@w.example.com", "@w##@mail#.@w.net"),
     "ip": ("##.###.#.##", "###.##.###.#", "###[.]##[.]#[.]##", "##.##.##.##:80##"),
     "card": ("#### #### #### ####", "################", "####-####-####-####", "####.####.####.####", "#### ###### #####"),
     "phone": ("+# (###) ###-####", "(###) ###-####", "###-###-####", "###.###.####", "+## ## ########", "0## #######", "+##-###-#######"),
-    "O": ("#.#", "####", "##.", "##:##", "####-##-##", "$##.##", "##%", "(##)", "#,###", "@w#", "v#.#.#", "@w=@h", "token = \"@h\"", "password=@h", "#/#/####", "##########", "[#]", "#.#.#", "@w @w", "BY-NC #.#", "Version #.#.", "################", "№##"),
+    "secret": ('token = "~@h"', 'token = "~@h"', "~token=@h", "password = '~@k'", "password: ~@k", 'api_key = "~@k"', "secret: ~@h", "secret key ~@k", "bearer ~@h", "Token: ~@h", "~password=@k", "key = ~@k"),
+    "O": ("commit @h", "checksum @h", "#.#", "####", "##.", "##:##", "####-##-##", "$##.##", "##%", "(##)", "#,###", "@w#", "v#.#.#", "#/#/####", "##########", "[#]", "#.#.#", "@w @w", "BY-NC #.#", "Version #.#.", "№##", "#####################", "token @w", "password @w", "the key of @w"),
 }
 #: What stands around them.
 AROUND = ("{}", "call {} now", "my number is {} thanks", "write to {} or not", "the server {} was down", "paid with {} yesterday", "@w @w {} @w", "@w, {}, @w @w", "contact: {}.", "@w {}. @w @w", "see page {} of @w", "in {} the @w")
@@ -102,12 +111,12 @@ AROUND = ("{}", "call {} now", "my number is {} thanks", "write to {} or not", "
 
 def shape(token: str) -> str:
     """Letters, digits and marks as A, a, 9 and themselves; runs longer than four are cut to four."""
-    out = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", token[:40])))
+    out = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", token)))
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1", out)
 
 
 def trimmed(token: str) -> str:
-    return token.strip(".,;:!?\"'")
+    return token.strip(EDGES)
 
 
 def features(tokens: list[str]) -> list[list[str]]:
@@ -116,9 +125,10 @@ def features(tokens: list[str]) -> list[list[str]]:
     out = []
     for i, core in enumerate(cores):
         digits = sum(c.isdigit() for c in core)
-        own = [f"s={shapes[i]}", f"d={min(digits, 20)}", f"l={min(len(core), 24)}", "bias"]
+        own = [f"s={shapes[i][:16]}", f"d={min(digits, 20)}", f"l={min(len(core), 24)}", "bias"]
         own += ["@"] if "@" in core else []
-        own += ["hex"] if digits and len(core) > 11 and any(c.isalpha() for c in core) else []
+        own += ["mixed"] if digits and len(core) > 11 and any(c.isalpha() for c in core) else []
+        own += ["hex"] if digits and HEX.fullmatch(core) else []
         own += ["disguise"] if DISGUISE.search(core) else []
         own += ["dots=" + str(min(4, core.count(".")))] if digits else []
         own += ["luhn"] if 14 <= digits <= 19 and luhn(re.sub(r"\D", "", core)) else []
@@ -126,8 +136,10 @@ def features(tokens: list[str]) -> list[list[str]]:
             j = i + d
             near = shapes[j] if 0 <= j < len(cores) else "|"
             own.append(f"{d}s={near if any(c in '9@[(' for c in near) else 'w' if near != '|' else near}")
-            if 0 <= j < len(cores) and cores[j].lower() in CUES:
-                own.append(f"{d}c={cores[j].lower()}")
+            if 0 <= j < len(cores) and (cue := cores[j].lower()) in CUES:
+                own.append(f"{d}c={cue}")
+        head = re.match(r"([A-Za-z_]+)\W", core)
+        own += [f"h={head[1].lower()}"] if head and head[1].lower() in CUES else []
         out.append(own)
     return out
 
@@ -139,30 +151,32 @@ def allowed_starts(tokens: list[str]) -> np.ndarray:
 
 
 def training_table(rows: int = 1500, seed: int = 7) -> list[tuple[list[str], list[int]]]:
-    """Token and label sequences made from the forms."""
+    """Token and label sequences made from the forms; some in capitals, some with marks at their words."""
     rng = np.random.default_rng(seed)
-    word = lambda: "".join(rng.choice(list("aeioulnrst")) for _ in range(rng.integers(2, 9)))
-    hexes = lambda: "".join(rng.choice(list("0123456789abcdef")) for _ in range(rng.integers(16, 40)))
-    fill = lambda form: re.sub(r"@h", lambda _: hexes(), re.sub(r"@w", lambda _: word(), re.sub(r"#", lambda _: str(rng.integers(0, 10)), form)))
+    some = lambda letters, least, most: "".join(rng.choice(list(letters)) for _ in range(rng.integers(least, most)))
+    fillers = {"@h": lambda: some("0123456789abcdef", 16, 42), "@k": lambda: some("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", 10, 30) + some("0123456789", 1, 3), "@w": lambda: some("aeioulnrst", 2, 9), "#": lambda: some("0123456789", 1, 2)}
+    fill = lambda form: re.sub(r"@[hkw]|#", lambda m: fillers[m[0]](), form)
     out = []
     for _ in range(rows):
         kind = rng.choice(["O", "O", *KINDS])
-        filled = fill(rng.choice(FORMS[kind]))
-        if kind == "card" and not luhn(re.sub(r"\D", "", filled)):
-            at = max(i for i, c in enumerate(filled) if c.isdigit())
-            filled = next(f for f in (filled[:at] + str(d) + filled[at + 1 :] for d in range(10)) if luhn(re.sub(r"\D", "", f)))
         before, _, after = rng.choice(AROUND).partition("{}")
-        text = fill(before) + filled + fill(after)
-        lo = text.index(filled)
-        hi = lo + len(filled)
-        tokens, labels, inside = [], [], False
-        for m in TOKEN.finditer(text):
-            tokens.append(m[0])
-            if kind != "O" and m.start() < hi and m.end() > lo:
-                labels.append(1 + 2 * KINDS.index(kind) + inside)
-                inside = True
-            else:
-                labels.append(0)
+        text, spans = fill(before), []
+        for n in range(2 if kind in ("card", "ip", "phone") and rng.random() < 0.15 else 1):  # some follow each other
+            cue, _, value = fill(rng.choice(FORMS[kind])).rpartition("~")
+            if kind == "card" and rng.random() < 0.7 and not luhn(re.sub(r"\D", "", value)):  # the rest have a wrong digit
+                at = max(i for i, c in enumerate(value) if c.isdigit())
+                value = next(f for f in (value[:at] + str(d) + value[at + 1 :] for d in range(10)) if luhn(re.sub(r"\D", "", f)))
+            text += " " * (n > 0) + cue
+            spans.append((len(text), len(text) + len(value)))
+            text += value
+        tokens, labels, last = [], [], None
+        marks, capitals = rng.random() < 0.1, rng.random() < 0.1
+        for m in TOKEN.finditer(text + fill(after)):
+            token = m[0].upper() if capitals else m[0]
+            tokens.append(token + str(rng.choice(["###", "$$$", "%%%", "&&&", "***", "!!"])) if marks else token)
+            span = next((x for x in spans if m.start() < x[1] and m.end() > x[0]), None) if kind != "O" else None
+            labels.append(0 if span is None else 1 + 2 * KINDS.index(kind) + (span == last))
+            last = span
         out.append((tokens, labels))
     return out
 
@@ -181,13 +195,13 @@ class Field:
     def __init__(self, index: dict[str, int], emission: np.ndarray, transition: np.ndarray):
         self.index, self.emission, self.transition = index, emission, transition
 
-    def scores(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Emission scores (sequence, place, label), padded, and lengths."""
-        lengths = np.array([len(s) for s in sequences])
+    def scores(self, sequences: list[list[str]], ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Emission scores (sequence, place, label) of the ranges' tokens, padded, and lengths."""
+        lengths = np.array([hi - lo for lo, hi in ranges])
         out = np.zeros((len(sequences), lengths.max(), N))
-        for i, tokens in enumerate(sequences):
-            starts = allowed_starts(tokens)
-            for t, own in enumerate(features(tokens)):
+        for i, (tokens, (lo, hi)) in enumerate(zip(sequences, ranges, strict=True)):
+            starts = allowed_starts(tokens)[lo:hi]
+            for t, own in enumerate(features(tokens)[lo:hi]):
                 ids = [self.index[f] for f in own if f in self.index]
                 out[i, t] = self.emission[ids].sum(axis=0)
                 if not starts[t]:
@@ -195,11 +209,10 @@ class Field:
             out[i, 0, 2::2] = -1e9
         return out, lengths
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Best label sequences by Viterbi, all sequences at once."""
-        e, lengths = self.scores(sequences)
+    def decode(self, sequences: list[list[str]], ranges: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
+        """Best label sequences of the ranges (or all) by Viterbi, all sequences at once."""
+        e, lengths = self.scores(sequences, ranges or [(0, len(s)) for s in sequences])
         best, back = e[:, 0], np.zeros(e.shape, dtype=np.int8)
-        ends = [best.argmax(axis=1)]
         history = [best]
         for t in range(1, e.shape[1]):
             through = best[:, :, None] + self.transition[None]
@@ -278,8 +291,8 @@ def trained() -> Field:
     return train(training_table())
 
 
-def windows(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
-    """Token windows (with places) around every token that can begin a span."""
+def windows(text: str) -> list[tuple[list[str], tuple[int, int], list[tuple[int, int]]]]:
+    """Token windows around every token that can begin a span, with two tokens of context: tokens, range, places."""
     if not TRIGGER.search(text):
         return []
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -292,28 +305,36 @@ def windows(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
             out[-1][1] = hi
         else:
             out.append([lo, hi])
-    cut = [(a, min(b, a + 200)) for lo, hi in out for a in range(lo, hi, 200) for b in (hi,)]
-    return [([text[s:e] for s, e in tokens[a:b]], tokens[a:b]) for a, b in cut]
+    found = []
+    for lo, hi in out:
+        first = max(0, lo - 2)
+        found.append(([text[s:e] for s, e in tokens[first : hi + 2]], (lo - first, hi - first), tokens[lo:hi]))
+    return found
 
 
-def added_spans(found: list[tuple[str, list[Span]]], field: Field, batch: int = 256) -> list[list[Span]]:
-    """Per text: spans of the field that touch none of the base spans."""
-    work = [(i, w, places) for i, (text, _) in enumerate(found) for w, places in windows(text)]
+def added_spans(found: list[tuple[str, list[Span]]], field: Field, most_cells: int = 20_000) -> list[list[Span]]:
+    """Per text: spans of the field that touch none of the base spans. A batch holds so many padded tokens, or one window."""
+    work = [(i, *w) for i, (text, _) in enumerate(found) for w in windows(text)]
     out: list[list[Span]] = [[] for _ in found]
-    work.sort(key=lambda x: len(x[1]))
-    for k in range(0, len(work), batch):
-        part = work[k : k + batch]
-        for (i, tokens, places), path in zip(part, field.decode([w for _, w, _ in part]), strict=True):
+    work.sort(key=lambda x: len(x[3]))
+    while work:
+        n = 1
+        while n < len(work) and (n + 1) * len(work[n][3]) <= most_cells:
+            n += 1
+        part, work = work[:n], work[n:]
+        for (i, tokens, (lo, hi), places), path in zip(part, field.decode([w[1] for w in part], [w[2] for w in part]), strict=True):
             text, base = found[i]
+            own = tokens[lo:hi]
             t = 0
             while t < len(path):
                 if path[t] % 2 == 1:
                     kind, end = path[t] // 2, t + 1
                     while end < len(path) and path[end] == path[t] + 1:
                         end += 1
-                    s = places[t][0] + len(tokens[t]) - len(tokens[t].lstrip(".,;:!?\"'"))
-                    e = places[end - 1][0] + len(tokens[end - 1].rstrip(".,;:!?\"'"))
-                    if s < e and not any(bs < e and s < be for bs, _, be in base):
+                    s = places[t][0] + len(own[t]) - len(own[t].lstrip(EDGES))
+                    e = places[end - 1][0] + len(own[end - 1].rstrip(EDGES))
+                    at = bisect_left(base, (e,)) - 1  # base spans of a kind don't overlap; those of others may
+                    if s < e and not any(bs < e and s < be for bs, _, be in base[: at + 1]):
                         out[i].append((s, int(kind), e))
                     t = end
                 else:
@@ -329,14 +350,15 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
 
 def pii_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or trained()
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    """One row per document: counts and digest of the patterns' spans, all spans, and how many the field added and all are."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, (base, spans) in zip(b.column(0).to_pylist(), find([t or "" for t in b.column(1).to_pylist()], field), strict=True):
-                counts = [sum(k == i for _, k, _ in base) for i in range(len(KINDS))]
-                rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+                counts = [sum(k == i for _, k, _ in base) for i in range(BASE_KINDS)]
+                rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
             yield record_batch(rows, schema)
 
     return id_text(docs).mapInArrow(run, schema)
