@@ -11,9 +11,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronolex.llm import chat_formatting, decontamination, jaccard_join, license_scan, packing, training_order
+from chronolex.llm import chat_formatting, decontamination, jaccard_join, language_id, license_scan, packing, pii, training_order
 from chronolex.llm.components import components
-from chronolex.llm.token_ids import encoder
+from chronolex.llm.token_ids import Encoder, encoder
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -25,8 +25,8 @@ def shingles(text, size=3):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def plain_components(texts):
-    sets, index, parent = {i: shingles(t) for i, t in texts.items()}, defaultdict(list), {i: i for i in texts}
+def plain_components(texts, size=3, least=90):
+    sets, index, parent = {i: shingles(t, size) for i, t in texts.items()}, defaultdict(list), {i: i for i in texts}
 
     def root(x):
         while parent[x] != x:
@@ -40,7 +40,7 @@ def plain_components(texts):
                 shared[j] += 1
             index[x].append(i)
         for j, n in shared.items():
-            if 100 * n >= 90 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= least * (len(s) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in texts}
@@ -74,6 +74,15 @@ def test_near_duplicates_awkward(spark, awkward, empty):
     kept = jaccard_join.keep_one(awkward)
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
+    wordless = spark.createDataFrame([(1, " ")] * 3 + [(2, None)] * 2 + [(3, "a b c")] * 2, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(wordless).collect()) == [1, 1, 1, 2, 2, 3]
+
+
+def test_both_ways_of_reading_sets_agree(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    assert {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()} == want
 
 
 def test_prefix_bound_misses_nothing():
@@ -125,16 +134,17 @@ def test_licences(spark, licences, awkward, empty):
 def test_ids_equal_the_tokenizers_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    texts += ["", " ", "a  b", " a b ", "x\n\ny  z \n", "\x1c a \xa0 b", "don't  it's", "a b\tc d", "　a", "<|endoftext|> a", "a" * 3000, "é ß   x"]
+    texts += ["", " ", "a  b", " a b ", "x\n\ny  z \n", "\x1c a \xa0 b", "don't  it's", "a b\tc d", "　a", "<|endoftext|> a", "x<|endoftext|><|endoftext|>  y", " <|endoftext|>", "<|endoftext|", "a" * 3000, "é ß   x"]
     assert [np.frombuffer(encoder(path)(x), "<u4").tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    t.encode_special_tokens = True
+    assert [np.frombuffer(Encoder(path, special=False)(x), "<u4").tolist() for x in texts[-20:]] == [e.ids for e in t.encode_batch(texts[-20:], add_special_tokens=False)]
 
 
 def check_packing(rows, texts, size=1024):
-    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t in texts.items():
-        ids = encode(t or "") + np.array([2], "<u4").tobytes()
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
         assert [p[0] for p in own] == list(range(len(own))) and sum(p[2] for p in own) == len(ids) // 4
         assert all(p[2] == size for p in own[1:]) and (len(own) == 1 or len(ids) // 4 > size)
@@ -170,22 +180,34 @@ def test_feistel_is_a_permutation():
 
 def test_shards_round_trip(spark, awkward, empty, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    ordered = training_order.training_order(docs, length=256, shard_slots=64)
-    rows = {r.slot: r for r in ordered.collect()}
-    assert sorted(rows) == list(range(len(rows)))
     uri = f"file://{tmp_path}/shards"
-    sizes = {r.shard: r.n_bytes for r in training_order.write_shards(ordered, uri).collect()}
+    how = {"length": 256, "shard_slots": 64}
+    rows = {r.slot: r for r in training_order.written_order(docs, uri, **how).collect()}
+    assert sorted(rows) == list(range(len(rows)))
+    whole = {r.slot: bytes(r.ids) for r in training_order.training_order(docs, **how).collect()}
+    for slot, r in rows.items():  # every sequence is where its row says
+        found = training_order.read_shard(uri, slot // 64, 256, slot % 64)[0].astype("<u2").tobytes()
+        assert found == whole[slot] and zlib.crc32(found) == r.ids_crc32 and r.byte_offset == slot % 64 * 512 and r.shard == slot // 64
+    sizes = {r.shard: r.n_bytes for r in rows.values()}
     assert sum(sizes.values()) == len(rows) * 512
-    for slot in (0, 63, 64, len(rows) - 1):
-        assert training_order.read_shard(uri, slot // 64, 256, slot % 64)[0].astype("<u2").tobytes() == bytes(rows[slot].ids)
-    before = (tmp_path / "shards" / "shard-00000000.u16").stat().st_mtime_ns
-    (tmp_path / "shards" / "shard-00000001.u16").unlink()
-    training_order.write_shards(ordered, uri).collect()  # resumes: writes what is missing only
-    assert (tmp_path / "shards" / "shard-00000000.u16").stat().st_mtime_ns == before and (tmp_path / "shards" / "shard-00000001.u16").stat().st_size == sizes[1]
-    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    want = sum(len(encode(r.text)) // 4 + 1 for r in docs.collect())
-    assert sum(r.n_tokens for r in rows.values()) == want
+    one, other = tmp_path / "shards" / "shard-00000000.u16", tmp_path / "shards" / "shard-00000001.u16"
+    before = one.stat().st_mtime_ns
+    other.unlink()
+    training_order.written_order(docs, uri, **how).count()  # resumes: writes what is missing only
+    assert one.stat().st_mtime_ns == before and other.stat().st_size == sizes[1]
+    kept = one.read_bytes()
+    training_order.written_order(docs, uri, key=7, **how).count()  # another key: nothing is kept
+    assert one.read_bytes() != kept and {one.read_bytes()[i : i + 512] for i in range(0, 64 * 512, 512)} <= set(whole.values())
+    few = docs.where("doc_id < 20")
+    training_order.written_order(few, uri, key=7, **how).count()  # a smaller corpus: no shard of the larger one stays
+    n = training_order.training_order(few, **how).count()
+    assert len(list((tmp_path / "shards").glob("*.u16"))) == len(list((tmp_path / "shards" / "manifest").glob("*.json"))) == -(-n // 64) < len(sizes)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted(i for r in docs.collect() for i in [*library.encode(r.text, add_special_tokens=False).ids, 2])
+    got = sorted(i for s, r in rows.items() for i in np.frombuffer(whole[s], "<u2")[: r.n_tokens].tolist())
+    assert got == want
     assert training_order.training_order(awkward).count() > 0 and training_order.training_order(empty).count() == 0
+    assert training_order.written_order(empty, f"file://{tmp_path}/none").count() == 0
 
 
 def test_decontamination(spark, awkward, empty):
@@ -207,15 +229,30 @@ def test_pipeline_equals_its_parts(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {r.doc_id for r in language_id.language_id(docs).where("not rejected").collect()}  # the stage's decision
     texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(texts) - len(known) <= 0.01 * len(texts)
+    texts = {i: t for i, t in texts.items() if i in known}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    first = {i for i, (_, c) in plain_components(texts).items() if i == c}
+    first = {i for i, (_, c) in plain_components(texts, 5, 80).items() if i == c}
     sh = {r.item_id: shingles(r.text.lower(), 5) for r in items}
     leaks = {i for i, t in texts.items() if any(len(s & shingles(t.lower(), 5)) >= 0.8 * len(s) for s in sh.values())}
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == first - leaks
+    field = pii.trained()
+    left = {i: pii.redacted(texts[i], pii.find([texts[i]], field)[0][1]) for i in first - leaks}
+    check_packing(rows, left)
+
+
+def test_stages_on_odd_tables(spark, awkward, empty):
+    import corpus_pipeline
+
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns, name
+        for docs in (awkward, empty):
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert out.count() <= docs.count(), name
+    assert corpus_pipeline.packing(spark, empty, SF).count() == 0
 
 
 def test_pipeline_links_near_copies_at_five_words_and_four_fifths(spark):
@@ -256,8 +293,9 @@ def test_the_query_writes_its_shards(spark):
     before = folders()
     rows = training_order.op8_training_order(spark, SF).collect()
     (folder,) = folders() - before
-    assert rows and {f.name for f in folder.iterdir()} == {f"shard-{r.shard:08d}.u16" for r in rows}
+    assert rows and {f.name for f in folder.glob("*.u16")} == {f"shard-{r.shard:08d}.u16" for r in rows}
+    stride = 2 * 2048
     for r in rows:
         data = (folder / f"shard-{r.shard:08d}.u16").read_bytes()
-        assert len(data) == r.n_bytes == r.n_slots * len(r.ids) and data[r.byte_offset : r.byte_offset + len(r.ids)] == bytes(r.ids)
+        assert len(data) == r.n_bytes == r.n_slots * stride and zlib.crc32(data[r.byte_offset : r.byte_offset + stride]) == r.ids_crc32
     assert len(rows) == sum({r.shard: r.n_slots for r in rows}.values())

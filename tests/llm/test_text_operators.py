@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -65,6 +66,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p for t, p in held if not t) <= 0.02 * len(held) and sum(p for t, p in held if t) >= 0.5 * sum(t for t, _ in held)
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, many = (by_id(toxicity.toxicity(docs.repartition(n), labels.repartition(n))) for n in (1, 7))
+    assert one == many
+
+
+def test_near_copies_teach_once(spark):
+    base = [f"w{i}" for i in range(80)]
+    copies = [(i, " ".join(f"x{i}" if j == i else w for j, w in enumerate(base)), 1) for i in range(30)]
+    apart = [(100 + i, " ".join(base[:10]) + " " + " ".join(f"y{i}z{j}" for j in range(40)), 1) for i in range(10)]
+    docs = spark.createDataFrame([r[:2] for r in copies + apart], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in copies + apart], "doc_id long, toxic int")
+    left = [r.text for r in toxicity.training_rows(docs, labels, toxicity.Sample()).collect()]
+    usable = {r.doc_id for r in labels.where(toxicity.fold_of("doc_id", 5) != 0).collect()}
+    assert sum(" y" in t for t in left) == sum(i >= 100 for i in usable) and sum(" y" not in t for t in left) <= 4
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 1), (5, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(awkward, labels).count() == awkward.count()
@@ -89,15 +107,50 @@ def test_language_awkward(spark, awkward, empty):
     assert all(r.lang_pred == "und" and r.rejected and r.score == 0 for r in out if r.doc_id in (1, 2, 3))
     assert all(r.lang_pred != "und" for r in out if r.doc_id in (4, 5, 7, 8))
     assert language_id.language_id(empty).count() == 0
+    assert not any(r.rejected for r in out if r.doc_id in (4, 5, 7, 8))  # no row is left to calibrate on
     kept = language_id.keep_known(awkward)
     assert kept.columns == awkward.columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
 
 
-def test_vectors_of_pieces_add_up(monkeypatch):
-    whole, n = language_id.vector("abc def " * 50)
-    monkeypatch.setattr(language_id, "PIECE", 40)
-    cut, m = language_id.vector("abc def " * 50)
-    assert n == m and np.abs(whole - cut).max() < 1.5 and language_id.vector("123 !") == (None, 0)
+def test_pieces_change_nothing(monkeypatch):
+    random.seed(4)
+    texts = ["".join(random.choice("abcß é1.\n") for _ in range(random.randrange(1, 90))) for _ in range(400)]
+    whole = [language_id.vector(t) for t in texts]
+    for piece in (1, 2, 7, 40):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        for t, (v, n) in zip(texts, whole, strict=True):
+            w, m = language_id.vector(t)
+            assert n == m and (v is w or (v == w).all()), t
+    assert language_id.vector("123 !") == (None, 0)
+
+
+def plain_prediction(text, model):
+    """Language and cosine by words padded with blanks and a dictionary of n-grams."""
+    folded = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
+    padded = " " + " ".join(folded.split()) + " "
+    counts = np.zeros(language_id.SIZE)
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            counts[slot_of(padded[i : i + n])] += 1
+    v = np.log1p(counts) * model.idf
+    cosines = model.centroids @ v / np.linalg.norm(v)
+    return model.languages[model.owner[int(np.argmax(cosines))]], float(cosines.max())
+
+
+def slot_of(gram):
+    mixed = 0
+    for i, (c, m) in enumerate(zip(gram, (0x9E3779B1, 0x85EBCA77, 0x27D4EB2F))):
+        mixed = ord(c) * m % 2**32 if i == 0 else (mixed ^ ord(c) * m % 2**32) * (0xC2B2AE3D, 0x165667B1)[i - 1] % 2**32
+    return mixed >> (32 - language_id.BITS)
+
+
+def test_predictions_equal_plain_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs, language_id.Fit())
+    for r in docs.where("n_chars < 600").limit(60).collect():
+        lang, cosine = plain_prediction(r.text, model)
+        got = model.predict(r.text)
+        assert got[0] == lang and abs(got[1] - cosine) < 1e-9
 
 
 # --- personal data
@@ -145,11 +198,40 @@ def test_pii_rows(spark, awkward, empty):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
         assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))
+        assert (r.n_added, r.n_spans) == (r.n_spans - len(base), len(list(filter(None, r.spans.split(",")))))
     assert pii.pii_spans(awkward).count() == awkward.count() and pii.pii_spans(empty).count() == 0
     d = spark.createDataFrame([(1, "write to a.b@c.org now", 22), (2, None, 0)], "doc_id long, text string, n_chars long")
     assert sorted((r.doc_id, r.text, r.n_chars) for r in pii.redact(d).collect()) == [(1, "write to <email> now", 20), (2, None, 0)]
 
 
+def test_field_adds_secrets_and_numbers_of_documents():
+    field = pii.trained()
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    found = wanted = caught = right = 0
+    for text, (base, spans) in zip(texts, pii.find(texts, field), strict=True):
+        secrets = {(m.start(1), 4, m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{16,})"', text)}
+        added = set(spans) - set(base)
+        wanted, caught, found = wanted + len(secrets), caught + len(secrets & added), found + len(added)
+        right += sum(s in secrets or re.fullmatch(r"[0-9]{16}|\+1 \([0-9]{3}\) [0-9-]{8}", text[s[0] : s[2]]) is not None for s in added)
+    assert wanted >= 5 and caught == wanted and right >= 0.95 * found > 0
+
+
+def test_field_on_forms_it_has_not_seen():
+    field = pii.trained()
+    seen = [("use the access token: 0a9b8c7d6e5f4a3b2c1d0e9f today", ["0a9b8c7d6e5f4a3b2c1d0e9f"]), ("write to anna_k [at] posteo.net please", ["anna_k [at] posteo.net"]), ("two cards 4556 7375 8689 9855 and no more", []), ("chapter 12 of 1999, page 3", []), ("revision 9233a8ecf7c5b09fe5949719b6b82bc439e9329b was built", [])]
+    for text, want in seen:
+        base, spans = pii.find([text], field)[0]
+        assert [text[s:e] for s, k, e in spans if (s, k, e) not in base] == want, text
+
+
+def test_long_runs_are_decoded_whole():
+    field = pii.trained()
+    numbers = " ".join(str(i % 10) for i in range(197))
+    text = f"{numbers} mail eva [at] acme.com or {numbers} 12 {numbers} token = \"{'a1b2' * 8}\" 7"
+    got = [text[s:e] for s, k, e in pii.find([text], field)[0][1]]
+    assert "eva [at] acme.com" in got and "a1b2" * 8 in got
+
+
 # --- quality
 
 
@@ -180,6 +262,50 @@ def test_quality_counts_equal_brute_force(spark, awkward, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (by_id(quality_rules.quality_rules(docs.repartition(n))) for n in (1, 64))
+    assert one == many
+
+
+def test_references_equal_plain_counts(spark, monkeypatch):
+    docs, limits = spark.read.parquet(f"{SF}/documents.parquet"), quality_rules.Limits()
+    words = defaultdict(Counter)
+    for r in docs.collect():
+        words[r.lang].update((r.text or "").lower().split())
+    for lang, (_, common, hist) in quality_rules.references(docs.repartition(9), limits).items():
+        total = sum(words[lang].values())
+        want = sorted(w for w, n in words[lang].items() if n >= limits.common_share * total)
+        assert common == want and hist[:-1] == pytest.approx([words[lang][w] / total for w in want])
+    small = quality_rules.Frequent(most=50)
+    many = [f"r{i}" for i in range(3000)] + ["common"] * 200
+    random.shuffle(many)
+    for i in range(0, len(many), 10):
+        small.add(many[i : i + 10])
+    assert len(small.counts) <= 60 and "common" in small.at_least(200 / 3200)
+
+
+def test_verdicts_equal_plain_ones(spark):
+    docs, limits = spark.read.parquet(f"{SF}/documents.parquet"), quality_rules.Limits()
+    refs = quality_rules.references(docs, limits)
+
+    def js(p, q):
+        kl = lambda a, m: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return max(0.0, (kl(p, m) + kl(q, m)) / 2) ** 0.5
+
+    out = by_id(quality_rules.quality_rules(docs))
+    for r in docs.where("n_chars < 3000").limit(60).collect():
+        got, words = out[r.doc_id], r.text.lower().split()
+        if not words:
+            continue
+        chars = quality_rules.char_histogram(r.text)
+        best = min((js(chars / chars.sum(), c) + js([*(words.count(w) / len(words) for w in common), sum(w not in set(common) for w in words) / len(words)], h), lang) for lang, (c, common, h) in refs.items())
+        assert got.char_distance + got.word_distance == pytest.approx(best[0], abs=1e-6)
+        fails = got.n_words >= limits.min_words and (got.char_distance > limits.max_char_distance or got.word_distance > limits.max_word_distance + limits.word_noise / got.n_words**0.5)
+        assert got.kept == (not got.base_failed and not fails)
+
+
 def test_quality_agrees_with_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     quality = {r.doc_id: r.quality for r in labels.collect()}
