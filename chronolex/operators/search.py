@@ -136,6 +136,54 @@ def guarded(hits: DataFrame, scope: DataFrame, key: str) -> DataFrame:
     return joined.where(F.when(F.col("in_scope"), True).otherwise(F.raise_error(F.lit("retrieval hit outside the resolved scope")).cast("boolean"))).drop("in_scope")
 
 
+def in_scope(rows: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the resolved scope only; filtered before anything is ranked or limited."""
+    return rows.join(scope.select(*keys).distinct(), keys, "left_semi")
+
+
+def chunk_matches(chunks: DataFrame, query: str) -> DataFrame:
+    """Chunks whose text or prefix holds the query literally."""
+    q = " ".join(query.split())
+    if not q:
+        return chunks.limit(0)
+    return chunks.where(normalise("text").contains(q) | normalise("prefix").contains(q))
+
+
+def chunk_lexical_search(chunks: DataFrame, query: str, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Matching chunks by trigram similarity of their text, then by keys. chunks are those of the scope."""
+    scored = chunk_matches(chunks, query).select(*keys, F.round(similarity(trigrams("text"), trigrams(F.lit(" ".join(query.split())))), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), *keys).limit(clamp(limit, 50, 200))
+
+
+def chunk_structural_search(chunks: DataFrame, filters: dict[str, object], keys: list[str], limit: int | None = None) -> DataFrame:
+    """Chunks by their anchor's fields, all with score 1, in document order; without any filter there is nothing to search."""
+    used = {k: v for k, v in filters.items() if v is not None}
+    if not used:
+        raise ValueError("a structural search needs a filter")
+    found = reduce(lambda d, f: d.where(F.col(f[0]) == F.lit(f[1])), used.items(), chunks)
+    return found.orderBy(*keys).select(*keys, F.lit(1.0).alias("score")).limit(clamp(limit, 100, 500))
+
+
+def scope_supplement(chunks: DataFrame, members: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc, chunk_id, channel, score): chunks below each hit (doc, anchor, slots, room) that fit what is left of slots and room.
+
+    members: (doc, anchor, ord), the nodes below. Of each hit the first 3 * slots chunks are candidates.
+    """
+    wanted = hits.join(members, ["doc", "anchor"]).select("doc", "anchor", "slots", "room", F.col("ord").alias("first_ord"))
+    found = chunks.drop("anchor").join(wanted, ["doc", "first_ord"])
+    w = Window.partitionBy("doc", "anchor").orderBy("first_ord", "chunk_id")
+    candidates = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 3 * F.col("slots"))
+    lists = candidates.groupBy("doc", "anchor", "slots", "room").agg(F.array_sort(F.collect_list(F.struct("place", "n_chars", "chunk_id"))).alias("items"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("taken"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (F.size(acc["taken"]) < F.col("slots")) & (acc["used"] + x["n_chars"] <= F.col("room"))
+        return F.when(fits, F.struct((acc["used"] + x["n_chars"]).alias("used"), F.array_append(acc["taken"], x["chunk_id"]).alias("taken"))).otherwise(acc)
+
+    taken = lists.select("doc", F.explode(F.aggregate("items", start, step)["taken"]).alias("chunk_id"))
+    return taken.select("doc", "chunk_id", F.lit("structural-scope").alias("channel"), F.lit(0.0).alias("score"))
+
+
 def budgeted(ranked_rows: DataFrame, group: str, order: str, length: str, key: str, most: int = 8, budget: int = 6000) -> DataFrame:
     """Contexts chosen in rank order: one that would exceed the budget is skipped, later ones may still fit.
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from chronolex.plans import structure  # noqa: F401  registers its queries
 from chronolex.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
