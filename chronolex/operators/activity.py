@@ -25,7 +25,7 @@ def related_materials(rows: DataFrame, group: str, state: str) -> DataFrame:
 
 
 def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """min, nearest-rank p95 (half to even), max, mean and number of values of each group.
+    """min, median, nearest-rank p95 (half to even), max, mean and number of values of each group.
 
     Equal values are counted first; ranges of (group, value) are ranked by themselves after the totals of the
     ranges before them, so no task holds a group.
@@ -36,9 +36,11 @@ def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
     # one row for each group and range
     parts = counts.groupBy("g", "part").agg(F.sum("c").alias("size"))
     ends = parts.withColumn("end", F.sum("size").over(Window.partitionBy("g").orderBy("part")))
-    wanted = stats.select(F.col(group).alias("of"), (F.bround((F.col("n") - 1) * 0.95, 0).cast("long") + 1).alias("place"))
-    holds = ends.join(wanted, F.col("g").eqNullSafe(F.col("of"))).where("place > end - size and place <= end").select("of", F.col("part").alias("at"), (F.col("place") - F.col("end") + F.col("size")).alias("place"))
-    inside = counts.join(holds, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
-    up_to = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("of", "part").orderBy("v")))
-    p95 = up_to.where("upto >= place").groupBy("of").agg(F.min("v").alias("p95"))
-    return stats.join(p95, F.col(group).eqNullSafe(F.col("of")), "left").select(group, "lo", "hi", "mean", "p95", "n")
+    n = F.col("n")
+    places = F.array(*[F.struct(F.lit(k).alias("what"), p.cast("long").alias("place")) for k, p in (("low", F.floor((n + 1) / 2)), ("high", F.floor(n / 2) + 1), ("p95", F.bround((n - 1) * 0.95, 0) + 1))])
+    wanted = stats.select(F.col(group).alias("of"), F.explode(places).alias("w")).select("of", "w.what", "w.place")
+    holds = ends.join(wanted, F.col("g").eqNullSafe(F.col("of"))).where("place > end - size and place <= end").select("of", "what", F.col("part").alias("at"), (F.col("place") - F.col("end") + F.col("size")).alias("place"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "part").orderBy("v")))
+    inside = upto.join(holds, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))).where("upto >= place")
+    found = inside.groupBy("of").agg(*[F.min(F.when(F.col("what") == k, F.col("v"))).alias(k) for k in ("low", "high", "p95")])
+    return stats.join(found, F.col(group).eqNullSafe(F.col("of")), "left").select(group, "lo", ((F.col("low") + F.col("high")) / 2).alias("median"), "hi", "mean", "p95", "n")

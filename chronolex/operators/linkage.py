@@ -24,14 +24,15 @@ def default_status(basis: Column) -> Column:
     return F.when(basis == "official-link", "confirmed").otherwise("candidate")
 
 
-def contained_mentions(texts: DataFrame, names: DataFrame, text_id: str, name_id: str, least: int = 3, most_chars: int = 16_000_000, width: int = 12) -> DataFrame:
-    """(text_id, name_id) where the name, without white space, is contained in the text.
+def contained_mentions(texts: DataFrame, names: DataFrame, text_id: str, name_id: str, least: int = 3, most_chars: int = 16_000_000, width: int = 12, squeeze: bool = True) -> DataFrame:
+    """(text_id, name_id) where the name, without white space (or, without squeeze, as it is), is contained in the text.
 
     A catalogue of up to most_chars characters becomes one automaton that reads each text once. A larger one is not
     shipped to tasks: its names' first characters are looked up among the texts' substrings by an equi-join.
     """
-    n = names.select(F.col(name_id).cast("long").alias(name_id), squeezed("text").alias("name")).where(F.length("name") >= least)
-    t = texts.select(F.col(text_id).cast("long").alias(text_id), squeezed("text").alias("body")).where(F.length("body") >= least)
+    plain = squeezed if squeeze else F.col
+    n = names.select(F.col(name_id).cast("long").alias(name_id), plain("text").alias("name")).where(F.length("name") >= least)
+    t = texts.select(F.col(text_id).cast("long").alias(text_id), plain("text").alias("body")).where(F.length("body") >= least)
     if (n.agg(F.sum(F.length("name"))).first()[0] or 0) > most_chars:
         size = F.least(F.length("name"), F.lit(width))
         keyed = n.withColumn("size", size).withColumn("gram", F.expr("substring(name, 1, size)"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.text import clamp, cosine, normalise, similarity, trigrams
+from chronolex.operators.linkage import contained_mentions
 
 #: The fusion constant and the channels' weights.
 RRF_K = 60
@@ -46,10 +47,12 @@ def suggest(names: DataFrame, question: str, group: str, name: str, least: float
 def phrase_resolution(names: DataFrame, questions: DataFrame, phrase: str, question: str) -> DataFrame:
     """For each question the longest of its highest-priority phrases; phrases inside a longer one don't count.
 
-    questions: few rows (a request batch), so they are the broadcast side, behind Spark's own size check.
-    names: (entity, phrase, priority).
+    names: (entity, phrase, priority). Phrases are found by contained_mentions, so no pair of a question and a
+    phrase is formed that doesn't match.
     """
-    met = names.join(questions, F.instr(F.col(question), F.col(phrase)) > 0)
+    key = lambda c: F.xxhash64(c)
+    met = contained_mentions(questions.select(key(question).alias("q"), F.col(question).alias("text")), names.select(key(phrase).alias("p"), F.col(phrase).alias("text")).distinct(), "q", "p", least=1, squeeze=False)
+    met = met.join(questions.select(question).distinct().withColumn("q", key(question)), "q").join(names.withColumn("p", key(phrase)), "p")
     best = met.groupBy(question).agg(F.max(F.struct("priority", F.length(phrase).alias("size"))).alias("top"))
     top = met.join(best, question).where((F.col("priority") == F.col("top.priority")) & (F.length(phrase) == F.col("top.size")))
     n = F.count_distinct("entity")
@@ -185,18 +188,33 @@ def scope_supplement(chunks: DataFrame, members: DataFrame, hits: DataFrame) ->
 
 
 def budgeted(ranked_rows: DataFrame, group: str, order: str, length: str, key: str, most: int = 8, budget: int = 6000) -> DataFrame:
-    """Contexts chosen in rank order: one that would exceed the budget is skipped, later ones may still fit.
+    """(group, position, key, used): contexts chosen in rank order; one that would exceed the budget is skipped, later ones may still fit.
 
-    The first may be larger than the budget by itself. A running sum would count skipped ones, so this folds over
-    each group's ranked list, which its caller has limited.
+    The first may be larger than the budget by itself. used is the length of all that is chosen. A running sum would
+    count skipped ones, so each group's whole list is read in order as a stream; only what is chosen is held.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(length).cast("long").alias("n"), F.col(key).alias("k"))
-    lists = ranked_rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{ranked_rows.schema[key].dataType.simpleString()}>").alias("taken"))
+    names = ["g", "o", "n", "k"]
+    rows = ranked_rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(length).cast("long").alias("n"), F.col(key).alias("k"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["taken"]) < most) & ((F.size(acc["taken"]) == 0) | (acc["used"] + x["n"] <= budget))
-        return F.when(fits, F.struct((acc["used"] + x["n"]).alias("used"), F.array_append(acc["taken"], x["k"]).alias("taken"))).otherwise(acc)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, taken, used = None, [], 0
+
+        def chosen() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of] * len(taken), kinds[0]), pa.array(range(1, len(taken) + 1), pa.int64()), pa.array(taken, kinds[1]), pa.array([used] * len(taken), pa.int64())], ["g", "position", "k", "used"])
 
-    folded = lists.select(group, F.aggregate("items", start, step).alias("f"))
-    return folded.select(group, F.col("f.used").alias("used"), F.posexplode("f.taken").alias("pos", key)).select(group, (F.col("pos") + 1).cast("long").alias("position"), key, "used")
+        for b in batches:
+            kinds = (b.schema.field("g").type, b.schema.field("k").type)
+            for g, _, n, k in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if g != of and taken:
+                    yield chosen()
+                if g != of:
+                    of, taken, used = g, [], 0
+                if len(taken) < most and (not taken or used + n <= budget):
+                    taken.append(k)
+                    used += n
+        if taken:
+            yield chosen()
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("g", "k")}
+    stream = rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(choose, f"g {kind['g']}, position long, k {kind['k']}, used long")
+    return stream.select(F.col("g").alias(group), "position", F.col("k").alias(key), "used")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,13 +151,13 @@ def drift_detection(spark, sf_dir):
     return merge.drift(load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha"), "source"), "sha", "source")
 
 
-@query("""WITH i AS (SELECT user_id, nullif(event_type, 'view') AS code, min(event_id) AS issue_id FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
-     s AS (SELECT user_id, nullif(event_type, 'view') AS code, count(*) AS n_seen FROM events WHERE event_id % 3 = 1 GROUP BY 1, 2)
+@query("""WITH i AS (SELECT user_id, nullif(event_type, 'view') AS code, min(event_id) AS issue_id FROM events WHERE day(ts) % 2 = 0 GROUP BY 1, 2),
+     s AS (SELECT user_id, nullif(event_type, 'view') AS code, count(*) AS n_seen FROM events WHERE day(ts) % 2 = 1 GROUP BY 1, 2)
 SELECT s.user_id, s.code, n_seen, CASE WHEN issue_id IS NULL THEN 'opened' ELSE 'seen-again' END AS action, issue_id FROM s LEFT JOIN i ON i.user_id = s.user_id AND i.code IS NOT DISTINCT FROM s.code""")
 def open_issue_merge(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("code", F.nullif(F.col("event_type"), F.lit("view")))
-    issues = e.where("event_id % 3 = 0").groupBy("user_id", "code").agg(F.min("event_id").alias("issue_id")).withColumn("resolved_at", F.lit(None).cast("timestamp"))
-    return merge.open_issue_merge(issues, e.where("event_id % 3 = 1"), ["user_id", "code"])
+    issues = e.where("day(ts) % 2 = 0").groupBy("user_id", "code").agg(F.min("event_id").alias("issue_id")).withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    return merge.open_issue_merge(issues, e.where("day(ts) % 2 = 1"), ["user_id", "code"])
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'c_name' AS field, c_name AS value FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer")
@@ -234,12 +235,12 @@ def phrase_resolution(spark, sf_dir):
     return search.phrase_resolution(names, questions, "phrase", "question")
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv, label AS ql FROM e WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM e, q WHERE label = ql ORDER BY round(list_cosine_similarity(v, qv), 6) DESC, vec_id LIMIT 20""")
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM e, q ORDER BY round(list_cosine_similarity(v, qv), 6) DESC, vec_id LIMIT 20""")
 def vector_topk(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").first()
-    return search.vector_topk(e.where(F.col("label") == q.label), list(q.embedding), "vec_id", "embedding")
+    return search.vector_topk(e, list(q.embedding), "vec_id", "embedding")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -272,18 +273,15 @@ def rrf_fusion(spark, sf_dir):
     return search.fuse(_channels(spark, sf_dir), "doc_id")
 
 
-_BUDGET = """, r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents WHERE lang = 'fr'),
+_BUDGET = """, r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents),
      b AS (SELECT source, CAST(1 AS BIGINT) AS rk, n_chars AS used, [doc_id] AS taken FROM r WHERE rk = 1
            UNION ALL SELECT b.source, r.rk, CASE WHEN len(taken) < 8 AND used + n_chars <= 6000 THEN used + n_chars ELSE used END,
-             CASE WHEN len(taken) < 8 AND used + n_chars <= 6000 THEN list_append(taken, doc_id) ELSE taken END FROM b JOIN r ON r.source = b.source AND r.rk = b.rk + 1 WHERE b.rk < 40)"""
+             CASE WHEN len(taken) < 8 AND used + n_chars <= 6000 THEN list_append(taken, doc_id) ELSE taken END FROM b JOIN r ON r.source = b.source AND r.rk = b.rk + 1)"""
 
 
 @query("WITH RECURSIVE x AS (SELECT 1)" + _BUDGET + " SELECT source, CAST(generate_subscripts(taken, 1) AS BIGINT) AS position, unnest(taken) AS doc_id, used FROM (SELECT source, arg_max(taken, rk) AS taken, arg_max(used, rk) AS used FROM b GROUP BY source)")
 def context_budget(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("lang = 'fr'").select("source", "doc_id", "n_chars")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    ranked = d.withColumn("rk", F.row_number().over(w)).where("rk <= 40")
-    return search.budgeted(ranked, "source", "rk", "n_chars", "doc_id")
+    return search.budgeted(load(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", "doc_id")
 
 
 def resolved_documents(spark, sf_dir):
@@ -307,7 +305,21 @@ def scoped_channels(spark, sf_dir, scope: DataFrame) -> DataFrame:
     return hits.unionByName(search.ranked(vector, "vector", "doc_id", [F.desc("score"), F.col("doc_id")]))
 
 
-@query()
+_HYBRID = _resolution_sql(PROBES[1:2]).replace("WITH r AS", "WITH RECURSIVE r AS", 1) + rf""",
+     sc AS (SELECT doc_id, source, n_chars, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS body FROM documents WHERE lang = 'en' AND doc_id IN (SELECT selected FROM resolution WHERE status = 'resolved') AND doc_id IN (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) = 1)),
+     h AS (SELECT doc_id, 1.0 AS w, row_number() OVER (ORDER BY {_sim("body", "'License'")} DESC, doc_id) AS rk FROM sc WHERE contains(body, 'License')
+       UNION ALL SELECT doc_id, 0.75, row_number() OVER (ORDER BY doc_id) FROM sc WHERE source = 'src0'
+       UNION ALL SELECT e.vec_id, 1.0, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id) FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id IN (SELECT doc_id FROM sc)),
+     f AS (SELECT doc_id, round(sum(CAST(w AS DOUBLE) / (60 + rk)), 9) AS score FROM h WHERE rk <= 50 GROUP BY doc_id),
+     o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rk FROM f JOIN sc USING (doc_id)),
+     b AS (SELECT source, CAST(1 AS BIGINT) AS rk, n_chars AS used, [doc_id] AS taken FROM o WHERE rk = 1
+       UNION ALL SELECT b.source, o.rk, CASE WHEN len(taken) < 8 AND used + n_chars <= 6000 THEN used + n_chars ELSE used END,
+         CASE WHEN len(taken) < 8 AND used + n_chars <= 6000 THEN list_append(taken, doc_id) ELSE taken END FROM b JOIN o ON o.source = b.source AND o.rk = b.rk + 1),
+     t AS (SELECT source, CAST(generate_subscripts(taken, 1) AS BIGINT) AS position, unnest(taken) AS doc_id, used FROM (SELECT source, arg_max(taken, rk) AS taken, arg_max(used, rk) AS used FROM b GROUP BY source))
+SELECT doc_id, t.source, position, used, CASE WHEN length(body) > 1000 THEN substr(body, 1, 1000) || '…' ELSE body END AS quote, sha256(text) AS sha FROM t JOIN sc USING (doc_id)"""
+
+
+@query(_HYBRID)
 def hybrid_pipeline(spark, sf_dir):
     """Resolve the revisions as of a date, search three channels in their English documents, fuse, choose contexts within the budget, validate the scope.
 
@@ -390,18 +402,20 @@ def watch_state(spark, sf_dir):
     return watch.evaluate(r.where(F.col("probe_date") == F.lit(PROBES[0]).cast("date")), r.where(F.col("probe_date") == F.lit(PROBES[1]).cast("date")), "o_custkey")
 
 
-@query("WITH b AS (SELECT ts, event_id FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 100), e AS (SELECT ts, event_id FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 199) SELECT event_id, user_id FROM events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM b) AND (ts, event_id) <= (SELECT (ts, event_id) FROM e)")
+@query("""WITH d AS (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY AS second FROM events), b AS (SELECT ts, event_id FROM events, d WHERE ts < second ORDER BY ts DESC, event_id DESC LIMIT 1), e AS (SELECT ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)
+SELECT event_id, user_id FROM events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM b) AND (ts, event_id) <= (SELECT (ts, event_id) FROM e)""")
 def observed_since(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    rows = e.orderBy("ts", "event_id").limit(200).select("ts", "event_id").collect()
-    return watch.observed_since(e, "ts", "event_id", tuple(rows[100]), tuple(rows[-1])).select("event_id", "user_id")
+    pair, first = F.struct("ts", "event_id"), e.agg(F.date_trunc("day", F.min("ts")).alias("d")).first().d
+    day_end = (first + timedelta(days=1)).replace(tzinfo=None)
+    b = e.agg(F.max(F.when(F.col("ts") < F.lit(str(day_end)).cast("timestamp_ntz"), pair)).alias("after"), F.max(pair).alias("through")).first()
+    return watch.observed_since(e, "ts", "event_id", tuple(b.after), tuple(b.through)).select("event_id", "user_id")
 
 
-@query("SELECT DISTINCT user_id, nullif(event_type, 'view') AS code, CAST(ts AS DATE) AS day FROM events WHERE user_id % 2 = 0 EXCEPT SELECT DISTINCT user_id, nullif(event_type, 'view'), CAST(ts AS DATE) FROM events WHERE event_id % 5 = 0")
+@query("SELECT DISTINCT user_id, nullif(event_type, 'view') AS code, CAST(ts AS DATE) AS day FROM events EXCEPT SELECT DISTINCT user_id, nullif(event_type, 'view'), CAST(ts AS DATE) FROM events WHERE value < 20")
 def event_idempotence(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.nullif(F.col("event_type"), F.lit("view")).alias("code"), F.to_date("ts").alias("day"))
-    twice = e.where("user_id % 2 = 0").unionByName(e.where("user_id % 2 = 0"))
-    return watch.new_events(e.where("event_id % 5 = 0"), twice, ["user_id", "code", "day"]).select("user_id", "code", "day")
+    e = load(spark, sf_dir, "events").select("event_id", "value", "user_id", F.nullif(F.col("event_type"), F.lit("view")).alias("code"), F.to_date("ts").alias("day"))
+    return watch.new_events(e.where("value < 20"), e.unionByName(e), ["user_id", "code", "day"]).select("user_id", "code", "day")
 
 
 @query("SELECT user_id, event_type, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY 1, 2")
@@ -440,12 +454,12 @@ def answer_finalise(spark, sf_dir):
     return evidence.finalise(drafts, evidence.claim_errors(drafts, claims, known))
 
 
-@query("SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '…' ELSE t END AS quote FROM (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], ' / ') AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '…' ELSE t END AS quote FROM (SELECT doc_id, array_to_string(string_split(text, chr(10)), ' / ') AS t FROM documents)")
 def evidence_quote(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", quote(F.array_join(F.slice(F.split("text", "\n"), 1, 3), " / ")).alias("quote"))
+    return load(spark, sf_dir, "documents").select("doc_id", quote(F.array_join(F.split("text", "\n"), " / ")).alias("quote"))
 
 
-@query("SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(avg(l_extendedprice), 6) AS mean, list_sort(list(l_extendedprice))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(avg(l_extendedprice), 6) AS mean, median(l_extendedprice) AS median, list_sort(list(l_extendedprice))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95, count(*) AS n FROM lineitem GROUP BY 1")
 def latency_stats(spark, sf_dir):
     return activity.latency_stats(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
 
@@ -456,10 +470,14 @@ def tag_inventory(spark, sf_dir):
     return count(load(spark, sf_dir, "events"), "event_type", "user_id").union(count(load(spark, sf_dir, "part"), "p_type", "p_brand"))
 
 
-@query("SELECT source, sha256(string_agg(id || chr(9) || sha || chr(10), '' ORDER BY id)) AS manifest, count(*) AS n FROM (SELECT source, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, sha256(text) AS sha FROM documents) GROUP BY source")
+@query("""WITH b AS (SELECT source, doc_id // 4096 AS block, sha256(string_agg(id || chr(9) || sha || chr(10), '' ORDER BY id)) AS sha, count(*) AS n FROM (SELECT source, doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, sha256(text) AS sha FROM documents) GROUP BY 1, 2)
+SELECT source, sha256(string_agg(lpad(CAST(block AS VARCHAR), 12, '0') || chr(9) || sha || chr(10), '' ORDER BY block)) AS manifest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source""")
 def run_manifest_hash(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.sha2("text", 256).alias("sha"))
-    return d.groupBy("source").agg(manifest_hash(F.collect_list(F.struct("id", "sha"))).alias("manifest"), F.count("*").alias("n"))
+    """Blocks of 4,096 ids are hashed first, then the hashes of a source's blocks: no task holds a source's rows."""
+    named = lambda c: F.lpad(c.cast("string"), 12, "0")
+    d = load(spark, sf_dir, "documents").select("source", F.expr("doc_id div 4096").alias("block"), named(F.col("doc_id")).alias("id"), F.sha2("text", 256).alias("sha"))
+    blocks = d.groupBy("source", "block").agg(manifest_hash(F.collect_list(F.struct("id", "sha"))).alias("sha"), F.count("*").alias("n"))
+    return blocks.groupBy("source").agg(manifest_hash(F.collect_list(F.struct(named(F.col("block")).alias("id"), "sha"))).alias("manifest"), F.sum("n").alias("n"))
 
 
 @query("SELECT doc_id, sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), lang, sha256(text))) AS content_id FROM documents")
