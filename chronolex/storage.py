@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,27 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows of a batch handed to Python while a table is written: texts are long, and few of them fill a batch.
+#: Rows of a batch handed to Python, where the session has Spark's own number: texts are long, and few fill a batch.
 BATCH_ROWS = 2000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch from Spark's 10,000, which may hold much of a worker's memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronolex/{label}-{uuid.uuid4().hex}"
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(setting, before)
+    small_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that materialise wrote, once nothing that is still to be computed reads them."""
+    """Remove tables that materialise wrote, once nothing that is still to be computed reads them.
+
+    Shuffle files go when the driver's garbage collector finds their plans; it is asked to look, as a driver that has
+    memory to spare may not do so for long while executors' disks fill.
+    """
     for table in tables:
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
