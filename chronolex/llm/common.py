@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.storage import small_batches
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Runs of letters of any script.
@@ -24,6 +26,7 @@ def fold_of(doc_id: str | Column, parts: int) -> Column:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, so that no other column (however named) reaches an operator."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

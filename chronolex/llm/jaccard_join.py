@@ -271,6 +271,7 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     postings = groups.select("gid", F.posexplode("prefix").alias("pos", "h")).repartition("h")
     several = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     listed = materialise(postings.join(several.select("h"), "h"), "postings")
+    del postings, several
     traits = groups.select("gid", "n", "pw", "ph", F.size("prefix").alias("k"))
     shared = materialise(listed.join(traits, "gid"), "traits")
     discard(listed)

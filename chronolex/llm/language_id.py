@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import fold_of, record_batch
-from chronolex.storage import load, materialise
+from chronolex.storage import load, materialise, small_batches
 
 BITS = 13
 SIZE = 1 << BITS
@@ -137,6 +137,7 @@ def sample_rows(docs: DataFrame, fit: Fit) -> DataFrame:
 
 
 def learn(docs: DataFrame, fit: Fit) -> Model:
+    small_batches(docs.sparkSession)
     rows = materialise(sample_rows(docs, fit), "language")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

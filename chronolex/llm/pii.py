@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import id_text, record_batch
-from chronolex.storage import load
+from chronolex.storage import load, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The kinds that patterns find.
@@ -377,6 +377,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with all spans of text redacted and n_chars (if there) counted anew; other columns as they are."""
     field = field or trained()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

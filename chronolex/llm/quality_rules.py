@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import WORD, record_batch
-from chronolex.storage import load
+from chronolex.storage import load, small_batches
 
 #: Character classes, by position in the histogram.
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "full stop or comma", "other mark", "symbol", "else")
@@ -224,6 +224,7 @@ def score(docs: DataFrame, refs: dict, limits: Limits) -> DataFrame:
 def quality_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Learn the references from all of docs, then judge all of docs."""
     limits = limits or Limits()
+    small_batches(docs.sparkSession)
     return score(docs, references(docs, limits), limits)
 
 
