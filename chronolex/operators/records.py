@@ -280,5 +280,5 @@ def stored_embeddings(existing: DataFrame, new: DataFrame, key: str, digest: str
     """Rows of new to insert; a key that is there with another digest fails the query."""
     old = existing.select(key, F.col(digest).alias("old_digest"))
     joined = new.dropDuplicates([key, digest]).join(old, key, "left")
-    same = F.col("old_digest").isNull() | F.when(F.col("old_digest") == F.col(digest), True).otherwise(F.raise_error(F.lit("stored embedding has drifted")).cast("boolean"))
-    return joined.where(same).where("old_digest is null").drop("old_digest")
+    absent = F.when(F.col("old_digest").isNull(), True).when(F.col("old_digest") == F.col(digest), False).otherwise(F.raise_error(F.lit("stored embedding has drifted")).cast("boolean"))
+    return joined.where(absent).drop("old_digest")

@@ -1,5 +1,6 @@
 """Truth tables of the operators on small inputs."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import text as fn
 from chronolex.functions.identity import content_id
-from chronolex.operators import activity, chunk, linkage, merge, search, temporal, tree, watch
+from chronolex.operators import activity, chunk, linkage, merge, records, search, temporal, tree, watch
+from chronolex.operators import nodes as tree_nodes
 from chronolex.plans import queries
 from chronolex.sources import readers
 
@@ -179,3 +181,79 @@ def test_latency_stats_hold_no_group(spark):
         v = sorted(x for k, x in data if k == g and x is not None)
         want.append((g, v[0], v[-1], v[round((len(v) - 1) * 0.95)], len(v)))
     assert rows(out, "g", "lo", "hi", "p95", "n") == sorted([*want, ("e", None, None, None, 0)], key=repr)
+
+
+def test_xml_names_attachments_and_strings(spark):
+    source = b"<?xml version='1.0' encoding='utf-8'?><n:a xmlns:n='u'><b src=''>x<!--no--><c x:src='f' xmlns:x='v'>y</c>z</b>t</n:a>"
+    nodes = tree.xml_rows(1, source)
+    assert [n[8] for n in nodes] == ["/*[local-name()='a' and namespace-uri()='u'][1]", "/*[local-name()='a' and namespace-uri()='u'][1]/b[1]", "/*[local-name()='a' and namespace-uri()='u'][1]/b[1]/comment()[1]", "/*[local-name()='a' and namespace-uri()='u'][1]/b[1]/c[1]"]
+    assert tree.string_value(nodes) == "xyzt" and tree.string_value(nodes, 4) == "y" and tree.declared_encoding(source) == "utf-8" and tree.declared_encoding(b"<a/>") is None
+    files = spark.createDataFrame([(1, bytearray(source)), (2, bytearray(b"<a>"))], "k long, c binary")
+    shredded = tree.shred_xml_nodes(files, "k", "c")
+    assert rows(tree.attachments(shredded), "ord", "tag", "attribute", "src") == [(2, "b", "src", ""), (4, "c", "{v}src", "f")]
+    assert rows(shredded.select("ord", tree.local_name("tag").alias("name"), tree.attribute("attributes", "src").alias("src")).where("name is not null"), "ord", "name", "src") == [(1, "a", None), (2, "b", ""), (4, "c", "f")]
+    assert rows(tree.shred_xml(files, "k", "c"), "doc", "encoding", "issue") == [(1, "utf-8", None), (2, None, "XML_NOT_WELL_FORMED")]
+
+
+def test_deep_and_wide_documents():
+    deep = tree.xml_rows(1, b"<a>" * 2000 + b"x" + b"</a>" * 2000)
+    assert len(deep) == 2000 and deep[-1][5] == 1999 and deep[-1][11] == "x"
+    wide = tree.xml_rows(1, b"<r>" + b"<a/><b/>" * 20_000 + b"</r>")
+    assert len(wide) == 40_001 and wide[-1][3:5] == (40_000, 20_000)
+
+
+def test_character_changes_rebuild_both_sides(spark):
+    pairs = [(1, "abc def", "abd  ef"), (2, "", "new"), (3, None, None), (4, "same", "same")]
+    d = spark.createDataFrame(pairs, "k int, a string, b string")
+    got = records.character_changes(d, "a", "b", "k").collect()
+    for k, a, b in pairs:
+        own = sorted((r for r in got if r.k == k), key=lambda r: r.pos)
+        assert "".join(r.left_text for r in own) == (a or "") and "".join(r.right_text for r in own) == (b or "")
+        assert all((r.op == "equal") == (r.left_text == r.right_text) for r in own)
+
+
+def test_records_refuse_what_is_wrong(spark):
+    bad = spark.createDataFrame([("A", "B_20240101_0", None, None, "x")], "law_id string, revision_id string, amending_id string, api_date date, kind string")
+    with pytest.raises(Exception, match="another law"):
+        records.revision_rows(bad).collect()
+    old, new = (spark.createDataFrame([(1, d)], "k int, digest string") for d in ("a", "b"))
+    with pytest.raises(Exception, match="drifted"):
+        records.stored_embeddings(old, new, "k", "digest").collect()
+    assert records.stored_embeddings(old, old, "k", "digest").count() == 0
+    assert [records.readiness(p, ["a", "b"]) for p in ([], ["a"], ["b", "a", "c"])] == ["empty", "partial", "ready"]
+    faults = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1e300, 1.0]), (6, None)], "k int, v array<double>")
+    assert rows(records.embedding_faults(faults, "v", 2), "k", "fault") == [(1, None), (2, "length"), (3, "zero"), (4, "not finite"), (5, "not finite"), (6, "missing")]
+
+
+def test_hash_embedding_is_stable(spark):
+    d = spark.createDataFrame([(1, "Law law text"), (2, ""), (3, None), (4, "law text LAW")], "k int, t string")
+    got = {r.k: r.embedding for r in records.hash_embedding(d, "t", 16).collect()}
+    assert got[1] == got[4] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2]) and not any(got[3])
+
+
+def test_evidence_must_be_whole(spark):
+    nodes = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b")], "doc long, ord int, body string")
+    sha = hashlib.sha256(b"a\nb").hexdigest()
+    whole = spark.createDataFrame([("c", 1, sha, [1, 2, 3])], "context_id string, doc long, sha string, ords array<int>")
+    assert rows(tree_nodes.evidence_bundle(whole, nodes), "position", "ord", "body") == [(1, 1, "a"), (2, 2, None), (3, 3, "b")]
+    for c, says in ((("c", 1, sha, [1, 3, 4]), "incomplete"), (("c", 1, "0", [1, 3]), "changed"), (("c", 2, sha, [1]), "missing")):
+        with pytest.raises(Exception, match=says):
+            tree_nodes.evidence_bundle(spark.createDataFrame([c], whole.schema), nodes).collect()
+
+
+def test_chunk_configurations_and_filters(spark):
+    chunks = spark.createDataFrame([(1, "x"), (2, "y")], "k int, config string")
+    assert tree_nodes.chunk_config(chunks.where("k = 1")) == "x" and tree_nodes.chunk_config(chunks, "y") == "y"
+    for configured in (None, "z"):
+        with pytest.raises(ValueError):
+            tree_nodes.chunk_config(chunks, configured)
+    with pytest.raises(ValueError):
+        search.chunk_structural_search(chunks, {"k": None}, ["k"])
+    texts = spark.createDataFrame([(1, "old law text", ""), (2, "text", "Law 1"), (3, "none", "none")], "k int, text string, prefix string")
+    assert [r.k for r in search.chunk_lexical_search(texts, " law  text", ["k"]).collect()] == [1] and search.chunk_lexical_search(texts, " ", ["k"]).count() == 0
+
+
+def test_budget_skips_and_goes_on(spark):
+    d = spark.createDataFrame([("a", 1, 7000, 10), ("a", 2, 1, 11), ("b", 1, 4000, 12), ("b", 2, 3000, 13), ("b", 3, 2000, 14), *[("c", i, 1, 100 + i) for i in range(12)]], "g string, o int, n long, k int").repartition(3)
+    got = {(r.g, r.position): (r.k, r.used) for r in search.budgeted(d, "g", "o", "n", "k").collect()}
+    assert got == {("a", 1): (10, 7000), ("b", 1): (12, 6000), ("b", 2): (14, 6000)} | {("c", i + 1): (100 + i, 8) for i in range(8)}

@@ -43,7 +43,7 @@ def test_query(spark, duck, name):
 
 
 def test_tree_checks_find_nothing(spark):
-    assert {r.check_name: r.violations for r in QUERIES["page_tree_dq"](spark, SF).collect()} == {k: 0 for k in ("one_root", "order_contiguous", "ordinals_contiguous", "child_segments_resolve", "nodes_have_segments")}
+    assert {r.check_name: r.violations for r in QUERIES["page_tree_dq"](spark, SF).collect()} == {k: 0 for k in ("one_root", "order_contiguous", "elements_have_tags", "ordinals_contiguous", "child_segments_resolve", "nodes_have_segments")}
 
 
 def test_entry(spark):
