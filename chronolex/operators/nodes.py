@@ -183,4 +183,4 @@ def evidence_bundle(contexts: DataFrame, nodes: DataFrame) -> DataFrame:
     text = F.array_join(F.filter("nodes.body", lambda b: F.trim(F.coalesce(b, F.lit(""))) != ""), "\n")
     state = F.when(F.size("nodes") != F.col("n"), "evidence is incomplete").when(F.col("nodes").isNull(), "evidence is missing").when(F.sha2(text, 256) != F.col("sha"), "evidence has changed")
     sound = whole.where(F.when(state.isNull(), True).otherwise(F.raise_error(state).cast("boolean")))
-    return sound.select("context_id", "doc", F.explode("nodes").alias("s")).select("context_id", (F.col("s.pos") + 1).cast("long").alias("position"), "doc", F.col("s.ord").alias("ord"), F.col("s.body").alias("body"))
+    return sound.select("context_id", "doc", F.explode_outer("nodes").alias("s")).select("context_id", (F.col("s.pos") + 1).cast("long").alias("position"), "doc", F.col("s.ord").alias("ord"), F.col("s.body").alias("body"))
