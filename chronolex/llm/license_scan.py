@@ -1,15 +1,20 @@
 """Licence scan by a trained paragraph classifier.
 
 A multinomial logistic regression over sparse word one- to three-grams tells licence families, an unknown licence
-and no licence apart. It is trained here, on notices made from the names and carriers below, with an L1 penalty
-that leaves few weights. Paragraphs (lines) with one of the model's licence words are scored; the rest can't
-reach a family. A family's prediction stands if its probability reaches the threshold calibrated on a held-out part
-of the notices, else it counts as unknown; comparison with the family's name templates confirms it (confirmed).
+and no licence apart. It is trained here, on notices made from the names, carriers and clauses below, with an L1
+penalty that leaves few weights. A family's prediction stands if its probability reaches a threshold, else it counts
+as unknown; the threshold is the least from which on a model that has never seen one name form of every family is right
+often enough about those forms. Comparison with the family's templates (names and clauses) confirms a prediction
+(confirmed).
+
+A paragraph is a line; where a line ends without a mark of its end and neither it nor the next line holds a licence
+alone, the two together are a paragraph, too (a wrapped notice). Paragraphs without any anchor word aren't scored:
+anchors are chosen so that all weights of all other words together can't lift a family over "no licence".
 
 DataFrame functions and Spark ML's JVM trainer only; scoring is a map over rows without a shuffle.
 
-Defined results: one row for each paragraph found to hold a licence; null or empty text has none. Repeated rows
-give their rows each; other columns are ignored. An empty table gives no rows.
+Defined results: one row for each paragraph found to hold a licence, by its first line; null or empty text has none.
+Repeated rows give their rows each; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from chronolex.storage import load
 
 NONE, UNKNOWN = "none", "unknown"
+#: Fixed value: how a line that isn't wrapped ends (or that it is empty).
+ENDED = r"[.!?:;…]$|^$"
 
 #: Names of each licence family, as notices give them.
 NAMES = {
@@ -52,6 +59,20 @@ CARRIERS = (
     "This software is available under the {}; see the LICENSE file.", "You may use this file only under the {}.", "SPDX-License-Identifier: {}", "License: {}", "The source code is published under the {} by its authors.",
     "Permission to use, copy and modify is granted under the {}.", "Dual licensed under the {} or commercial terms.", "This text is shared under a {} licence.", "{}",
 )
+#: A clause that is typical of each family's notices or texts.
+CLAUSES = {
+    "apache": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+}
 #: Made-up names, for licences of no known family.
 OTHER_NAMES = ("Acme Source Terms", "Open Harbour License 1.0", "Northwind Community Licence", "Fabrikam Evaluation Agreement", "Blue Lake Public Terms, version 4", "terms of the vendor", "our own license", "license agreement of the seller")
 #: Text that holds no licence, some of it with words that notices use.
@@ -60,6 +81,7 @@ BACKGROUND = (
     "el la los las de y en que un una por con para es no se del al", "version 2.0 of the program was faster than version 1.0", "the general public was invited to the opening", "he released the brake and drove under the bridge", "this work is new and was distributed to the members",
     "the terms of the sale were clear to all authors", "see the file for the source code of the program", "permission was granted to enter the building", "the university at mit and the berkeley campus", "an eclipse of the sun was seen in public", "the apache helicopter landed", "mozilla made a browser",
     "the commons voted on attribution of the cost", "her driver's license expired in may", "a licensed electrician checked the wires", "you may copy and modify the plan only by hand", "use this road under good conditions", "universal public domain of numbers", "commercial agreement between the two towns", "version 3 general 4.0 3.0 2.1 2.0 1.0", "by nc sa nd cc",
+    "mit", "er kam mit der zeit", "mit dem haus und mit der stadt", "nicht mit einem", "von und mit im", "das ist mit sich", "mit den", "auf mit für", "mit in mit", "und mit das", "mit und die", "mit zu von",
 )
 
 
@@ -97,11 +119,12 @@ class Model:
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    """(family, text, held_out): the training table."""
-    rows = [(f, c.format(n)) for f, names in NAMES.items() for n in names for c in CARRIERS]
-    rows += [(UNKNOWN, c.format(n)) for n in OTHER_NAMES for c in CARRIERS[:-1]]
-    rows += [(NONE, b) for b in BACKGROUND for _ in range(4)]
-    table = json.dumps([{"family": f, "text": t, "held_out": i % 5 == 4 and f != NONE} for i, (f, t) in enumerate(rows)])
+    """(family, text, held_out): the training table. Of families with three names or more, one whole form is held out."""
+    rows = [(f, c.format(n), len(names) > 2 and n == names[1]) for f, names in NAMES.items() for n in names for c in CARRIERS]
+    rows += [(f, c, False) for f, c in CLAUSES.items() for _ in range(3)]
+    rows += [(UNKNOWN, c.format(n), n == OTHER_NAMES[1]) for n in OTHER_NAMES for c in CARRIERS[:-1]]
+    rows += [(NONE, b, False) for b in BACKGROUND for _ in range(4)]
+    table = json.dumps([{"family": f, "text": t, "held_out": h} for f, t, h in rows])
     return spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(table), "array<struct<family string, text string, held_out boolean>>")).alias("r")).select("r.*")
 
 
@@ -109,28 +132,54 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.withColumn("words", words_of(F.col("text"))).withColumn("grams", bind(words_of(F.col("text")), grams_of))
 
 
-def learn(spark: SparkSession, precision: float = 0.98) -> Model:
-    classes = [NONE, UNKNOWN, *NAMES]
-    rows = prepared(notices(spark)).withColumn("label", F.array_position(F.lit(classes), F.col("family")).cast("double") - 1).cache()
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.where(~F.col("held_out")))
-    fitted = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, maxIter=80).fit(vectorizer.transform(rows.where(~F.col("held_out"))))
-    matrix, intercept = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+def fitted(rows: DataFrame) -> Model:
+    """The regression on these rows, without a threshold."""
+    spark, classes = rows.sparkSession, [NONE, UNKNOWN, *NAMES]
+    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows)
+    found = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, maxIter=80).fit(vectorizer.transform(rows))
+    matrix, intercept = found.coefficientMatrix.toArray(), [float(x) for x in found.interceptVector.toArray()]
     weights = {g: [round(float(x), 6) for x in matrix[:, j]] for j, g in enumerate(vectorizer.vocabulary) if abs(matrix[:, j]).max() > 1e-4}
-    common = {w for b in BACKGROUND[:4] for w in b.split()}
-    named = {r.w for r in rows.where("family <> 'none'").select(F.explode("words").alias("w")).distinct().collect()} - common
-    plain = {r.w for r in rows.where("family = 'none'").select(F.explode("words").alias("w")).distinct().collect()}
-    anchors = sorted((named - plain) | (named & {"license", "licensed", "licence", "released", "apache", "mit", "cc", "mozilla"}))
     hashed = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(sorted(weights))), "array<string>")).alias("g")).select("g", F.xxhash64("g").alias("h")).collect()
-    model = Model(classes, [float(x) for x in intercept], weights, [r.g for r in hashed], [r.h for r in hashed], anchors, 0.0)
-    tried = rows.where("held_out").select("family", bind(F.col("words"), lambda w: judged(w, model)).alias("v")).select("family", "v.*").collect()
-    # the least threshold from which on held-out predictions of a family are right often enough
+    return Model(classes, intercept, weights, [r.g for r in hashed], [r.h for r in hashed], anchors(intercept, weights), 1.0)
+
+
+def anchors(intercept: list[float], weights: dict[str, list[float]]) -> list[str]:
+    """Words without any of which "no licence" (the first class) is the best one for certain.
+
+    The margin of a class over the first is at most that of the intercepts plus all positive margins of grams free
+    of anchors. The word that lowers the largest margin most becomes an anchor until none is positive.
+    """
+    grams = sorted(weights)
+    gain = np.array([[max(0.0, w - weights[g][0]) for w in weights[g]] for g in grams])
+    margin = np.array(intercept) - intercept[0]
+    margin[0] = -np.inf
+    free, chosen = np.ones(len(grams), dtype=bool), []
+    holders: dict[str, list[int]] = {}
+    for j, g in enumerate(grams):
+        for w in set(g.split(" ")):
+            holders.setdefault(w, []).append(j)
+    while grams and (margin + gain[free].sum(axis=0)).max() >= 0:
+        worst = int((margin + gain[free].sum(axis=0)).argmax())
+        lowers = {w: sum(gain[j, worst] for j in js if free[j]) for w, js in holders.items()}
+        word = max(lowers, key=lambda w: (lowers[w], w))
+        if not lowers[word]:
+            break  # the intercepts alone favour a licence: nothing bounds it
+        chosen.append(word)
+        free[holders.pop(word)] = False
+    return sorted(chosen)
+
+
+def learn(spark: SparkSession, precision: float = 0.98) -> Model:
+    """The model of all notices, with the threshold of one that hasn't seen the held-out name forms."""
+    rows = prepared(notices(spark)).withColumn("label", F.array_position(F.lit([NONE, UNKNOWN, *NAMES]), F.col("family")).cast("double") - 1).cache()
+    part = fitted(rows.where(~F.col("held_out")))
+    tried = rows.where("held_out").select("family", bind(F.col("words"), lambda w: judged(w, part)).alias("v")).select("family", "v.*").collect()
     by = sorted(((r.probability, r.best == r.family) for r in tried if r.best not in (NONE, UNKNOWN)), reverse=True)
-    threshold, right = 0.5, 0
+    model, right = fitted(rows), 0
     for i, (p, ok) in enumerate(by, 1):
         right += ok
         if right >= precision * i:
-            threshold = p
-    model.threshold = min(0.9, max(0.3, threshold))
+            model.threshold = p
     rows.unpersist()
     return model
 
@@ -152,16 +201,16 @@ def judged(words: Column, model: Model) -> Column:
 
 
 def templates(family: Column) -> Column:
-    """The names of the family, as arrays of words."""
-    split = lambda n: [w for w in re.split(r"[^\w.+]+", n.lower()) if w]
-    table = F.create_map(*[x for f, names in NAMES.items() for x in (F.lit(f), F.array(*[F.lit(split(n)) for n in names]))])
+    """The names and the clause of the family, as arrays of words."""
+    split = lambda n: [w for w in re.split(r"[^\w.+]+|\.+(?!\w)", n.lower()) if w]
+    table = F.create_map(*[x for f, names in NAMES.items() for x in (F.lit(f), F.array(*[F.lit(split(n)) for n in (*names, *([CLAUSES[f]] if f in CLAUSES else []))]))])
     return F.try_element_at(table, family)
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, confirmed) of every paragraph that holds a licence."""
     model = model or learn(docs.sparkSession)
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("paragraph", "line")).where(F.length("line") > 0)
+    split = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
 
     def verdict(words: Column) -> Column:
         return F.when(F.arrays_overlap(words, F.lit(model.anchors)), bind(judged(words, model), lambda v: found(words, v)))
@@ -172,7 +221,16 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         same = F.exists(templates(family), lambda n: joined.contains(F.concat(F.lit(" "), F.array_join(n, " "), F.lit(" "))) | (F.size(F.array_intersect(n, words)) >= F.ceil(F.size(n) * 0.8)))
         return F.when(v["best"] != NONE, F.struct(family.alias("family"), v["probability"].alias("probability"), F.coalesce(same, F.lit(False)).alias("confirmed")))
 
-    return lines.select("doc_id", "paragraph", bind(words_of(F.col("line")), verdict).alias("v")).where(F.col("v").isNotNull()).select("doc_id", "paragraph", "v.*")
+    # a line, and the next one where this one doesn't end; what follows is judged only where a word could matter
+    pairs = bind(split, lambda lines: F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.when(~F.rtrim(x).rlike(ENDED), F.get(lines, i + 1)).alias("following"))))
+    lines = docs.select("doc_id", F.posexplode(pairs).alias("paragraph", "p")).where(F.length("p.line") > 0).select("doc_id", "paragraph", "p.line", "p.following")
+    words = lines.withColumn("words", words_of(F.col("line"))).withColumn("more", words_of(F.col("following")))
+
+    def wrapped(both: Column) -> Column:
+        return F.when(F.col("more").isNotNull(), F.when(bind(F.col("more"), verdict).isNull(), verdict(both)))
+
+    judged_lines = words.select("doc_id", "paragraph", F.coalesce(bind(F.col("words"), verdict), bind(F.concat("words", "more"), wrapped)).alias("v"))
+    return judged_lines.where(F.col("v").isNotNull()).select("doc_id", "paragraph", "v.*")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

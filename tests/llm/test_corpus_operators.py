@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronolex.llm import chat_formatting, decontamination, jaccard_join, language_id, license_scan, packing, pii, training_order
@@ -128,9 +129,30 @@ def test_licences(spark, licences, awkward, empty):
     d = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in license_scan.license_scan(d, licences).collect()}
     assert got == {(1, 0): ("bsd", True), (3, 1): ("unknown", False), (4, 0): ("mpl", True), (5, 0): ("agpl", True), (6, 0): ("cc-by-nc", True), (7, 0): ("mit", True)}
+    wrapped = spark.createDataFrame([(1, "First.\nThis work is licensed under the GNU Lesser\nGeneral Public License, version 2.1.\nEnd."), (2, "Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer."), (3, "MIT License\nApache License 2.0")], "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph): r.family for r in license_scan.license_scan(wrapped, licences).collect()}
+    assert got[2, 0] == "bsd" and (got[3, 0], got[3, 1]) == ("mit", "apache") and "lgpl" in (got.get((1, 1)), got.get((1, 2)))
     assert license_scan.license_scan(awkward, licences).count() == 0 and license_scan.license_scan(empty, licences).count() == 0
 
 
+def test_licences_without_an_anchor_are_none(spark, licences):
+    """Every text of the model's words that holds no anchor is no licence: the bound is tried on its own grams."""
+    free = sorted({w for g in licences.grams for w in g.split(" ")} - set(licences.anchors))
+    assert licences.anchors and free
+    row = spark.createDataFrame([(free,), (free[:1],), (free[::-1],)], "w array<string>")
+    assert {r.best for r in row.select(license_scan.judged(F.col("w"), licences).alias("v")).select("v.best").collect()} == {license_scan.NONE}
+
+
+def test_licence_lines_of_documents(spark, licences):
+    """Precision and recall on the lines that name a licence in the documents, by their fixed wording."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = {"apache": "Apache License", "mit": "MIT License", "gpl": "GNU General Public License", "cc-by-nc": "CC BY-NC", "bsd": "BSD", "mpl": "Mozilla Public License", "cc-by-sa": "CC BY-SA", "cc-by": "CC BY 4.0"}
+    want = {(r.doc_id, i): f for r in docs.collect() for i, line in enumerate((r.text or "").split("\n")) for f, n in known.items() if n in line and re.search("[Ll]icen[sc]e", line)}
+    got = {(r.doc_id, r.paragraph): r.family for r in license_scan.license_scan(docs, licences).collect()}
+    right = sum(got.get(k) == f for k, f in want.items())
+    assert len(want) >= 5 and right >= 0.95 * len(want) and right >= 0.9 * len(got)
+
+
 def test_ids_equal_the_tokenizers_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
