@@ -64,3 +64,11 @@ def quote(text: Column | str, most: int = 1000) -> Column:
 def clamp(limit: int | None, default: int, most: int) -> int:
     """A row limit between 1 and most."""
     return max(1, min(default if limit is None else limit, most))
+
+
+def checked_limit(limit: int | None, default: int, most: int) -> int:
+    """A row limit between 1 and most; any other is refused."""
+    found = default if limit is None else limit
+    if not 1 <= found <= most:
+        raise ValueError(f"the limit must be from 1 to {most}")
+    return found

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.functions.identity import content_id
+from chronolex.operators.chunk import chunk_identity
 
 
 def _depths(nodes: DataFrame) -> int:
@@ -155,7 +155,7 @@ def anchored_chunks(nodes: DataFrame, boundaries: list[str], most: int = 1200, v
     kind = {c: nodes.schema[c].dataType.simpleString() for c in ("doc", "ord")}
     schema = f"doc {kind['doc']}, chunk long, anchor {kind['ord']}, prefix string, first_ord {kind['ord']}, last_ord {kind['ord']}, n_units long, n_chars long, oversize boolean, text string"
     made = units.repartition("doc").sortWithinPartitions("doc", "ord").mapInPandas(pack, schema)
-    return made.withColumn("chunk_id", content_id(F.lit(version), F.lit(f"soft_max_chars={most}"), "doc", "anchor", "first_ord", "last_ord", F.sha2("text", 256)))
+    return made.withColumn("chunk_id", chunk_identity(version, most, "doc", "anchor", "first_ord", "last_ord", F.sha2("text", 256)))
 
 
 def chunk_config(chunks: DataFrame, configured: str | None = None) -> str:

@@ -282,3 +282,49 @@ def stored_embeddings(existing: DataFrame, new: DataFrame, key: str, digest: str
     joined = new.dropDuplicates([key, digest]).join(old, key, "left")
     absent = F.when(F.col("old_digest").isNull(), True).when(F.col("old_digest") == F.col(digest), False).otherwise(F.raise_error(F.lit("stored embedding has drifted")).cast("boolean"))
     return joined.where(absent).drop("old_digest")
+
+
+# --- payloads and exports
+
+FIELDS = ("question", "as_of", "law_id")
+
+
+def payloads(rows: DataFrame, column: str, default_date: str, most: int = 4000) -> DataFrame:
+    """Adds question, as_of, law_id and error to rows with a query as JSON.
+
+    Only the known fields may be there; the question has 1 to most characters, the date is an ISO date (the default
+    where there is none), the id has 15 digits and capitals. The first fault found is the error.
+    """
+    value = lambda f: F.get_json_object(column, f"$.{f}")
+    keys = F.json_object_keys(column)
+    day = F.when(value("as_of").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(value("as_of"), "yyyy-MM-dd"))
+    question = F.trim(F.coalesce(value("question"), F.lit("")))
+    error = (
+        F.when(keys.isNull(), "not an object")
+        .when(F.size(F.array_except(keys, F.lit(list(FIELDS)))) > 0, "unknown field")
+        .when(~F.length(question).between(1, most), "question length")
+        .when(value("as_of").isNotNull() & day.isNull(), "date")
+        .when(~F.coalesce(value("law_id").rlike("^[0-9A-Z]{15}$"), F.lit(True)), "law id")
+    )
+    return rows.withColumn("error", error).withColumns({"question": F.when(F.col("error").isNull(), question), "as_of": F.when(F.col("error").isNull(), F.coalesce(day, F.lit(default_date).cast("date"))), "law_id": F.when(F.col("error").isNull(), value("law_id"))})
+
+
+def bounded_export(evidence: DataFrame, group: str, order: str, text: str, most_rows: int = 8, most_chars: int = 4000) -> DataFrame:
+    """(group, n, payload): each group's first most_rows texts, cut to most_chars characters, as JSON."""
+    w = Window.partitionBy(group).orderBy(order)
+    first = evidence.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most_rows).withColumn("cut", F.substring(text, 1, most_chars))
+    items = F.array_sort(F.collect_list(F.struct("place", F.col("cut").alias("text"))))
+    return first.groupBy(group).agg(F.count("*").alias("n"), F.to_json(items).alias("payload"))
+
+
+def substantive(nodes: DataFrame, suffix: str = "Sentence") -> DataFrame:
+    """Documents with a node whose tag ends with the suffix and has text."""
+    return nodes.where(F.col("tag").endswith(suffix) & (F.trim(F.coalesce("body", F.lit(""))) != "")).select("doc").distinct()
+
+
+def envelopes(relations: DataFrame, states: DataFrame, target: str, include_candidates: bool = False) -> DataFrame:
+    """Relations of each target with their state; only confirmed ones unless candidates are asked for."""
+    joined = relations.join(states, "relation_id", "left").withColumn("state", F.coalesce("state", F.lit("candidate")))
+    kept = joined if include_candidates else joined.where("state = 'confirmed'")
+    w = Window.partitionBy(target).orderBy("relation_id")
+    return kept.withColumn("place", F.row_number().over(w)).withColumn("citation_ready", F.col("state") == "confirmed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import xml.etree.ElementTree as ET
+import xml.parsers.expat as expat
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -181,6 +182,46 @@ def shred_xml_nodes(files: DataFrame, key: str, content: str) -> DataFrame:
     return _shredded(files, key, content, lambda k, raw: xml_rows(k, bytes(raw)))
 
 
+def scan_xml(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(doc, ok, n_nodes, max_depth, n_tails, tags): counts of a document read as a stream, without a tree."""
+    schema = "doc long, ok boolean, n_nodes long, max_depth int, n_tails long, tags map<string,long>"
+
+    def counted(source: bytes) -> tuple:
+        depth = deepest = nodes = tails = 0
+        closed, tags = [False], {}
+
+        def start(name: str, _: dict) -> None:
+            nonlocal depth, deepest, nodes
+            deepest, depth, nodes = max(deepest, depth), depth + 1, nodes + 1
+            tags[name] = tags.get(name, 0) + 1
+            closed.append(False)
+
+        def end(_: str) -> None:
+            nonlocal depth
+            depth -= 1
+            closed.pop()
+            closed[-1] = True
+
+        def text(value: str) -> None:
+            nonlocal tails
+            tails += closed[-1] and bool(value.strip())
+
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+        try:
+            parser.Parse(source, True)
+        except expat.ExpatError:
+            return (False, 0, 0, 0, {})
+        return (True, nodes, deepest, tails, {("{" + k if "}" in k else k): v for k, v in tags.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(int(k), *counted(bytes(raw))) for k, raw in zip(b[key], b[content], strict=True)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return files.select(key, content).mapInPandas(run, schema)
+
+
 def shred_xml(files: DataFrame, key: str, content: str) -> DataFrame:
     """(doc, sha256, status, encoding, n_nodes, max_depth, issue, paths, bodies) of XML documents.
 

@@ -10,6 +10,7 @@ from chronolex.functions.text import first_iso_date, normalise
 from chronolex.operators import linkage, quality, records, temporal, watch
 from chronolex.plans.queries import PROBES, _INTERVALS, _resolution_sql, intervals, probes, query
 from chronolex.storage import load, materialise
+from chronolex.streaming import events as streaming
 
 # --- revision rows
 
@@ -365,3 +366,58 @@ def snapshot_ids(spark, sf_dir):
     """Identity of external documents, and of their snapshots by payload."""
     d = load(spark, sf_dir, "documents").withColumn("document_id", content_id(F.lit("v1"), "source", "doc_id"))
     return d.select("doc_id", "document_id", content_id(F.lit("v1"), "document_id", F.sha2("text", 256)).alias("snapshot_id"))
+
+
+# --- payloads, exports, scopes of evidence
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '{"question":"' || p_name || '","as_of":"1995-02-30"}' WHEN 1 THEN '{"question":" ","law_id":"1"}' WHEN 2 THEN '{"question":"' || p_name || '","x":1}' WHEN 3 THEN '{"question":"' || p_name || '","law_id":"short"}' ELSE '{"question":" ' || p_name || '","law_id":"' || lpad(CAST(p_partkey AS VARCHAR), 15, '0') || '"}' END AS j, p_name, p_size FROM part)
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'date' WHEN 1 THEN 'question length' WHEN 2 THEN 'unknown field' WHEN 3 THEN 'law id' END AS error, CASE WHEN p_size % 5 = 4 THEN p_name END AS question, CASE WHEN p_size % 5 = 4 THEN DATE '2024-01-01' END AS as_of, CASE WHEN p_size % 5 = 4 THEN lpad(CAST(p_partkey AS VARCHAR), 15, '0') END AS law_id FROM p""")
+def query_payloads(spark, sf_dir):
+    p, size, name = load(spark, sf_dir, "part"), F.col("p_size") % 5, F.to_json(F.struct(F.col("p_name").alias("question")))
+    head = F.substr(name, F.lit(1), F.length(name) - 1)
+    law = F.lpad(F.col("p_partkey").cast("string"), 15, "0")
+    payload = (
+        F.when(size == 0, F.concat(head, F.lit(',"as_of":"1995-02-30"}'))).when(size == 1, F.lit('{"question":" ","law_id":"1"}')).when(size == 2, F.concat(head, F.lit(',"x":1}')))
+        .when(size == 3, F.concat(head, F.lit(',"law_id":"short"}'))).otherwise(F.concat(F.replace(head, F.lit('":"'), F.lit('":" ')), F.lit(',"law_id":"'), law, F.lit('"}')))
+    )
+    return records.payloads(p.select("p_partkey", payload.alias("payload")), "payload", "2024-01-01").select("p_partkey", "error", "question", "as_of", "law_id")
+
+
+@query("SELECT o_custkey, count(*) AS n, '[' || string_agg('{\"place\":' || k || ',\"text\":\"' || substr(t, 1, 6) || '\"}', ',' ORDER BY k) || ']' AS payload FROM (SELECT o_custkey, o_orderpriority AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 8 GROUP BY 1")
+def bounded_export(spark, sf_dir):
+    return records.bounded_export(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority", 8, 6)
+
+
+@query("SELECT DISTINCT o_custkey AS doc FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def substantive_documents(spark, sf_dir):
+    from chronolex.plans.structure import nodes_of
+
+    return records.substantive(nodes_of(spark, sf_dir))
+
+
+@query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R'))
+ OR EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'error')""")
+def nested_exists(spark, sf_dir):
+    """Keys with a finished order without returned line, or with an error: semi and anti joins, joined as sets."""
+    c = load(spark, sf_dir, "customer").select("c_custkey")
+    returned = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    clean = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(returned, "o_orderkey", "left_anti").select(F.col("o_custkey").alias("c_custkey"))
+    failed = load(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("c_custkey"))
+    return c.join(clean.union(failed).distinct(), "c_custkey", "left_semi")
+
+
+@query("""WITH s AS (SELECT doc_id AS relation_id, CASE WHEN bool_or(quality = 1) AND bool_or(toxic = 1) THEN 'conflicted' WHEN bool_or(quality = 1) THEN 'confirmed' WHEN bool_or(toxic = 1) THEN 'rejected' ELSE 'candidate' END AS state FROM labels GROUP BY 1)
+SELECT doc_id AS relation_id, source, state, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, true AS citation_ready FROM documents JOIN s ON relation_id = doc_id WHERE state = 'confirmed'""")
+def relation_envelopes(spark, sf_dir):
+    states = load(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("relation_id")).agg(linkage.effective_state(F.col("quality") == 1, F.col("toxic") == 1).alias("state"))
+    return records.envelopes(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("relation_id"), "source"), states, "source")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark, sf_dir):
+    """Runs of a user's events less than half an hour apart, by session windows of the stream."""
+    e = streaming.event_stream(load(spark, sf_dir, "events"), "ts")
+    found = streaming.drain(streaming.sessions(e, "ts", "user_id"), "complete")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})

@@ -17,11 +17,19 @@ REVISION_NAME = re.compile(r"^([0-9A-Z]{15}_[0-9]{8}_[0-9A-Z]{15})\.xml$")
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Laws of the saved pages of a catalogue (JSON with laws[] and next_offset), one row each."""
+    """Laws of the saved pages of a catalogue (JSON with laws[] and next_offset), one row each. catalogue_gaps checks the pages."""
     pages = spark.read.schema("total_count long, count long, next_offset long, laws array<struct<law_info: map<string,string>, revision_info: map<string,string>>>").json(path, multiLine=True)
     return pages.select(F.explode("laws").alias("l")).select("l.law_info", "l.revision_info")
 
 
+def catalogue_gaps(spark: SparkSession, path: str) -> DataFrame:
+    """(offset): next offsets of the saved pages at which no page begins. A page begins where the counts before it end."""
+    pages = spark.read.schema("total_count long, count long, next_offset long").json(path, multiLine=True)
+    starts = pages.select((F.col("next_offset") - F.col("count")).alias("offset"))
+    last = pages.where("next_offset is null").select((F.col("total_count") - F.col("count")).alias("offset"))
+    return pages.where("next_offset is not null").select(F.col("next_offset").alias("offset")).join(starts.union(last), "offset", "left_anti")
+
+
 def history_file(spark: SparkSession, path: str) -> DataFrame:
     """Revisions of saved histories (JSON with law_info and revisions[]), with their place from 1."""
     rows = spark.read.schema("law_info map<string,string>, revisions array<map<string,string>>").json(path, multiLine=True)
@@ -93,3 +101,16 @@ def pdf_signatures(spark: SparkSession, path: str) -> DataFrame:
     text = F.decode("content", "ISO-8859-1")
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), text.startswith("%PDF-").alias("is_pdf"), count(r"/ByteRange").alias("n_byte_ranges"), count(r"/Type\s*/Sig\b").alias("n_signatures"))
+
+
+def archive_report(members: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(archive, problem): what differs between archives' members and a manifest (archive, sha256, n_members), with repeats.
+
+    No row means that every archive is there with its hash and number of members and no revision comes twice.
+    """
+    name = F.regexp_extract("archive", r"([^/]+)$", 1)
+    found = members.groupBy(name.alias("archive")).agg(F.max("archive_sha256").alias("sha"), F.count("*").alias("n"), F.count_distinct("member").alias("names"))
+    both = manifest.join(found, "archive", "full_outer")
+    problem = F.when(F.col("sha").isNull(), "missing").when(F.col("sha256").isNull(), "not in the manifest").when(F.col("sha") != F.col("sha256"), "another hash").when(F.col("n") != F.col("n_members"), "another number of members").when(F.col("n") != F.col("names"), "member names repeat")
+    twice = members.join(duplicate_members(members), "revision_id", "left_semi").select(name.alias("archive"), F.concat(F.lit("revision repeats: "), "revision_id").alias("problem")).distinct()
+    return both.select("archive", problem.alias("problem")).where("problem is not null").union(twice)

@@ -257,3 +257,39 @@ def test_budget_skips_and_goes_on(spark):
     d = spark.createDataFrame([("a", 1, 7000, 10), ("a", 2, 1, 11), ("b", 1, 4000, 12), ("b", 2, 3000, 13), ("b", 3, 2000, 14), *[("c", i, 1, 100 + i) for i in range(12)]], "g string, o int, n long, k int").repartition(3)
     got = {(r.g, r.position): (r.k, r.used) for r in search.budgeted(d, "g", "o", "n", "k").collect()}
     assert got == {("a", 1): (10, 7000), ("b", 1): (12, 6000), ("b", 2): (14, 6000)} | {("c", i + 1): (100 + i, 8) for i in range(8)}
+
+
+def test_scan_counts_what_the_tree_has(spark):
+    source = b"<n:a xmlns:n='u'>x<b><c/>tail</b> <b/>t</n:a>"
+    files = spark.createDataFrame([(1, bytearray(source)), (2, bytearray(b"<a>"))], "k long, c binary")
+    nodes = tree.xml_rows(1, source)
+    got = {r.doc: r for r in tree.scan_xml(files, "k", "c").collect()}
+    tags = [n[7] for n in nodes]
+    assert (got[1].n_nodes, got[1].max_depth, got[1].tags) == (len(nodes), max(n[5] for n in nodes), {t: tags.count(t) for t in tags})
+    assert got[1].n_tails == sum(k == "tail" and bool(v.strip()) for n in nodes for k, v, _ in n[10]) and not got[2].ok
+
+
+def test_archives_against_a_manifest(spark, tmp_path):
+    name = "A" * 15 + "_20240101_" + "0" * 15
+    for z in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{z}.zip", "w") as f:
+            f.writestr(f"x/{name}.xml", f"<{z}/>")
+    members = readers.archive_members(spark, f"file://{tmp_path}/*.zip")
+    sha = hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest()
+    manifest = spark.createDataFrame([("a.zip", sha, 1), ("c.zip", "0", 1)], "archive string, sha256 string, n_members int")
+    assert rows(readers.archive_report(members, manifest)) == [("a.zip", f"revision repeats: {name}"), ("b.zip", "not in the manifest"), ("b.zip", f"revision repeats: {name}"), ("c.zip", "missing")]
+
+
+def test_catalogue_pages_must_follow(spark, tmp_path):
+    for i, page in enumerate(({"total_count": 5, "count": 2, "next_offset": 2}, {"total_count": 5, "count": 2, "next_offset": 4}, {"total_count": 5, "count": 1, "next_offset": None})):
+        (tmp_path / f"p{i}.json").write_text(json.dumps(page | {"laws": []}))
+    assert readers.catalogue_gaps(spark, f"file://{tmp_path}").count() == 0
+    (tmp_path / "p1.json").unlink()
+    assert rows(readers.catalogue_gaps(spark, f"file://{tmp_path}")) == [(2,)]
+
+
+def test_limits_are_refused():
+    assert [fn.checked_limit(x, 20, 50) for x in (None, 1, 50)] == [20, 1, 50]
+    for x in (0, 51):
+        with pytest.raises(ValueError):
+            fn.checked_limit(x, 20, 50)
