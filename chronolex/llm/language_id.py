@@ -43,7 +43,7 @@ class Fit:
 
     One of five of the drawn rows is kept from the centroids and shows what unseen texts reach. Of their cosines in a
     length class, low is the reject_quantile and middle the median: a text is rejected below
-    low - reject_tail * (middle - low) - reject_margin.
+    low - reject_tail * (middle - low) - reject_margin - reject_noise / sqrt(n), as n rows tell little of their tail.
     """
 
     rows: int = 2000
@@ -52,6 +52,7 @@ class Fit:
     reject_quantile: float = 0.001
     reject_tail: float = 1.0
     reject_margin: float = 0.05
+    reject_noise: float = 0.5
 
 
 def _letter_table() -> np.ndarray:
@@ -161,11 +162,16 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
 
     def cluster(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         """Spherical k-means over one language's sample, seeded by farthest points; bounded by fit.rows."""
-        found = [v for v, _ in map(vector, part["text"].sort_values()) if v is not None]
-        if not found:
+        x, n = np.empty((len(part), SIZE), dtype=np.float32), 0
+        for text in part["text"].sort_values():
+            v, _ = vector(text)
+            if v is not None:
+                v *= idf
+                x[n] = v / max(np.linalg.norm(v), 1e-9)
+                n += 1
+        if not n:
             return pd.DataFrame({"lang": [], "weights": []})
-        x = np.array([v * idf for v in found], dtype=np.float32)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = x[:n]
         centre = x.mean(axis=0)
         seeds = [int(np.argmax(x @ centre))]
         near = x @ x[seeds[0]]
@@ -175,7 +181,8 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
         c = x[seeds]
         for _ in range(rounds):
             own = np.argmax(x @ c.T, axis=1)
-            c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+            sums = (own[None, :] == np.arange(len(c))[:, None]).astype(np.float32) @ x
+            c = np.where((own[None, :] == np.arange(len(c))[:, None]).any(axis=1, keepdims=True), sums, c)
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
         own = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
         kept = c[own >= max(2, 0.01 * len(x))] if (own >= max(2, 0.01 * len(x))).any() else c
@@ -199,8 +206,8 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
             yield record_batch(out, "length int, score double")
 
     seen = rows.where("kept").select("text").mapInArrow(cosines, "length int, score double").groupBy("length")
-    got = seen.agg(F.expr(f"percentile_approx(score, array({fit.reject_quantile}, 0.5), 10000)").alias("q")).collect()
-    low = {r.length: r.q[0] - fit.reject_tail * (r.q[1] - r.q[0]) - fit.reject_margin for r in got}
+    got = seen.agg(F.expr(f"percentile_approx(score, array({fit.reject_quantile}, 0.5), 10000)").alias("q"), F.count("*").alias("n")).collect()
+    low = {r.length: r.q[0] - fit.reject_tail * (r.q[1] - r.q[0]) - fit.reject_margin - fit.reject_noise / math.sqrt(r["n"]) for r in got}
     least = None
     for length in reversed(range(LENGTHS)):  # shorter texts never face a higher bar than longer ones
         if length in low:
