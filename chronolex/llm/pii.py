@@ -7,7 +7,7 @@ batches. It adds what the patterns miss: disguised addresses, numbers of other l
 digit, and a fifth kind, secrets (access tokens, keys, passwords) by the words before them. By definition a span
 begins only at (or right before) a token with a digit, an @ or a mark of disguise and stays within REACH tokens of
 one; so only those tokens are decoded, in whole runs, however long, with the features of their true neighbours. Spans
-of the field that touch one of the patterns' are dropped; the patterns' spans always stay.
+of the field that touch one of the patterns', or have a number of digits that their kind can't, are dropped; the patterns' spans always stay.
 
 Defined results: null text counts as empty; empty text has no spans. Repeated rows are scanned one by one. Every
 pattern is scanned in time linear in the text, so very long texts and runs of one character are no danger.
@@ -84,6 +84,8 @@ def joined(spans: list[Span]) -> str:
 
 # --- the field -------------------------------------------------------------------------------------------------
 
+#: Digits that a span of the kind can have; others are no such span.
+DIGITS = {"ip": range(4, 18), "card": range(12, 20), "phone": range(7, 16)}
 #: Labels: outside, then begin and inside of each kind.
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
@@ -103,7 +105,7 @@ FORMS = {
     "card": ("#### #### #### ####", "################", "####-####-####-####", "####.####.####.####", "#### ###### #####"),
     "phone": ("+# (###) ###-####", "(###) ###-####", "###-###-####", "###.###.####", "+## ## ########", "0## #######", "+##-###-#######"),
     "secret": ('token = "~@h"', 'token = "~@h"', "~token=@h", "password = '~@k'", "password: ~@k", 'api_key = "~@k"', "secret: ~@h", "secret key ~@k", "bearer ~@h", "Token: ~@h", "~password=@k", "key = ~@k"),
-    "O": ("commit @h", "checksum @h", "#.#", "####", "##.", "##:##", "####-##-##", "$##.##", "##%", "(##)", "#,###", "@w#", "v#.#.#", "#/#/####", "##########", "[#]", "#.#.#", "@w @w", "BY-NC #.#", "Version #.#.", "№##", "#####################", "token @w", "password @w", "the key of @w"),
+    "O": ("commit @h", "checksum @h", "@h", "@h", "@w @h", "@w: @h", "digest = @h", "@w=@h", "# # # # # # # # # # # # # # # #", "# # # #", "## ## ## ## ## ## ## ## ##", "## # ### # ## ### #", "### ### ### ### ### ### ### ###", "#.## #.## #.## #.##", "#, ##, ###, #, ##", "| ## | ### | ## | # |", "#.#", "####", "##.", "##:##", "####-##-##", "$##.##", "##%", "(##)", "#,###", "@w#", "v#.#.#", "#/#/####", "##########", "[#]", "#.#.#", "@w @w", "BY-NC #.#", "Version #.#.", "№##", "#####################", "token @w", "password @w", "the key of @w"),
 }
 #: What stands around them.
 AROUND = ("{}", "call {} now", "my number is {} thanks", "write to {} or not", "the server {} was down", "paid with {} yesterday", "@w @w {} @w", "@w, {}, @w @w", "contact: {}.", "@w {}. @w @w", "see page {} of @w", "in {} the @w")
@@ -150,7 +152,7 @@ def allowed_starts(tokens: list[str]) -> np.ndarray:
     return np.array([bool(TRIGGER.search(t)) or a for t, a in zip(tokens, after, strict=True)])
 
 
-def training_table(rows: int = 1500, seed: int = 7) -> list[tuple[list[str], list[int]]]:
+def training_table(rows: int = 2000, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """Token and label sequences made from the forms; some in capitals, some with marks at their words."""
     rng = np.random.default_rng(seed)
     some = lambda letters, least, most: "".join(rng.choice(list(letters)) for _ in range(rng.integers(least, most)))
@@ -229,7 +231,7 @@ class Field:
         return out
 
 
-def train(table: list[tuple[list[str], list[int]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Field:
+def train(table: list[tuple[list[str], list[int]]], steps: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Gradient ascent (Adam) on the log-likelihood, by forward-backward over the padded table."""
     extracted = [features(tokens) for tokens, _ in table]
     counts: dict[str, int] = {}
@@ -334,7 +336,8 @@ def added_spans(found: list[tuple[str, list[Span]]], field: Field, most_cells: i
                     s = places[t][0] + len(own[t]) - len(own[t].lstrip(EDGES))
                     e = places[end - 1][0] + len(own[end - 1].rstrip(EDGES))
                     at = bisect_left(base, (e,)) - 1  # base spans of a kind don't overlap; those of others may
-                    if s < e and not any(bs < e and s < be for bs, _, be in base[: at + 1]):
+                    fits = sum(c.isdigit() for c in text[s:e]) in DIGITS.get(KINDS[kind], range(e))
+                    if s < e and fits and not any(bs < e and s < be for bs, _, be in base[: at + 1]):
                         out[i].append((s, int(kind), e))
                     t = end
                 else:
