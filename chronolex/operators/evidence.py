@@ -32,3 +32,10 @@ def finalise(drafts: DataFrame, errors: DataFrame) -> DataFrame:
     """Drafts as blocked (with the number of error codes) or citation-ready."""
     n = errors.groupBy("draft_id").agg(F.count("*").alias("n_codes"))
     return drafts.join(n, "draft_id", "left").select("draft_id", F.when(F.col("n_codes") > 0, "blocked").otherwise("citation-ready").alias("status"), F.coalesce("n_codes", F.lit(0)).cast("long").alias("n_codes"))
+
+
+def extractive_answers(bundle: DataFrame, most: int = 240) -> DataFrame:
+    """(context_id, answer_text, evidence_ords): an answer that needs no model: the first text of the evidence, cut to most characters."""
+    texts = bundle.where(F.trim(F.coalesce("body", F.lit(""))) != "")
+    first = texts.groupBy("context_id").agg(F.min_by(F.struct("ord", "body"), "position").alias("f"))
+    return first.select("context_id", F.substring("f.body", 1, most).alias("answer_text"), F.array("f.ord").alias("evidence_ords"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from chronolex.operators import evidence, quality, search
 from chronolex.operators import nodes as tree
-from chronolex.operators import quality, search
 from chronolex.plans.queries import query
-from chronolex.storage import load, materialise
+from chronolex.storage import load, materialise, replace_partitions, shared_dir
 
 PARTS = ("MainProvision", "SupplProvision", "AppendixTable")
 BOUNDARIES = ["MainProvision", "SupplProvision", "Chapter", "Article"]
@@ -230,3 +232,19 @@ def node_checks(spark, sf_dir):
         quality.unique("numbers_repeat_among_siblings", n.where("num is not null"), ["doc", "parent", "tag", "num"]),
         quality.violates("documents_without_nodes", roots, F.col("k") == 1),
     )
+
+
+@query(_NODES + _CHUNKED + f" SELECT cd.chunk_id AS context_id, substr(arg_min(n.body, n.ord), 1, 240) AS answer_text, [min(n.ord)] AS evidence_ords FROM cd JOIN n ON n.doc = cd.doc AND n.ord BETWEEN first_ord AND last_ord WHERE cd.doc IN {_SCOPE} AND trim(n.body) <> '' GROUP BY 1")
+def extractive_answers(spark, sf_dir):
+    return evidence.extractive_answers(evidence_bundle(spark, sf_dir))
+
+
+@query(_NODES + _CHUNKED + " SELECT CAST(doc % 8 AS INT) AS bucket, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM cd GROUP BY 1")
+def chunk_store(spark, sf_dir):
+    """A store by bucket of documents: built from empty texts, then every second bucket is replaced, then the others."""
+    made = materialise(chunks_of(nodes_of(spark, sf_dir)).withColumn("bucket", (F.col("doc") % 8).cast("int")), "chunks")
+    path = f"{shared_dir(spark)}/chronolex/chunk-store-{uuid.uuid4().hex}"
+    replace_partitions(made.withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")), path, ["bucket"])
+    for odd in (0, 1):
+        replace_partitions(made.where(F.col("bucket") % 2 == odd), path, ["bucket"])
+    return spark.read.parquet(path).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))

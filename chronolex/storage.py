@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import json
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +60,18 @@ def discard(*tables: DataFrame) -> None:
     gc.collect()
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Rows become the whole content of the partitions they name in the table at path; its other partitions stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_report(report: dict, uri: str) -> None:
+    """A small report as JSON, under its name only once it is whole."""
+    files, path = fs.FileSystem.from_uri(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as f:
+        f.write(json.dumps(report, ensure_ascii=False, sort_keys=True, indent=1).encode())
+    files.move(temporary, path)

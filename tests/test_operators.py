@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronolex import storage
 from chronolex.functions import text as fn
 from chronolex.functions.identity import content_id
 from chronolex.operators import activity, chunk, linkage, merge, records, search, temporal, tree, watch
@@ -293,3 +294,9 @@ def test_limits_are_refused():
     for x in (0, 51):
         with pytest.raises(ValueError):
             fn.checked_limit(x, 20, 50)
+
+
+def test_reports_are_whole(tmp_path):
+    storage.write_report({"b": 1, "a": "é"}, f"file://{tmp_path}/x/r.json")
+    storage.write_report({"a": 2}, f"file://{tmp_path}/x/r.json")
+    assert json.loads((tmp_path / "x" / "r.json").read_text()) == {"a": 2} and len(list((tmp_path / "x").iterdir())) == 1
