@@ -27,6 +27,8 @@ WORDS, SHARE = 5, 0.8
 #: log2 of the bits of the bitmap.
 BITMAP = 20
 LONGS = 1 << (BITMAP - 6)
+#: Up to so many keys (16 bytes each) are broadcast; a shuffled join takes more.
+BROADCAST_KEYS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -41,8 +43,14 @@ def shingles(words: Column, size: int, of: str) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """128 bits of a text, as hexadecimal digits; null for a null text."""
-    return F.when(text.isNotNull(), F.concat(F.hex(F.xxhash64(text)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), text))))
+    """128 bits of a text; null for a null text."""
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.when(text.isNotNull(), F.unhex(F.concat(digits(F.xxhash64(text)), digits(F.xxhash64(F.lit(1), text)))))
+
+
+def light(keys: DataFrame) -> DataFrame:
+    """Keys of a written table, to be broadcast while they are few, so that texts needn't move to be told apart."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
@@ -92,7 +100,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = hits.join(sketched.select("item_id", F.explode("sketch").alias("h")), "h").select("text_key", "item_id").distinct()
     met = materialise(met, "candidates")
     keyed = texts.select(text_key(F.col("text")).alias("text_key"), "text")
-    found = keyed.join(met.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    found = keyed.join(light(met.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     worded = found.select("text_key", words_of(F.col("text")).alias("words"))
     worded = worded.select("text_key", *[F.array_distinct(shingles(F.col("words"), s, "text")).alias(f"s{s}") for s in sorted({p["size"] for p in parts}) or [WORDS]])
     pairs = worded.join(met, "text_key").join(sketched.select("item_id", "size", "n", "need", "texts"), "item_id")
@@ -111,7 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that contain an item; their columns as they are."""
     found = materialise(matches(docs, items).select("text_key").distinct(), "matches")
     key = "text_key_of_decontamination"
-    return docs.withColumn(key, text_key(F.col("text").cast("string"))).join(found.withColumnRenamed("text_key", key), key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, text_key(F.col("text").cast("string"))).join(light(found.withColumnRenamed("text_key", key)), key, "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
