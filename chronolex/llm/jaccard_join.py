@@ -289,12 +289,17 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     whole = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     alone = shared.groupBy("gid").agg((F.max("k") - F.count("*")).alias("u"))  # prefix hashes that no other group's prefix has
-    # the bitmap of a group of one class; larger groups are filtered once they are expanded
-    bits = members.where("members = 1").select("gid").join(classes.select(F.col("cid").alias("gid"), *BITS), "gid")
-    known = whole.join(alone, "gid").join(bits, "gid", "left").select("gid", "u", *BITS, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("gid")).alias("component"))
+    known = whole.join(alone, "gid").select("gid", "u", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("gid")).alias("component"))
     # rank of a hash among the listed ones of its prefix, and the listed one before it
     order = Window.partitionBy("gid").orderBy("pos")
-    ready = materialise(shared.join(known, "gid").withColumn("rank", F.row_number().over(order)).withColumn("prev", F.lag("h").over(order)), "ready")
+    placed = materialise(shared.drop("k").join(known, "gid").withColumn("rank", F.row_number().over(order)).withColumn("prev", F.lag("h").over(order)), "placed")
+    discard(shared, pivots)
+    # lists within one component make no pair; the bitmap of a group of one class goes along, larger groups are filtered once they are expanded
+    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    bits = members.where("members = 1").select("gid").join(classes.select(F.col("cid").alias("gid"), *BITS), "gid")
+    open_lists = materialise(placed.join(mixed, "h", "left_semi"), "open")
+    discard(placed)
+    ready = materialise(open_lists.join(bits, "gid", "left"), "ready")
     # the one whose prefix ends first can share all but its own hashes
     x = ready.where(f"{p + q} * (n - u - rank + 1) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pw", "ph", "u", "rank", "prev", "component", *BITS)])
     y = ready.where(f"{p + q} * (n - pos) >= {p} * (n + ({p} * n + {q - 1}) div {q})").select("h", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pw", "ph", "pos", "prev", "component", *BITS)])
@@ -314,7 +319,7 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     side = lambda s: labelled.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("component").alias(f"c{s}"))
     rest = met.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b", "ca", "cb")
     rest = materialise(near(rest, classes, least), "near")
-    discard(ready, shared, pivots)
+    discard(ready, open_lists)
     # one pair of any two components is tried before the others, which mostly lie inside one component then
     tried = rest.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("differing", "a", "b", "n_a", "n_b", "ca", "cb")).alias("p")).select("p.*")
     tried = materialise(tried, "tried")
