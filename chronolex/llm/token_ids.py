@@ -20,7 +20,7 @@ import tiktoken
 #: Fixed value: the pre-tokenisation of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-MOST_CACHED = 80_000
+MOST_CACHED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
