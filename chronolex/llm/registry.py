@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolex.llm import chat_formatting, decontamination
+from chronolex.llm import chat_formatting, decontamination, fill_in_middle
 from chronolex.llm.chat_formatting import op5_chat_formatting
 from chronolex.llm.decontamination import op10_decontamination
+from chronolex.llm.fill_in_middle import op12_fill_in_middle
 from chronolex.llm.jaccard_join import op3_jaccard_join
 from chronolex.llm.language_id import op2_language_id
 from chronolex.llm.license_scan import op6_license_scan
@@ -14,5 +15,5 @@ from chronolex.llm.quality_rules import op7_quality_rules
 from chronolex.llm.toxicity import op1_toxicity
 from chronolex.llm.training_order import op8_training_order
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_pii, op5_chat_formatting, op6_license_scan, op7_quality_rules, op8_training_order, op9_best_fit_packing, op10_decontamination)}
-ORACLES: dict[str, str] = {"op5_chat_formatting": chat_formatting.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_pii, op5_chat_formatting, op6_license_scan, op7_quality_rules, op8_training_order, op9_best_fit_packing, op10_decontamination, op12_fill_in_middle)}
+ORACLES: dict[str, str] = {"op5_chat_formatting": chat_formatting.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL}
