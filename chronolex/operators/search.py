@@ -37,11 +37,16 @@ def structural_search(units: DataFrame, filters: dict[str, object], contains: di
     return out.orderBy(*keys).select(*keys).limit(clamp(limit, 100, 500))
 
 
+def best_names(scored: DataFrame, group: str, name: str, limit: int) -> DataFrame:
+    """The best name of each group (the last in order among equals), best groups first; scored has a column score."""
+    best = scored.groupBy(group).agg(F.max_by(F.struct(name, "score"), F.struct("score", F.col(name))).alias("b")).select(group, F.col(f"b.{name}").alias(name), F.col("b.score").alias("score"))
+    return best.orderBy(F.desc("score"), group).limit(limit)
+
+
 def suggest(names: DataFrame, question: str, group: str, name: str, least: float = 0.12, limit: int = 5) -> DataFrame:
     """The most similar name of each group, best groups first."""
     scored = names.select(group, name, F.round(similarity(trigrams(name), trigrams(F.lit(question))), 6).alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy(group).agg(F.max_by(F.struct(name, "score"), F.struct("score", F.col(name))).alias("b")).select(group, F.col(f"b.{name}").alias(name), F.col("b.score").alias("score"))
-    return best.orderBy(F.desc("score"), group).limit(limit)
+    return best_names(scored, group, name, limit)
 
 
 def phrase_resolution(names: DataFrame, questions: DataFrame, phrase: str, question: str) -> DataFrame:

@@ -41,12 +41,17 @@ def small_batches(spark: SparkSession) -> None:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronolex/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/chronolex/{label}-{uuid.uuid4().hex}"
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialise wrote, once nothing that is still to be computed reads them.
 
