@@ -1,24 +1,46 @@
 """Node tables: trees stored as rows (doc, ord, depth, tag, ...) in depth-first order.
 
-In depth-first order the ancestor of a node at depth d is the last node of depth d before it, and its subtree ends
-at the first later node that is no deeper. Both are windows over one sort of each document, so no recursion and no
-join by range is needed; a tree's greatest depth (a small number, found first) is the number of windows.
+What a node owes to the nodes around it (parent, ancestors, the end of its subtree) follows from one pass over its
+document in order, or backwards, with a stack of open nodes: linear in the document, memory of its depth, and no
+number of levels in the plan. A document came from one file and is read by one task; documents are dealt by key.
+Tables that know parents only, in no order, are resolved by pointer doubling: as many joins as the depth has
+binary digits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from chronolex.operators.chunk import chunk_identity
+from chronolex.storage import discard, materialise
 
+#: Rounds of pointer doubling: paths of up to 2 ** 40 nodes; more means that parents run in a circle.
+ROUNDS = 40
 
-def _depths(nodes: DataFrame) -> int:
-    """Number of levels: one row to the driver."""
-    return (nodes.agg(F.max("depth")).first()[0] or 0) + 1
+
+def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added: list[StructField], visitor: Callable[[], Callable[..., tuple]]) -> DataFrame:
+    """rows with columns added by a visitor, which is made anew for each document and called for its rows in order."""
+    names, types = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, visit = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for doc, *values in zip(*(b.column(c).to_pylist() for c in ("doc", *uses)), strict=True):
+                if visit is None or doc != current:
+                    current, visit = doc, visitor()
+                out.append(visit(*values))
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*b.schema.names, *names])
+
+    return rows.repartition("doc").sortWithinPartitions("doc", *order).mapInArrow(run, StructType([*rows.schema.fields, *added]))
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -26,37 +48,132 @@ def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
 
     order sorts a document's rows depth-first: a parent before its children, keys of deeper levels null above.
     """
-    levels = _depths(rows)
-    placed = rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy(*order)))
-    before = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*[F.max(F.when(F.col("depth") == d, F.col("ord"))).over(before) for d in range(levels)])
-    placed = placed.withColumn("parent", F.when(F.col("depth") > 0, F.element_at(last, F.col("depth"))))
-    siblings = Window.partitionBy("doc", "parent").orderBy("ord")
-    alike = Window.partitionBy("doc", "parent", "tag").orderBy("ord")
-    return placed.withColumn("ordinal", F.row_number().over(siblings)).withColumn("path_index", F.row_number().over(alike))
 
+    def visitor() -> Callable[..., tuple]:
+        n, roots = 0, [0, {}]
+        stack: list[list] = []  # depth, ord, number of children, number of children by tag
+
+        def visit(depth: int, tag: str | None) -> tuple:
+            nonlocal n
+            n += 1
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            above = stack[-1] if stack else [0, None, *roots]
+            above[2] += 1
+            alike = above[3][tag] = above[3].get(tag, 0) + 1
+            if not stack:
+                roots[0] = above[2]
+            stack.append([depth, n, 0, {}])
+            return n, above[1], above[2], alike
+
+        return visit
+
+    return streamed(rows, order, ["depth", "tag"], [StructField(c, IntegerType()) for c in ("ord", "parent", "ordinal", "path_index")], visitor)
+
+
+def with_ancestors(nodes: DataFrame, *columns: str, tags: list[str] | None = None) -> DataFrame:
+    """Adds ancestors: array of structs (ord, tag and the columns) from the root down to the node itself.
+
+    With tags only the nodes of these tags are in it, so that deep documents don't carry all their levels.
+    """
+    names = list(dict.fromkeys(["ord", "tag", *columns]))
+    item = StructType([nodes.schema[c] for c in names])
 
-def with_ancestors(nodes: DataFrame, *columns: str) -> DataFrame:
-    """Adds ancestors: array of structs (ord, tag and the columns) from the root down to the node itself."""
-    levels = _depths(nodes)
-    here = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    item = F.struct("ord", "tag", *columns)
-    last = F.array(*[F.last(F.when(F.col("depth") == d, item), ignorenulls=True).over(here) for d in range(levels)])
-    return nodes.withColumn("ancestors", F.slice(last, F.lit(1), F.col("depth") + 1))
+    def visitor() -> Callable[..., tuple]:
+        stack: list[tuple] = []
+
+        def visit(depth: int, *values) -> tuple:
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            if tags is None or values[1] in tags:
+                stack.append((depth, dict(zip(names, values, strict=True))))
+            return ([v for _, v in stack],)
+
+        return visit
+
+    return streamed(nodes, ["ord"], ["depth", *names], [StructField("ancestors", ArrayType(item))], visitor)
 
 
 def with_end(nodes: DataFrame) -> DataFrame:
-    """Adds end: the first later node that is no deeper, or null at the end of the document."""
-    levels = _depths(nodes)
-    later = Window.partitionBy("doc").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    nearest = F.array(*[F.min(F.when(F.col("depth") <= d, F.col("ord"))).over(later) for d in range(levels)])
-    return nodes.withColumn("end", F.element_at(nearest, F.col("depth") + 1))
+    """Adds end, the first later node that is no deeper (null at the end of the document), and last, the last node of the subtree.
+
+    Read backwards, the nodes still to be met as an end are a stack of falling depths: each is put there once.
+    """
+    kind = nodes.schema["ord"].dataType
+
+    def visitor() -> Callable[..., tuple]:
+        stack: list[tuple] = []  # depth, ord, last
+
+        def visit(depth: int, ord_: int) -> tuple:
+            last = ord_
+            while stack and stack[-1][0] > depth:
+                last = stack.pop()[2]
+            end = stack[-1][1] if stack else None
+            stack.append((depth, ord_, last))
+            return end, last
+
+        return visit
+
+    return streamed(nodes, [F.desc("ord")], ["depth", "ord"], [StructField("end", kind), StructField("last", kind)], visitor)
 
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(doc, ord, path): the steps from the root, each with its place among siblings of the tag."""
-    steps = F.transform("ancestors", lambda a: F.concat(F.lit("/"), a["tag"], F.lit("["), a["path_index"].cast("string"), F.lit("]")))
-    return with_ancestors(nodes, "path_index").select("doc", "ord", F.array_join(steps, "").alias("path"))
+
+    def visitor() -> Callable[..., tuple]:
+        stack: list[tuple] = []
+
+        def visit(depth: int, tag: str | None, place: int | None) -> tuple:
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            step = "" if tag is None or place is None else f"/{tag}[{place}]"
+            stack.append((depth, (stack[-1][1] if stack else "") + step))
+            return (stack[-1][1],)
+
+        return visit
+
+    light = nodes.select("doc", "ord", "depth", "tag", "path_index")
+    return streamed(light, ["ord"], ["depth", "tag", "path_index"], [StructField("path", StringType())], visitor).select("doc", "ord", "path")
+
+
+def _doubled(links: DataFrame, keys: list[str], node: str, merge: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """links (keys, node, up, ...) followed to the top: every round takes each link as far again.
+
+    merge gives a column's value from that of the link above and the node's own. A link's up is null once it has
+    arrived. The tables of earlier rounds are removed.
+    """
+    links = materialise(links, "links")
+    for _ in range(ROUNDS):
+        if links.where(F.col("up").isNotNull()).isEmpty():
+            return links
+        above = links.select(*keys, F.col(node).alias("up"), F.col("up").alias("further"), F.lit(True).alias("there"), *[F.col(c).alias(f"above_{c}") for c in merge])
+        met = links.where(F.col("up").isNotNull()).join(above, [*keys, "up"], "left")  # a parent that isn't there ends the way
+        values = [F.when(F.col("there"), f(F.col(f"above_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c, f in merge.items()]
+        moved = met.select(*keys, node, F.col("further").alias("up"), *values)
+        former, links = links, materialise(links.where(F.col("up").isNull()).select(*keys, node, "up", *merge).unionByName(moved), "links")
+        discard(former)
+    raise ValueError("parents run in a circle")
+
+
+def recursive_paths(nodes: DataFrame, keys: list[str], node: str, parent: str, step: Column) -> DataFrame:
+    """(keys, node, path, depth): root-to-node paths from parent pointers alone, by pointer doubling.
+
+    A node whose parent isn't in the table is a root. Nodes may come in any order and be any number of levels deep.
+    """
+    links = nodes.select(*keys, node, F.col(parent).alias("up"), step.alias("path"), F.lit(0).cast("long").alias("depth"))
+    done = _doubled(links, keys, node, {"path": F.concat, "depth": lambda above, own: above + own + 1})
+    return done.select(*keys, node, "path", "depth")
+
+
+def nearest_above(nodes: DataFrame, keys: list[str], node: str, parent: str, boundary: Column) -> DataFrame:
+    """(keys, node, nearest): the nearest node at or above it that is a boundary, from parent pointers; null if none is.
+
+    Boundaries and roots end the way, so pointers double towards them.
+    """
+    here = F.coalesce(boundary, F.lit(False))
+    links = nodes.select(*keys, node, F.when(~here, F.col(parent)).alias("up"), F.struct(F.when(here, F.col(node)).alias("id")).alias("nearest"))
+    done = _doubled(links, keys, node, {"nearest": lambda above, own: above})
+    return done.select(*keys, node, F.col("nearest.id").alias("nearest"))
 
 
 def anchored(nodes: DataFrame, boundaries: list[str]) -> DataFrame:
@@ -64,20 +181,31 @@ def anchored(nodes: DataFrame, boundaries: list[str]) -> DataFrame:
 
     prefix joins the labels of the boundaries and the anchor, from the root on.
     """
-    marked = with_ancestors(nodes, "label")
-    bounds = F.filter("ancestors", lambda a: a["tag"].isin(boundaries))
-    anchor = F.coalesce(F.try_element_at(bounds, F.lit(-1))["ord"], F.col("parent"), F.col("ord"))
-    marked = marked.withColumn("anchor", anchor)
-    named = F.filter("ancestors", lambda a: (a["tag"].isin(boundaries) | (a["ord"] == F.col("anchor"))) & (F.trim(F.coalesce(a["label"], F.lit(""))) != ""))
-    return marked.withColumn("prefix", F.array_join(F.transform(named, lambda a: F.trim(a["label"])), " > ")).drop("ancestors")
+
+    def visitor() -> Callable[..., tuple]:
+        stack: list[tuple] = []  # depth, ord, label of every open node
+        bounds: list[tuple] = []
+
+        def visit(depth: int, ord_: int, parent: int | None, tag: str | None, label: str | None) -> tuple:
+            for s in (stack, bounds):
+                while s and s[-1][0] >= depth:
+                    s.pop()
+            stack.append((depth, ord_, (label or "").strip(" ")))
+            if tag in boundaries:
+                bounds.append(stack[-1])
+            named = bounds or [next((s for s in reversed(stack) if s[1] == parent), stack[-1])]
+            return named[-1][1], " > ".join(x for _, _, x in named if x)
+
+        return visit
+
+    return streamed(nodes, ["ord"], ["depth", "ord", "parent", "tag", "label"], [StructField("anchor", nodes.schema["ord"].dataType), StructField("prefix", StringType())], visitor)
 
 
 def scoped(nodes: DataFrame, main: str, supplement: str) -> DataFrame:
     """Adds scope: main below the main part, supplementary:<its number> below a numbered supplement, else null; the nearest decides."""
-    parts = F.filter("ancestors", lambda a: a["tag"].isin(main, supplement))
-    near = F.try_element_at(parts, F.lit(-1))
+    near = F.try_element_at("ancestors", F.lit(-1))
     scope = F.when(near["tag"] == main, F.lit("main")).when((near["tag"] == supplement) & near["num"].isNotNull(), F.concat(F.lit("supplementary:"), near["num"]))
-    return with_ancestors(nodes, "num").withColumn("scope", scope).drop("ancestors")
+    return with_ancestors(nodes, "num", tags=[main, supplement]).withColumn("scope", scope).drop("ancestors")
 
 
 def subtrees(nodes: DataFrame, tag: str) -> DataFrame:
@@ -85,8 +213,8 @@ def subtrees(nodes: DataFrame, tag: str) -> DataFrame:
 
     Nodes of the tag inside one another give rows to each. Membership is read off the ancestors, so no range join runs.
     """
-    below = with_ancestors(nodes).select("doc", "ord", "depth", "tag", "body", F.explode("ancestors").alias("a"))
-    return below.where((F.col("a.tag") == tag) & (F.col("a.ord") != F.col("ord"))).select("doc", F.col("a.ord").alias("anchor"), "ord", "depth", "tag", "body")
+    below = with_ancestors(nodes.select("doc", "ord", "depth", "tag", "body"), tags=[tag]).select("doc", "ord", "depth", "tag", "body", F.explode("ancestors").alias("a"))
+    return below.where(F.col("a.ord") != F.col("ord")).select("doc", F.col("a.ord").alias("anchor"), "ord", "depth", "tag", "body")
 
 
 def rendered(nodes: DataFrame, tag: str, between: str = "\n") -> DataFrame:
@@ -97,6 +225,40 @@ def rendered(nodes: DataFrame, tag: str, between: str = "\n") -> DataFrame:
     return own.select("doc", "anchor").join(joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.body", between), F.lit("")).alias("text"))
 
 
+def segment_texts(nodes: DataFrame) -> DataFrame:
+    """(doc, ord, anchor, up, i, value): the texts of every node, keyed by their place in the document.
+
+    A text before all children of its node stands right after the node; one behind a child stands after the last node
+    of the child's subtree, texts of deeper owners first. So (anchor, up, i) sorts a document's texts. An element
+    without segments has its cached text; comments and instructions have none.
+    """
+    element = F.col("kind") == "element" if "kind" in nodes.columns else F.lit(True)
+    n = with_end(nodes.select("doc", "ord", "depth", element.alias("element"), "segments", "body"))
+    n = materialise(n.drop("end"), "segments")
+    own = F.when(F.size(F.coalesce("segments", F.array())) > 0, F.col("segments")).otherwise(F.array(F.struct(F.lit("text").alias("kind"), F.col("body").alias("value"), F.lit(None).cast("int").alias("ord"))))
+    flat = n.where("element").select("doc", "ord", "depth", F.posexplode(own).alias("i", "s"))
+    so_far = Window.partitionBy("doc", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    flat = flat.withColumn("child", F.last(F.when(F.col("s.kind") == "child", F.col("s.ord")), ignorenulls=True).over(so_far))
+    texts = flat.where((F.col("s.kind") != "child") & (F.coalesce("s.value", F.lit("")) != "")).select("doc", "ord", "depth", "i", "child", F.col("s.value").alias("value"))
+    placed = texts.where("child is null").select("doc", "ord", F.col("ord").alias("anchor"), (-F.col("depth")).alias("up"), "i", "value")
+    tails = texts.where("child is not null").join(n.select("doc", F.col("ord").alias("child"), F.col("last").alias("anchor")), ["doc", "child"])
+    return placed.unionByName(tails.select("doc", "ord", "anchor", (-F.col("depth")).alias("up"), "i", "value"))
+
+
+def rendered_segments(nodes: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(doc, anchor, text): the texts of each element with a wanted tag (None: of every one) and of all below, tails included.
+
+    Each text goes to the wanted nodes above it and is sorted there by its place: one aggregate, no recursion.
+    Elements without any text have an empty one.
+    """
+    elements = nodes.where("kind = 'element'") if "kind" in nodes.columns else nodes
+    above = with_ancestors(elements.select("doc", "ord", "depth", "tag"), tags=wanted).select("doc", "ord", F.explode("ancestors.ord").alias("of"))
+    parts = segment_texts(nodes).join(above, ["doc", "ord"])
+    joined = parts.groupBy("doc", F.col("of").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("anchor", "up", "i", "value"))).alias("p"))  # one subtree
+    own = (elements.where(F.col("tag").isin(wanted)) if wanted is not None else elements).select("doc", F.col("ord").alias("anchor"))
+    return own.join(joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.value", ""), F.lit("")).alias("text"))
+
+
 def display_labels(nodes: DataFrame, titles: dict[str, str]) -> DataFrame:
     """(doc, ord, tag, label): text of the first child with the title tag that belongs to the node's tag."""
     table = F.create_map(*[F.lit(x) for k, v in titles.items() for x in (k, v)])

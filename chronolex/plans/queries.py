@@ -362,20 +362,6 @@ def page_tree_dq(spark, sf_dir):
     return tree.tree_checks(materialise(page_tree_nodes(spark, sf_dir), "nodes"))
 
 
-@query("SELECT n_nationkey * 1000000 + c_custkey AS id, '/' || r_name || '/' || n_name || '/' || c_name AS path, 2 AS depth FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-def xml_path_recursive(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").withColumn("id", F.col("c_nationkey").cast("long") * 1000000 + F.col("c_custkey"))
-    return tree.path_strings(spark, [(load(spark, sf_dir, "region"), "r_regionkey", None, "r_name"), (load(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", "n_name"), (c, "id", "c_nationkey", "c_name")])
-
-
-@query("SELECT c_custkey, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_name ELSE n_name END AS anchor, r_name || ' > ' || n_name AS context_prefix FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-def nearest_ancestor(spark, sf_dir):
-    """The nearest ancestor that is a boundary (two of the regions), else the direct parent; labels from the root."""
-    up = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    j = load(spark, sf_dir, "customer").join(up, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select("c_custkey", F.when(F.col("r_name").isin("ASIA", "EUROPE"), F.col("r_name")).otherwise(F.col("n_name")).alias("anchor"), F.concat_ws(" > ", "r_name", "n_name").alias("context_prefix"))
-
-
 @query("""WITH m AS (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS start FROM conversations),
      g AS (SELECT conv_id, start, count(*) AS n FROM m WHERE start IS NOT NULL GROUP BY 1, 2)
 SELECT conv_id, start, lead(start) OVER (PARTITION BY conv_id ORDER BY start) AS "end", n FROM g""")

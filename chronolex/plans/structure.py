@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolex.operators import evidence, quality, search
 from chronolex.operators import nodes as tree
-from chronolex.plans.queries import query
+from chronolex.plans.queries import page_tree_nodes, query
 from chronolex.storage import load, materialise, replace_partitions, shared_dir
 
 PARTS = ("MainProvision", "SupplProvision", "AppendixTable")
@@ -68,6 +68,14 @@ def node_paths(spark, sf_dir):
     return tree.paths(nodes_of(spark, sf_dir))
 
 
+@query(_NODES + """, r AS (SELECT doc, ord, '/' || tag || '[' || path_index || ']' AS path, CAST(0 AS BIGINT) AS depth FROM n WHERE parent IS NULL
+       UNION ALL SELECT n.doc, n.ord, r.path || '/' || n.tag || '[' || n.path_index || ']', r.depth + 1 FROM r JOIN n ON n.doc = r.doc AND n.parent = r.ord) SELECT doc, ord, path, depth FROM r""")
+def xml_path_recursive(spark, sf_dir):
+    """Paths from parent pointers alone, whatever their order and depth."""
+    step = F.concat(F.lit("/"), "tag", F.lit("["), F.col("path_index").cast("string"), F.lit("]"))
+    return tree.recursive_paths(nodes_of(spark, sf_dir), ["doc"], "ord", "parent", step)
+
+
 _ANCESTORS = """, up AS (SELECT doc, ord, ord AS above, parent AS next, tag AS tag_, label AS label_, num AS num_, depth AS d_ FROM n
        UNION ALL SELECT up.doc, up.ord, n.ord, n.parent, n.tag, n.label, n.num, n.depth FROM up JOIN n ON n.doc = up.doc AND n.ord = up.next)"""
 _BOUNDS = "('MainProvision', 'SupplProvision', 'Chapter', 'Article')"
@@ -81,6 +89,12 @@ def boundary_anchors(spark, sf_dir):
     return tree.anchored(nodes_of(spark, sf_dir), BOUNDARIES).select("doc", "ord", "anchor", "prefix")
 
 
+@query(_NODES + _ANCESTORS + " SELECT doc, ord, max(above) FILTER (tag_ IN ('SupplProvision', 'Chapter')) AS nearest FROM up GROUP BY 1, 2")
+def nearest_ancestor(spark, sf_dir):
+    """The nearest chapter or supplement at or above every node, from parent pointers alone."""
+    return tree.nearest_above(nodes_of(spark, sf_dir), ["doc"], "ord", "parent", F.col("tag").isin("SupplProvision", "Chapter"))
+
+
 @query(_NODES + """, e AS (SELECT a.doc, a.ord AS anchor, min(b.ord) AS "end" FROM n a LEFT JOIN n b ON b.doc = a.doc AND b.ord > a.ord AND b.depth <= a.depth WHERE a.tag = 'Article' GROUP BY 1, 2)
 SELECT e.doc, anchor, "end", count(n.ord) AS n_below, count(n.body) AS n_texts FROM e LEFT JOIN n ON n.doc = e.doc AND n.ord > anchor AND ("end" IS NULL OR n.ord < "end") GROUP BY 1, 2, 3""")
 def article_subtrees(spark, sf_dir):
@@ -99,6 +113,35 @@ def rendered_articles(spark, sf_dir):
     return tree.rendered(nodes_of(spark, sf_dir), "Article").select("doc", "anchor", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
 
 
+def mixed_content(n):
+    """Nodes with segments: articles and chapters begin with a text of their own, and a text follows each of their children."""
+    below = n.where("parent is not null").groupBy("doc", F.col("parent").alias("ord")).agg(F.array_sort(F.collect_list("ord")).alias("children"))
+    mark = F.when(F.col("tag") == "Article", ". ").when(F.col("tag") == "Chapter", "; ")
+    segment = lambda kind, value, at: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), at.cast("int").alias("ord"))
+    none = F.lit(None)
+    after = F.flatten(F.transform(F.coalesce("children", F.array().cast("array<int>")), lambda c: F.array(segment("child", none, c), segment("tail", F.col("mark"), none))))
+    own = F.array(segment("text", F.when(F.col("mark").isNotNull(), F.concat("label", F.lit(": "))), none))
+    joined = n.join(below, ["doc", "ord"], "left").withColumn("mark", mark)
+    return joined.withColumn("segments", F.when(F.col("children").isNotNull() | F.col("mark").isNotNull(), F.concat(own, after))).drop("children", "mark")
+
+
+@query(_NODES + """, a AS (SELECT n.doc, n.ord, n.parent, n.label || ': ' || coalesce(string_agg(s.body || '. ', '' ORDER BY s.ord), '') AS t FROM n LEFT JOIN n s ON s.doc = n.doc AND s.parent = n.ord WHERE n.tag = 'Article' GROUP BY n.doc, n.ord, n.parent, n.label),
+     c AS (SELECT n.doc, n.ord, n.parent, n.label || ': ' || string_agg(a.t || '; ', '' ORDER BY a.ord) AS t FROM n JOIN a ON a.doc = n.doc AND a.parent = n.ord WHERE n.tag = 'Chapter' GROUP BY n.doc, n.ord, n.parent, n.label),
+     l AS (SELECT n.doc, n.ord, coalesce(string_agg(c.t, '' ORDER BY c.ord), '') AS t FROM n LEFT JOIN c ON c.doc = n.doc WHERE n.depth = 0 GROUP BY n.doc, n.ord)
+SELECT doc, ord AS anchor, sha256(t) AS sha, length(t) AS n_chars FROM (SELECT doc, ord, t FROM a UNION ALL SELECT doc, ord, t FROM c UNION ALL SELECT doc, ord, t FROM l)""")
+def rendered_mixed(spark, sf_dir):
+    """Articles, chapters and whole documents rendered from mixed content, texts between and behind children included."""
+    rendered = tree.rendered_segments(mixed_content(nodes_of(spark, sf_dir)), ["Article", "Chapter", "Law"])
+    return rendered.select("doc", "anchor", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
+
+
+@query()
+def rendered_pages(spark, sf_dir):
+    """The text of every block of every page, as a browser's textContent gives it."""
+    nodes = materialise(page_tree_nodes(spark, sf_dir), "nodes")
+    return tree.rendered_segments(nodes, ["body", "div", "p", "li", "td", "title"]).select("doc", "anchor", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
+
+
 @query(_NODES + """ SELECT 'documents with tag' AS what, tag AS name, count(DISTINCT doc) AS n FROM n GROUP BY tag UNION ALL SELECT 'nodes with tag', tag, count(*) FROM n GROUP BY tag
  UNION ALL SELECT 'greatest', 'nodes', max(k) FROM (SELECT count(*) AS k FROM n GROUP BY doc) UNION ALL SELECT 'greatest', 'depth', max(depth) FROM n
  UNION ALL SELECT 'main parts without article', 'direct', count(*) FROM n m WHERE tag = 'MainProvision' AND NOT EXISTS (SELECT 1 FROM n c WHERE c.doc = m.doc AND c.parent = m.ord AND c.tag = 'Article')
