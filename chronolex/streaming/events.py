@@ -19,6 +19,11 @@ def event_stream(table: DataFrame, time: str) -> DataFrame:
     return rows.withColumn(time, F.col(time).cast("timestamp"))
 
 
+def table_stream(table: DataFrame) -> DataFrame:
+    """A stream of all files of a table's folder, those that are written later included."""
+    return table.sparkSession.readStream.schema(table.schema).parquet(table.inputFiles()[0].rpartition("/")[0])
+
+
 def daily_counts(events: DataFrame, time: str, kind: str, late: str = "1 day") -> DataFrame:
     """Events a day and kind; a day closes once the watermark has passed it."""
     windows = events.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w"), kind)
