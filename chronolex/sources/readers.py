@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import re
 import xml.etree.ElementTree as ET
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,21 +35,15 @@ def history_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """XML members of ZIP archives: (archive, archive_sha256, member, revision_id, crc32, size, member_sha256, content)."""
-    schema = "archive string, archive_sha256 string, member string, revision_id string, crc32 long, size long, member_sha256 string, content binary"
+    """XML members of ZIP archives: (archive, archive_sha256, member, revision_id, crc32, size, member_sha256, content).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, raw in zip(b["path"], b["content"], strict=True):
-                sha = hashlib.sha256(raw).hexdigest()
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for m in z.infolist():
-                        found = REVISION_NAME.match(m.filename.rpartition("/")[2])
-                        if found:
-                            body = z.read(m)  # checks the CRC
-                            yield pd.DataFrame([(name, sha, m.filename, found[1], m.CRC, m.file_size, hashlib.sha256(body).hexdigest(), body)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    A member that can't be read whole fails the query; archives.members gives it as an issue instead.
+    """
+    from chronolex.sources import archives
+
+    found = archives.members(spark, path).join(archives.digests(spark, path), "archive")
+    sound = found.where(F.when(F.col("issue").isNull(), True).otherwise(F.raise_error(F.col("issue")).cast("boolean")))
+    return sound.select("archive", "archive_sha256", "member", "revision_id", "crc32", "size", "member_sha256", "content")
 
 
 def duplicate_members(members: DataFrame) -> DataFrame:
