@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.storage import materialise
@@ -24,6 +24,21 @@ def related_materials(rows: DataFrame, group: str, state: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(F.col(state) == s).alias(s) for s in ("confirmed", "rejected", "conflicted", "candidate")], F.bool_or(F.col(state) == "confirmed").alias("citation_ready"))
 
 
+def places(rows: DataFrame, group: str, order: list[Column | str], name: str = "place") -> DataFrame:
+    """rows with each one's place in its group, from 1: what row_number gives, without a group in one task.
+
+    Ranges of (group, order) are numbered by themselves, after the sizes of the group's ranges before them.
+    """
+    dealt = rows.repartitionByRange(F.asc_nulls_first(group), *order).withColumn("range_", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")
+    sizes = dealt.groupBy(F.col(group).alias("group_"), F.col("range_").alias("at_")).agg(F.count("*").alias("size_"))
+    before = Window.partitionBy("group_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before_", F.coalesce(F.sum("size_").over(before), F.lit(0))).drop("size_")
+    inside = dealt.withColumn("rank_", F.row_number().over(Window.partitionBy(group, "range_").orderBy(*order)))
+    placed = inside.join(sizes, (F.col("range_") == F.col("at_")) & F.col(group).eqNullSafe(F.col("group_")))
+    return placed.withColumn(name, F.col("before_") + F.col("rank_")).drop("range_", "rank_", "group_", "at_", "before_")
+
+
 def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
     """min, median, nearest-rank p95 (half to even), max, mean and number of values of each group.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions.text import ascii_digits
 from chronolex.operators import linkage, temporal
+from chronolex.operators.activity import places
 
 # --- revision rows
 
@@ -326,5 +327,4 @@ def envelopes(relations: DataFrame, states: DataFrame, target: str, include_cand
     """Relations of each target with their state; only confirmed ones unless candidates are asked for."""
     joined = relations.join(states, "relation_id", "left").withColumn("state", F.coalesce("state", F.lit("candidate")))
     kept = joined if include_candidates else joined.where("state = 'confirmed'")
-    w = Window.partitionBy(target).orderBy("relation_id")
-    return kept.withColumn("place", F.row_number().over(w)).withColumn("citation_ready", F.col("state") == "confirmed")
+    return places(kept, target, ["relation_id"]).withColumn("citation_ready", F.col("state") == "confirmed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import reduce
 
@@ -192,14 +193,39 @@ def scope_supplement(chunks: DataFrame, members: DataFrame, hits: DataFrame) ->
     return taken.select("doc", "chunk_id", F.lit("structural-scope").alias("channel"), F.lit(0.0).alias("score"))
 
 
-def budgeted(ranked_rows: DataFrame, group: str, order: str, length: str, key: str, most: int = 8, budget: int = 6000) -> DataFrame:
+def _in_reach(rows: DataFrame, most: int, salts: int) -> DataFrame:
+    """Rows (g, o, n, k) that budgeted may choose; groups are dealt to salts, so none is one task's work.
+
+    When a row is chosen, all rows before it that are no longer have been chosen too, so there are fewer than most of
+    them, among any part of the rows. A part read in order needs the lengths of the most shortest rows so far only.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, shortest = None, []
+        for b in batches:
+            kept = []
+            for g, salt, n in zip(*(b.column(c).to_pylist() for c in ("g", "salt", "n")), strict=True):
+                if (g, salt) != of:
+                    of, shortest = (g, salt), []
+                kept.append(n is not None and bisect.bisect_right(shortest, n) < most)
+                if kept[-1]:
+                    bisect.insort(shortest, n)
+                    del shortest[most:]
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("k", "o"), F.lit(salts)).cast("int"))
+    return salted.repartition("g", "salt").sortWithinPartitions("g", "salt", "o").mapInArrow(keep, salted.schema).drop("salt")
+
+
+def budgeted(ranked_rows: DataFrame, group: str, order: str, length: str, key: str, most: int = 8, budget: int = 6000, salts: int = 32) -> DataFrame:
     """(group, position, key, used): contexts chosen in rank order; one that would exceed the budget is skipped, later ones may still fit.
 
-    The first may be larger than the budget by itself. used is the length of all that is chosen. A running sum would
-    count skipped ones, so each group's whole list is read in order as a stream; only what is chosen is held.
+    The first may be larger than the budget by itself. used is the length of all that is chosen. Rows without a length
+    aren't chosen. A running sum would count skipped ones, so lists are read in order as streams: first by parts of
+    each group, which leave the few rows that can be chosen at all, then these.
     """
     names = ["g", "o", "n", "k"]
-    rows = ranked_rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(length).cast("long").alias("n"), F.col(key).alias("k"))
+    rows = _in_reach(ranked_rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(length).cast("long").alias("n"), F.col(key).alias("k")), most, salts)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, taken, used = None, [], 0

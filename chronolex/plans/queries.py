@@ -252,25 +252,17 @@ def vector_topk_batch(spark, sf_dir):
     return search.vector_topk_batch(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
 
 
-def _channels(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
-    lexical = d.where(F.col("text").contains("License")).orderBy("n_chars", "doc_id").limit(50)
-    structural = d.where("source = 'src0'").orderBy(F.desc("n_chars"), "doc_id").limit(50)
-    third = d.where("lang = 'en'").orderBy("doc_id").limit(50)
-    hits = search.ranked(lexical, "lexical", "doc_id", [F.col("n_chars"), F.col("doc_id")])
-    hits = hits.unionByName(search.ranked(structural, "structural", "doc_id", [F.desc("n_chars"), F.col("doc_id")]))
-    return hits.unionByName(search.ranked(third, "vector", "doc_id", [F.col("doc_id")]))
-
-
-_FUSED = """WITH h AS (SELECT doc_id, 1.0 AS w, row_number() OVER (ORDER BY n_chars, doc_id) AS rk FROM documents WHERE contains(text, 'License')
-     UNION ALL SELECT doc_id, 0.75, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM documents WHERE source = 'src0'
-     UNION ALL SELECT doc_id, 1.0, row_number() OVER (ORDER BY doc_id) FROM documents WHERE lang = 'en'),
+_FUSED = rf"""WITH sc AS (SELECT doc_id, source, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS body FROM documents),
+     h AS (SELECT doc_id, 1.0 AS w, row_number() OVER (ORDER BY {_sim("body", "'License'")} DESC, doc_id) AS rk FROM sc WHERE contains(body, 'License')
+       UNION ALL SELECT doc_id, 0.75, row_number() OVER (ORDER BY doc_id) FROM sc WHERE source = 'src0'
+       UNION ALL SELECT e.vec_id, 1.0, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id) FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id IN (SELECT doc_id FROM sc)),
      f AS (SELECT doc_id, round(sum(CAST(w AS DOUBLE) / (60 + rk)), 9) AS score, count(*) AS n_channels FROM h WHERE rk <= 50 GROUP BY doc_id)"""
 
 
 @query(_FUSED + " SELECT * FROM f")
 def rrf_fusion(spark, sf_dir):
-    return search.fuse(_channels(spark, sf_dir), "doc_id")
+    """The lexical, structural and vector hits of all documents, fused."""
+    return search.fuse(scoped_channels(spark, sf_dir, load(spark, sf_dir, "documents")), "doc_id")
 
 
 _BUDGET = """, r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents),

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.identity import content_id
+from chronolex.functions.canonical import canonical_json, json_kind
 from chronolex.functions.text import first_iso_date, normalise
-from chronolex.operators import linkage, quality, records, temporal, watch
+from chronolex.operators import activity, linkage, quality, records, temporal, watch
 from chronolex.plans.queries import PROBES, _INTERVALS, _resolution_sql, intervals, probes, query
 from chronolex.plans.structure import nodes_of
 from chronolex.storage import load, materialise
@@ -171,8 +172,7 @@ def manual_reviews(spark, sf_dir):
 def materials_in_order(spark, sf_dir):
     """Materials of each target by date, undated ones last, then provider and id."""
     d = load(spark, sf_dir, "documents").select("source", "doc_id", "lang", F.when(F.col("lang") != "de", F.date_add(F.lit("2020-01-01").cast("date"), F.col("n_chars").cast("int"))).alias("d"))
-    w = Window.partitionBy("source").orderBy(F.asc_nulls_last("d"), "lang", "doc_id")
-    return d.select("source", "doc_id", "lang", F.row_number().over(w).alias("place"))
+    return activity.places(d, "source", [F.asc_nulls_last("d"), "lang", "doc_id"]).drop("d")
 
 
 @query("""SELECT d.doc_id, d.lang, b.n AS n_same, CASE WHEN b.n = 1 THEN d.doc_id END AS single_id, l.state FROM documents d JOIN (SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1) b ON b.sha = sha256(d.text)
@@ -296,13 +296,19 @@ def normal_forms(spark, sf_dir):
     return d.select("doc_id", F.sha2(records.exact_text("text"), 256).alias("exact_sha"), F.sha2(normalise("text"), 256).alias("retrieval_sha"), F.sha2(search_form, 256).alias("search_sha"))
 
 
-@query("""SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, json_exists(props, '$.k') AS has_k, json_exists(props, '$.z') AS has_z, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","missing":null,"user_id":' || user_id || '}' AS canonical FROM events""")
+@query("""SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, json_exists(props, '$.k') AS has_k, json_exists(props, '$.z') AS has_z, lower(json_type(props)) AS kind, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' END AS k_kind,
+ CAST(json_array_length('[' || props || ',' || props || ']') AS INT) AS n, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","missing":null,"props":{"k":"' || (props ->> '$.k') || '"},"tags":["' || event_type || '",null],"user_id":' || user_id || '}') AS canonical FROM events""")
 def json_fields(spark, sf_dir):
-    """A field and the presence of keys in JSON, and rows as canonical JSON (keys in order, nulls kept)."""
+    """A field, the presence and types of keys in JSON, lengths of arrays, and rows as canonical JSON, whatever the order of their fields."""
     e = load(spark, sf_dir, "events")
     keys = F.json_object_keys("props")
-    row = F.struct("event_id", "event_type", F.lit(None).cast("string").alias("missing"), "user_id")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.array_contains(keys, "k").alias("has_k"), F.array_contains(keys, "z").alias("has_z"), F.to_json(row, {"ignoreNullFields": "false"}).alias("canonical"))
+    row = F.struct("user_id", F.from_json("props", "map<string,string>").alias("props"), F.array("event_type", F.lit(None).cast("string")).alias("tags"), F.lit(None).cast("string").alias("missing"), "event_type", "event_id")
+    made = e.withColumn("row", row)
+    listed = F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]"))
+    return made.select(
+        "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.array_contains(keys, "k").alias("has_k"), F.array_contains(keys, "z").alias("has_z"),
+        json_kind("props").alias("kind"), json_kind(F.get_json_object("props", "$.k")).alias("k_kind"), F.json_array_length(listed).alias("n"), F.sha2(canonical_json("row", made.schema["row"].dataType), 256).alias("canonical"),
+    )
 
 
 @query("SELECT vec_id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> (SELECT max(len(embedding)) FROM embeddings) THEN 'length' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not finite' WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' END AS fault FROM embeddings")
@@ -331,10 +337,18 @@ def embedding_inputs(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2(records.embedding_input("lang", "text"), 256).alias("sha"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_full_match(lang, '\\d{4}-\\d{2}-\\d{2}') THEN TRY_CAST(lang AS DATE) ELSE DATE '2020-02-29' END AS issued FROM documents")
+_TEXT_DATES = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%Y-02-30') ELSE strftime(o_orderdate, '%Y-%m-%d') || ' (draft)' END AS a, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') END AS b FROM orders"
+_ISO = "CASE WHEN regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({x} AS DATE) END"
+
+
+@query(f"SELECT o_orderkey, coalesce({_ISO.format(x='a')}, {_ISO.format(x='b')}) AS issued FROM ({_TEXT_DATES})")
 def issue_dates(spark, sf_dir):
-    """The first full ISO date among two fields, the first of which holds none."""
-    return load(spark, sf_dir, "documents").select("doc_id", first_iso_date("lang", F.lit("2020-02-30"), F.lit("2020-02-29")).alias("issued"))
+    """The first full ISO date of an order among two texts: slashes, days that don't exist, remarks and months alone are none."""
+    o = load(spark, sf_dir, "orders")
+    day, rest = lambda f, d="o_orderdate": F.date_format(d, f), lambda n: F.col("o_orderkey") % n
+    a = F.when(rest(4) == 0, day("yyyy-MM-dd")).when(rest(4) == 1, day("yyyy/MM/dd")).when(rest(4) == 2, day("yyyy-'02-30'")).otherwise(F.concat(day("yyyy-MM-dd"), F.lit(" (draft)")))
+    b = F.when(rest(3) == 0, day("yyyy-MM-dd", F.date_add(F.to_date("o_orderdate"), 9))).when(rest(3) == 1, day("yyyy-MM"))
+    return o.select("o_orderkey", a.alias("a"), b.alias("b")).select("o_orderkey", first_iso_date("a", "b").alias("issued"))
 
 
 # --- document store

@@ -254,7 +254,7 @@ def test_chunk_configurations_and_filters(spark):
     assert [r.k for r in search.chunk_lexical_search(texts, " law  text", ["k"]).collect()] == [1] and search.chunk_lexical_search(texts, " ", ["k"]).count() == 0
 
 
-def test_budget_skips_and_goes_on(spark):
+def test_budget_of_streams(spark):
     d = spark.createDataFrame([("a", 1, 7000, 10), ("a", 2, 1, 11), ("b", 1, 4000, 12), ("b", 2, 3000, 13), ("b", 3, 2000, 14), *[("c", i, 1, 100 + i) for i in range(12)]], "g string, o int, n long, k int").repartition(3)
     got = {(r.g, r.position): (r.k, r.used) for r in search.budgeted(d, "g", "o", "n", "k").collect()}
     assert got == {("a", 1): (10, 7000), ("b", 1): (12, 6000), ("b", 2): (14, 6000)} | {("c", i + 1): (100 + i, 8) for i in range(8)}
