@@ -2,9 +2,9 @@
 
 A text becomes a normalised TF-IDF vector over hashed character n-grams (one to three letters, words padded by
 a space). Every language has several centroids, clustered by spherical k-means; a text gets the language of the
-centroid of largest cosine. Its distance decides on rejection: a text whose cosine lies well below what labelled
-texts of about its length reach, measured on rows that no centroid was fitted to, is rejected (column rejected), but
-still gets its nearest language.
+centroid of largest cosine. Its distance decides on rejection: a text whose cosine lies below what nearly all stretches
+of its length reach, and far below the middle one, measured on rows that no centroid was fitted to, is rejected (column
+rejected), but still gets its nearest language.
 
 Fit: document frequencies and centroids come from a bounded sample of labelled rows for each language (Fit), drawn by
 a hash of the id; the rest of the labelled rows isn't needed. Scoring reads every whole text.
@@ -41,18 +41,17 @@ UND = "und"
 class Fit:
     """Bounds of the fit: rows drawn of each language, centroids of each, rounds of k-means.
 
-    One of five of the drawn rows is kept from the centroids and shows what unseen texts reach. Of their cosines in a
-    length class, low is the reject_quantile and middle the median: a text is rejected below
-    low - reject_tail * (middle - low) - reject_margin - reject_noise / sqrt(n), as n rows tell little of their tail.
+    One of five of the drawn rows is kept from the centroids and shows what unseen texts reach: a stretch of each
+    length class is taken from every one that is long enough, so that each class has about as many. A text is rejected
+    below the reject_quantile of its class's cosines, where that is no more than reject_share of their median; a shorter
+    text never faces a higher bar than a longer one.
     """
 
     rows: int = 2000
     centroids: int = 4
     rounds: int = 12
-    reject_quantile: float = 0.001
-    reject_tail: float = 1.0
-    reject_margin: float = 0.05
-    reject_noise: float = 0.5
+    reject_quantile: float = 0.01
+    reject_share: float = 0.3
 
 
 def _letter_table() -> np.ndarray:
@@ -71,7 +70,12 @@ FOLD = _letter_table()
 
 def _folded(piece: str) -> np.ndarray:
     codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(codes < 0x10000, FOLD[np.minimum(codes, 0xFFFF)], codes).astype(np.uint32)
+    out = FOLD[np.minimum(codes, 0xFFFF)]
+    high = codes > 0xFFFF
+    if high.any():  # beyond the table: letters of rare scripts, and symbols
+        found, at = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in found.tolist()], dtype=np.uint32)[at]
+    return out
 
 
 def _grams(before: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -155,7 +159,7 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
     learned = rows.where("not kept")
     df = {r.slot: r["n"] for r in learned.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     n = df.pop(-1, 0)
-    idf = np.zeros(SIZE)
+    idf = np.full(SIZE, math.log(1 + n) + 0.1)  # n-grams of no learned text are rare ones
     for slot, x in df.items():
         idf[slot] = math.log((1 + n) / (1 + x)) + 0.1
     k, rounds = fit.centroids, fit.rounds
@@ -200,22 +204,38 @@ def learn(docs: DataFrame, fit: Fit) -> Model:
         for b in batches:
             out = []
             for text in b.column(0).to_pylist():
-                lang, score, _ = model.predict(text)
-                if lang != UND:
-                    out.append((min(LENGTHS - 1, vector(text)[1].bit_length()), score))
+                for stretch in stretches(text):
+                    lang, score, _ = model.predict(stretch)
+                    if lang != UND:
+                        out.append((min(LENGTHS - 1, vector(stretch)[1].bit_length()), score))
             yield record_batch(out, "length int, score double")
 
     seen = rows.where("kept").select("text").mapInArrow(cosines, "length int, score double").groupBy("length")
     got = seen.agg(F.expr(f"percentile_approx(score, array({fit.reject_quantile}, 0.5), 10000)").alias("q"), F.count("*").alias("n")).collect()
-    low = {r.length: r.q[0] - fit.reject_tail * (r.q[1] - r.q[0]) - fit.reject_margin - fit.reject_noise / math.sqrt(r["n"]) for r in got}
+    bars = {r.length: min(r.q[0], fit.reject_share * r.q[1]) for r in got if r["n"] >= 20}
     least = None
-    for length in reversed(range(LENGTHS)):  # shorter texts never face a higher bar than longer ones
-        if length in low:
-            least = low[length] if least is None else min(least, low[length])
-        model.floor[length] = max(0.0, least if least is not None else min(low.values(), default=0.0))
+    for length in reversed(range(LENGTHS)):
+        if length in bars:
+            least = bars[length] if least is None else min(least, bars[length])
+        model.floor[length] = least if least is not None else 0.0
+    longest = max(bars, default=0)  # texts longer than all that were seen face the bar of these
+    model.floor[longest:] = model.floor[longest]
     return model
 
 
+def stretches(text: str | None) -> Iterator[str]:
+    """The text itself, and of each power of two a stretch of about so many characters from its middle, cut at blanks."""
+    if not text:
+        return
+    yield text
+    for k in range(3, LENGTHS):
+        size = 5 << (k - 2)
+        if size * 3 // 2 > len(text):
+            return
+        begin = text.find(" ", (len(text) - size) // 2) + 1
+        yield text[begin : begin + size].rpartition(" ")[0]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every document."""
     schema = "doc_id long, lang_pred string, score double, rejected boolean"

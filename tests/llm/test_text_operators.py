@@ -112,6 +112,41 @@ def test_language_awkward(spark, awkward, empty):
     assert kept.columns == awkward.columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+OUTSIDERS = {
+    "pl": "Wczoraj wieczorem poszliśmy do kina na nowy film, który bardzo nam się podobał, a potem wróciliśmy do domu tramwajem. Dzieci spały już od dawna, więc rozmawialiśmy cicho przy herbacie o planach na przyszły rok.",
+    "fi": "Eilen illalla menimme elokuviin katsomaan uutta elokuvaa, josta pidimme kovasti, ja sitten palasimme kotiin raitiovaunulla. Lapset olivat jo nukkumassa, joten juttelimme hiljaa teen ääressä ensi vuoden suunnitelmista.",
+    "it": "Ieri sera siamo andati al cinema a vedere un nuovo film che ci è piaciuto molto e poi siamo tornati a casa in tram. I bambini dormivano già da tempo, quindi abbiamo parlato piano davanti al tè dei progetti per il prossimo anno.",
+    "nl": "Gisteravond gingen we naar de bioscoop om een nieuwe film te zien die we erg leuk vonden, en daarna gingen we met de tram naar huis. De kinderen sliepen al lang, dus praatten we zachtjes bij de thee over plannen voor volgend jaar.",
+    "ru": "Вчера вечером мы пошли в кино на новый фильм, который нам очень понравился, а потом вернулись домой на трамвае. Дети уже давно спали, поэтому мы тихо разговаривали за чаем о планах на следующий год.",
+    "ja": "昨日の夜、私たちは新しい映画を見に映画館へ行きました。とても気に入って、それから電車で家に帰りました。子供たちはもう眠っていたので、来年の計画についてお茶を飲みながら静かに話しました。楽しい夜でした。",
+    "code": "def merge(a, b):\n    out = []\n    while a and b:\n        out.append(a.pop(0) if a[0] < b[0] else b.pop(0))\n    return out + a + b\nclass Node:\n    def __init__(self, value, left=None, right=None):\n        self.value, self.left, self.right = value, left, right\n",
+}
+
+
+def test_rejection_rejects(spark):
+    """Languages that no label has, code and random letters go, from fifty letters on; held-out documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(docs, language_id.Fit())
+    rng = random.Random(2)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)) for _ in range(4)]
+    strange = [t[: n + 20 * (k == "code")] for k, t in OUTSIDERS.items() for n in (70, 90, 110, 150, 200)] + [t * n for t in OUTSIDERS.values() for n in (5, 40)]
+    strange += [t[:n] for t in noise for n in (70, 130, 300, 900)]
+    assert min(language_id.vector(t)[1] for t in strange) >= 40
+    assert np.mean([model.predict(t)[2] for t in strange]) >= 0.95
+    held = [r for r in docs.where("text is not null").withColumn("held", language_id.fold_of("doc_id", 3) == 1).collect() if r.held]
+    assert np.mean([model.predict(r.text)[2] for r in held if language_id.vector(r.text)[1]]) <= 0.01
+    assert all(0 < model.floor[k] <= model.floor[k + 1] for k in range(5, language_id.LENGTHS - 1))
+
+
+def test_symbols_are_no_letters_and_letters_have_a_language(spark):
+    model = language_id.learn(spark.read.parquet(f"{SF}/documents.parquet"), language_id.Fit())
+    for text in ("😀😀😀 😀", "\U0001d7ce 12 \U0001f1e9", "\ue000\U000f0000 ."):
+        assert language_id.vector(text) == (None, 0) and model.predict(text) == ("und", 0.0, True)
+    for text in ("漢", "\U00010400\U00010428", "\U0001d400 😀", "ﷺ", "a"):
+        assert language_id.vector(text)[1] >= 1 and model.predict(text)[0] in model.languages
+    assert (language_id.vector("\U00010400")[0] == language_id.vector("\U00010428")[0]).all()  # lower-cased like others
+
+
 def test_pieces_change_nothing(monkeypatch):
     random.seed(4)
     texts = ["".join(random.choice("abcß é1.\n") for _ in range(random.randrange(1, 90))) for _ in range(400)]
