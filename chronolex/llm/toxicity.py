@@ -1,11 +1,15 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, with context-window scores.
 
-The lexicon is learned: terms and word stems that mark documents labelled toxic. A word is matched by walking
+The lexicon is learned: terms and word stems that mark documents labelled toxic and stand in many different contexts
+there, so that a passage which toxic documents share teaches nothing. A word is matched by walking
 the product of the lexicon trie and a Levenshtein automaton (no edit below five letters, one from five, two
-from nine), made deterministic as it is walked, so a word costs one table step a letter and most end early.
-Each hit has the reliability measured for its kind (exact, stem, one edit, two edits), scaled by its context
-window: quotation marks or words of reporting around it lower it, address to a person raises it. A document's
-score is the noisy-or of its hits, or the share of toxic documents among those without a hit.
+from nine; two neighbouring letters in each other's place are one edit), made deterministic as it is walked, so a word
+costs one table step a letter and most end early. A word that clean documents have is no misspelling. An exact
+hit or a stem has the reliability measured for its kind. A misspelling has that of its term: the misspellings to be
+expected of a term that so many toxic documents have, against the ordinary words still to be met around it, which the
+near words that the sample has once, and those one edit further off, give a measure of. Either is scaled by its context window: quotation marks or words of reporting
+around it lower it, address to a person raises it. A document's score is the noisy-or of its hits, or the share of
+toxic documents among those without a hit.
 
 Fit: a bounded sample of labelled rows (Sample), near copies collapsed by minhashes (the row of least id stays) so
 that one copied text can't make its own words look toxic. Scoring reads every whole text; nothing but the text is an input.
@@ -21,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,10 @@ BANDS = 2
 EXACT, STEM, ONE_EDIT, TWO_EDITS = range(4)
 #: Reliability believed of each kind before any evidence, worth two documents.
 PRIOR = (0.9, 0.8, 0.6, 0.4)
+#: Of the words one edit further off, the share that is to be expected nearer.
+FURTHER = 1 / 8
+#: Misspellings expected for each toxic document that has a term, with one and with two edits.
+MISSPELLED = {ONE_EDIT: 0.1, TWO_EDITS: 0.03}
 
 
 @dataclass(frozen=True)
@@ -66,14 +74,15 @@ def allowed_edits(term: str) -> int:
 class Lexicon:
     """Trie of terms and stems with the lazily determinised product of its Levenshtein automata.
 
-    A state is a set of (trie node, edits so far); a transition consumes one letter of the word read.
+    A state is a set of (trie node, letter still owed, edits so far); a transition consumes one letter of the word
+    read. A letter is owed where the word has two letters in each other's place and the first of them has been read.
     """
 
     MOST_STEPS = 300_000
 
-    def __init__(self, terms: dict[str, int], stems: list[str]):
-        """terms: with the edits allowed to each."""
-        self.terms = terms
+    def __init__(self, terms: dict[str, int], stems: list[str], known: frozenset[str] = frozenset()):
+        """terms: with the edits allowed to each; known: words that are no misspellings."""
+        self.terms, self.known = terms, known
         self.children: list[dict[str, int]] = [{}]
         self.most: list[int] = [0]  # edits that some term below the node allows
         self.ends: list[int] = [-1]  # edits allowed to a term that ends here
@@ -96,41 +105,50 @@ class Lexicon:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.ids: dict[tuple[tuple[int, int], ...], int] = {}
+        self.states: list[tuple[tuple[tuple[int, str], int], ...]] = []
+        self.ids: dict[tuple, int] = {}
         self.steps: dict[tuple[int, str], int] = {}
         self.accepts: list[tuple[int, str]] = []
         self.cache: dict[str, tuple[int, str]] = {}
-        self.start = self._state({0: 0})
+        self.start = self._state({(0, ""): 0})
 
-    def _state(self, nodes: dict[int, int]) -> int:
+    def _state(self, nodes: dict[tuple[int, str], int]) -> int:
         """Adds skipped letters of the trie, then numbers the state; -1 if nothing is left."""
         todo = list(nodes.items())
         while todo:
-            node, e = todo.pop()
-            if e < self.most[node]:
+            (node, owed), e = todo.pop()
+            if not owed and e < self.most[node]:
                 for child in self.children[node].values():
-                    if e + 1 <= self.most[child] and nodes.get(child, 99) > e + 1:
-                        nodes[child] = e + 1
-                        todo.append((child, e + 1))
+                    if e + 1 <= self.most[child] and nodes.get((child, ""), 99) > e + 1:
+                        nodes[child, ""] = e + 1
+                        todo.append(((child, ""), e + 1))
         if not nodes:
             return -1
         key = tuple(sorted(nodes.items()))
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
-            self.accepts.append(min(((e, self.names[n]) for n, e in key if 0 <= e <= self.ends[n]), default=(-1, "")))
+            self.accepts.append(min(((e, self.names[n]) for (n, owed), e in key if not owed and 0 <= e <= self.ends[n]), default=(-1, "")))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
-        nodes: dict[int, int] = {}
-        for node, e in self.states[state]:
-            if e < self.most[node] and nodes.get(node, 99) > e + 1:
-                nodes[node] = e + 1  # the word has a letter too many
+        nodes: dict[tuple[int, str], int] = {}
+
+        def reach(node: int, owed: str, e: int) -> None:
+            if e <= self.most[node] and nodes.get((node, owed), 99) > e:
+                nodes[node, owed] = e
+
+        for (node, owed), e in self.states[state]:
+            if owed:
+                if c == owed:
+                    reach(node, "", e)
+                continue
+            if e < self.most[node]:
+                reach(node, "", e + 1)  # the word has a letter too many
             for letter, child in self.children[node].items():
-                cost = e + (letter != c)
-                if cost <= self.most[child] and nodes.get(child, 99) > cost:
-                    nodes[child] = cost
+                reach(child, "", e + (letter != c))
+                if letter != c and c in self.children[child]:  # this letter and the next one have changed places
+                    reach(self.children[child][c], letter, e + 1)
         return self._state(nodes)
 
     def match(self, word: str) -> tuple[int, str]:
@@ -157,7 +175,7 @@ class Lexicon:
         for n in self.stem_sizes:
             if word[:n] in self.stems and n <= len(word):
                 return STEM, word[:n]
-        return (-1, "") if edits < 0 else (ONE_EDIT if edits == 1 else TWO_EDITS, term)
+        return (-1, "") if edits < 0 or word in self.known else (STEM + edits, term)
 
 
 def context_factor(raw: list[str], i: int, width: int = 6) -> float:
@@ -188,14 +206,15 @@ class Model:
     lexicon: Lexicon
     reliability: tuple[float, ...]
     without: float
+    edits: dict[tuple[int, str], float] = field(default_factory=dict)  # by kind and term, where measured
 
     def score(self, text: str | None) -> float:
         found = hits(text, self.lexicon) if text else []
         if not found:
             return self.without
         missed = 1.0
-        for kind, _, factor in found:
-            missed *= 1 - min(0.99, self.reliability[kind] * factor)
+        for kind, term, factor in found:
+            missed *= 1 - min(0.99, self.edits.get((kind, term), self.reliability[kind]) * factor)
         return max(self.without, 1 - missed)
 
 
@@ -254,44 +273,61 @@ def learn(rows: DataFrame, sample: Sample) -> Model:
     least = max(3, math.ceil(sample.evidence / max(0.3, math.log(1 / base)))) if base < 1 else 3
     stats = rows.mapInArrow(frequencies, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     pure = stats.where((F.col("toxic") >= least) & (F.col("toxic") >= sample.purity * (F.col("toxic") + F.col("clean"))))
-    found = pure.orderBy("gram").collect()  # bounded by the sample: every one is in several of its rows
-    terms = {w: allowed_edits(w) for w in sorted(r.gram[1:] for r in found if r.gram[0] == "=")}
+    marks = {r.gram: r.toxic for r in pure.collect()}  # bounded by the sample: every one is in several of its rows
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = set()
+            for text in b.column(0).to_pylist():
+                words = ["", *words_of(text), ""]
+                beside = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in words]
+                for i, w in enumerate(words[1:-1], 1):
+                    seen.update((g, side, beside[i + side]) for g in ("=" + w, *(w[:n] for n in (4, 5, 6) if len(w) > n)) if g in marks for side in (-1, 1))
+            yield record_batch(sorted(seen), "gram string, side int, context long")
+
+    contexts = rows.where("toxic = 1").select("text").mapInArrow(surroundings, "gram string, side int, context long")
+    contexts = contexts.groupBy("gram", "side").agg(F.count_distinct("context").alias("n")).groupBy("gram").agg(F.min("n").alias("n"))
+    spread = sorted(r.gram for r in contexts.where(F.col("n") >= least).collect())
+    terms = {g[1:]: allowed_edits(g[1:]) for g in spread if g[0] == "="}
     stems: list[str] = []
-    for s in sorted((r.gram for r in found if r.gram[0] != "="), key=len):
-        if not any(s.startswith(t) for t in stems):
+    for s in sorted((g for g in spread if g[0] != "="), key=lambda g: (len(g), g)):
+        if not any(s.startswith(t) for t in stems) and not any(t.startswith(s) for t in terms):  # terms find their own endings
             stems.append(s)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms, stems)
+        lexicon = Lexicon({t: k + 1 for t, k in terms.items()}, stems)
         count: Counter = Counter()
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {(k, t) for k, t, _ in hits(text, lexicon)}
-                count.update((k, t, toxic) for k, t in found)
-                count[min((k for k, _ in found), default=-1), "", toxic] += 1
-        yield record_batch([(*k, n) for k, n in count.items()], "kind int, term string, toxic int, n long")
-
-    def measured() -> dict[tuple[int, str, int], int]:
-        got = rows.mapInArrow(evidence, "kind int, term string, toxic int, n long").groupBy("kind", "term", "toxic").agg(F.sum("n").alias("n")).collect()
-        return {(r.kind, r.term, r.toxic): r["n"] for r in got}
-
-    got = measured()
-    for term, k in terms.items():  # a term whose edits meet words of clean documents is matched with fewer
-        while k and sum(got.get((ONE_EDIT + k - 1, term, c), 0) * w for c, w in ((0, 1), (1, -1))) > 0:
-            k -= 1
-        terms[term] = k
-    got = measured()
-    rate = lambda k, prior: (got.get((k, "", 1), 0) + 2 * prior) / (got.get((k, "", 1), 0) + got.get((k, "", 0), 0) + 2)
-    return Model(Lexicon(terms, stems), tuple(rate(k, p) for k, p in enumerate(PRIOR)), min(0.49, rate(-1, base / 2)))
+                found = {(*lexicon.match(w), w) for w in set(words_of(text))}
+                count.update((k, t, w, toxic) for k, t, w in found if k >= ONE_EDIT)
+                count[min((k for k, _, _ in found if 0 <= k < ONE_EDIT), default=-1), "", "", toxic] += 1
+        yield record_batch([(*k, n) for k, n in sorted(count.items())], "kind int, term string, word string, toxic int, n long")
+
+    of_toxic = lambda value: F.sum(F.when(F.col("toxic") == value, F.col("n")).otherwise(0))
+    got = rows.mapInArrow(evidence, "kind int, term string, word string, toxic int, n long").groupBy("kind", "term", "word").agg(of_toxic(1).alias("toxic"), of_toxic(0).alias("clean")).collect()
+    whole = {r.kind: (r.toxic, r.clean) for r in got if not r.term}
+    rate = lambda k, prior: (whole.get(k, (0, 0))[0] + 2 * prior) / (sum(whole.get(k, (0, 0))) + 2)
+    near = [r for r in got if r.term]
+    known = frozenset(r.word for r in near if r.kind <= STEM + terms[r.term] and r.clean and r.clean >= r.toxic)
+    once, all_ = Counter((r.kind, r.term) for r in near if r.toxic + r.clean == 1), Counter((r.kind, r.term) for r in near)
+    edits: dict[tuple[int, str], float] = {}
+    for term, most in terms.items():
+        for kind in (ONE_EDIT, TWO_EDITS)[:most]:
+            expected = MISSPELLED[kind] * marks["=" + term]
+            unseen = once[kind, term] + FURTHER * all_[kind + 1, term]
+            edits[kind, term] = (expected + PRIOR[kind]) / (expected + unseen + 1)
+    reliability = (rate(EXACT, PRIOR[EXACT]), rate(STEM, PRIOR[STEM]), *PRIOR[ONE_EDIT:])
+    return Model(Lexicon(terms, stems, known), reliability, min(0.49, rate(-1, base / 2)), edits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every document."""
-    terms, stems = model.lexicon.terms, sorted(model.lexicon.stems)
-    reliability, without = model.reliability, model.without
+    terms, stems, known = model.lexicon.terms, sorted(model.lexicon.stems), model.lexicon.known
+    reliability, without, edits = model.reliability, model.without, model.edits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(Lexicon(terms, stems), reliability, without)
+        own = Model(Lexicon(terms, stems, known), reliability, without, edits)
         for b in batches:
             scores = [own.score(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])

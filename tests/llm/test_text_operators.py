@@ -23,11 +23,15 @@ def by_id(df):
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Edit distance in which two neighbouring letters in each other's place are one edit."""
+    older, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        row, old = [i], row
+        new = [i]
         for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            if i > 1 and j > 1 and a[i - 2] == y and x == b[j - 2]:
+                new[j] = min(new[j], older[j - 2] + 1)
+        older, row = row, new
     return row[-1]
 
 
@@ -41,6 +45,8 @@ def test_automaton_equals_edit_distance():
         for _ in range(random.randrange(4)):
             i = random.randrange(len(w) + 1)
             w[i : i + random.randrange(2)] = random.choice(["", "x", "o", "t"])
+            i = random.randrange(len(w) + 1)
+            w[i : i + 2] = w[i : i + 2][:: random.choice([1, -1])]
         words.append("".join(w))
     for w in words:
         within = [edits(w, t) for t in terms if edits(w, t) <= toxicity.allowed_edits(t)]
@@ -66,6 +72,69 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p for t, p in held if not t) <= 0.02 * len(held) and sum(p for t, p in held if t) >= 0.5 * sum(t for t, _ in held)
 
 
+def plain_score(text, model):
+    """Score by comparing every word with every term."""
+    raw, missed, found = (text or "").lower().split(), 1.0, False
+    lexicon = model.lexicon
+    for i, w in enumerate(raw):
+        word = w.strip(toxicity.PUNCTUATION)
+        within = sorted((e, t) for t, k in lexicon.terms.items() if abs(len(t) - len(word)) <= k and (e := edits(word, t)) <= k)
+        if within and within[0][0] == 0:
+            kind, term = toxicity.EXACT, word
+        elif any(word.startswith(s) for s in lexicon.stems):
+            kind, term = toxicity.STEM, ""
+        elif within and word not in lexicon.known:
+            kind, term = toxicity.STEM + within[0][0], within[0][1]
+        else:
+            continue
+        found = True
+        missed *= 1 - min(0.99, model.edits.get((kind, term), model.reliability[kind]) * toxicity.context_factor(raw, i))
+    return max(model.without, 1 - missed) if found else model.without
+
+
+def misspelled(word, rng):
+    """word with one letter changed, left out, added, or two neighbours swapped."""
+    i, c = rng.randrange(len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz01")
+    return rng.choice([word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + c + word[i:], word[:i] + word[i : i + 2][::-1] + word[i + 2 :]])
+
+
+def test_misspellings_decide(spark):
+    """Held-out toxic texts whose insults are all misspelled by a letter are still found, by the automata alone; clean ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    sample = toxicity.Sample()
+    model = toxicity.learn(toxicity.training_rows(docs, labels, sample), sample)
+    held = docs.join(labels, "doc_id").where(toxicity.fold_of("doc_id", 5) == 0).select("text", "toxic").collect()
+    clean = [model.score(r.text) >= 0.5 for r in held if not r.toxic]
+    assert np.mean(clean) < 0.01 and np.mean([model.score(r.text) >= 0.5 for r in held if r.toxic]) >= 0.8
+    rng, changed, deaf = random.Random(1), [], toxicity.Model(toxicity.Lexicon({t: 0 for t in model.lexicon.terms}, sorted(model.lexicon.stems)), model.reliability, model.without)
+    for r in held:
+        words, long = r.text.split(), False
+        for i, w in enumerate(words):
+            core = w.strip(toxicity.PUNCTUATION).lower()
+            if core in model.lexicon.terms:
+                long |= len(core) >= 5
+                words[i] = misspelled(core, rng) if len(core) >= 5 else ""
+                while words[i] in model.lexicon.terms:
+                    words[i] = misspelled(core, rng)
+        if r.toxic and long:
+            changed.append(" ".join(words))
+    assert len(changed) >= 50
+    with_edits, without = (np.mean([m.score(t) >= 0.5 for t in changed]) for m in (model, deaf))
+    assert with_edits >= 0.9 and without <= 0.25
+    for text in changed[:25] + [r.text for r in held[:100] if len(r.text) < 4000]:
+        assert abs(model.score(text) - plain_score(text, model)) < 1e-12
+
+
+def test_shared_passages_teach_nothing(spark):
+    """A word that toxic documents have in one passage only is no term; one that stands among different words is."""
+    rng = random.Random(6)
+    filler = [f"w{i}" for i in range(400)]
+    toxic = [" ".join([*rng.choices(filler, k=60), "the", "borrowed", "phrase", "here", *rng.choices(filler, k=20), "insultus", *rng.choices(filler, k=20)]) for _ in range(60)]
+    clean = [" ".join(rng.choices(filler, k=100)) for _ in range(240)]
+    rows = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, toxic int").repartition(3)
+    assert list(toxicity.learn(rows, toxicity.Sample()).lexicon.terms) == ["insultus"]
+
+
 def test_toxicity_does_not_depend_on_partitions(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     one, many = (by_id(toxicity.toxicity(docs.repartition(n), labels.repartition(n))) for n in (1, 7))
