@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from chronolex.plans import asking, files, indexes, records, stores, streams, structure  # noqa: F401  register their queries
+from chronolex.plans import asking, files, indexes, linking, records, stores, streams, structure  # noqa: F401  register their queries
 from chronolex.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
