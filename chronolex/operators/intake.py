@@ -71,3 +71,27 @@ def snapshot_parts(records: DataFrame, parts: list[str]) -> dict[str, Part]:
         "external_document": Part(r.select("external_document_id", "provider", "external_id"), ["external_document_id"]),
         "snapshot": Part(r.select("snapshot_id", "external_document_id", "payload_sha256"), ["snapshot_id"], {"part": Part(pieces.withColumn("position", F.col("position").cast("long")), ["snapshot_id", "kind", "position"])}),
     }
+
+
+#: Kinds of a gazette, and the byte patterns that a signed PDF shows.
+PUBLICATIONS = ("regular", "extra", "government-procurement", "special-extra", "index")
+PATTERNS = {"signature_field_count": r"/FT\s*/Sig\b", "document_timestamp_count": r"/DocTimeStamp\b", "byte_range_count": r"/ByteRange\b", "cades_detached_count": r"/ETSI\.CAdES\.detached\b"}
+
+
+def gazette_parts(assets: DataFrame) -> dict[str, Part]:
+    """Issues, assets and observations of certificates of PDFs (issued_on, publication_kind, issue_number, page_start, page_end, url, content).
+
+    An issue's key is derived from its date, kind and number. Counted patterns are no check of a signature, so the
+    status is not-checked. A kind, number, range of pages or content that can't be is refused.
+    """
+    key = F.concat_ws(":", F.lit("derived"), F.date_format("issued_on", "yyyy-MM-dd"), "publication_kind", F.col("issue_number").cast("string"))
+    sound = F.col("publication_kind").isin(list(PUBLICATIONS)) & F.col("issued_on").isNotNull() & (F.col("issue_number") > 0) & (F.col("page_start") > 0) & (F.col("page_end") >= F.col("page_start")) & F.decode(F.substring("content", 1, 5), "ISO-8859-1").eqNullSafe("%PDF-")
+    a = assets.where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.lit("invalid gazette asset")).cast("boolean")))
+    a = a.withColumn("provider_key", key).withColumn("payload_sha256", F.sha2("content", 256)).withColumn("asset_id", _digest("provider_key", F.col("page_start").cast("string"), F.col("page_end").cast("string"), "payload_sha256"))
+    text = F.decode("content", "ISO-8859-1")
+    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(name) for name, p in PATTERNS.items()]
+    size = F.octet_length("content").cast("long").alias("byte_size")
+    return {
+        "gazette_issue": Part(a.select("provider_key", "issued_on", "publication_kind", "issue_number"), ["provider_key"]),
+        "gazette_asset": Part(a.select("asset_id", "provider_key", "page_start", "page_end", "url", "payload_sha256", size), ["asset_id"], {"certificate_observation": Part(a.select("asset_id", *counts, F.lit("not-checked").alias("verification_status")), ["asset_id"])}),
+    }

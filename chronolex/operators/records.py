@@ -79,6 +79,15 @@ def compare_dates(articles: DataFrame, resolutions: DataFrame, key: str, left: s
     return both.select(key, F.col("compare_status").alias("status")).join(listed, key, "left")
 
 
+def scoped_order(scope: Column | str, article: Column | str) -> Column:
+    """Sort key of articles in their scopes: the main part first, then other scopes by name; numbers (2, 2_1, 2:3) before other texts."""
+    s, a = (F.col(x) if isinstance(x, str) else x for x in (scope, article))
+    is_number = a.rlike(r"^[0-9]+(_[0-9]+)*(:[0-9]+(_[0-9]+)*)*$")
+    sides = F.transform(F.split(a, ":"), lambda side: F.transform(F.split(side, "_"), lambda x: x.cast("long")))
+    none = F.array().cast("array<array<bigint>>")
+    return F.struct((s != "main").alias("other"), s.alias("scope"), (~is_number).alias("odd"), F.when(is_number, sides).otherwise(none).alias("sides"), a.alias("article"))
+
+
 def article_order(article: Column | str) -> Column:
     """Sort key of article numbers: their numeric parts in order; ranges and branches (2:3, 2_1) follow their first number."""
     return F.transform(F.expr(f"regexp_extract_all({article}, '([0-9]+)', 1)") if isinstance(article, str) else F.regexp_extract_all(article, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))

@@ -87,6 +87,44 @@ def metadata_records(files: DataFrame, content: str) -> DataFrame:
     return files.select(content).mapInPandas(run, schema)
 
 
+def search_answers(files: DataFrame, content: str, most: int = 10) -> DataFrame:
+    """Records of saved answers of a library's search: (n_found, position, schema, fields, record_sha256).
+
+    fields holds the distinct texts of each element by its local name, in order. A diagnostic, an answer without the
+    number of records and one of more than most records fail the query.
+    """
+    schema = "n_found long, position long, schema string, fields map<string,array<string>>, record_sha256 string"
+    local = lambda e: e.tag.rpartition("}")[2]
+
+    def rows_of(raw: bytes) -> Iterator[tuple]:
+        root = ET.fromstring(raw)
+        first = {name: next((e for e in root.iter() if local(e) == name), None) for name in ("diagnostic", "numberOfRecords")}
+        if first["diagnostic"] is not None:
+            raise ValueError("the search answered: " + " ".join(t.strip() for t in first["diagnostic"].itertext() if t.strip()))
+        if first["numberOfRecords"] is None:
+            raise ValueError("the answer lacks the number of records")
+        records = [e for e in root.iter() if local(e) == "record"]
+        if len(records) > most:
+            raise ValueError(f"the answer has more than {most} records")
+        for i, record in enumerate(records, 1):
+            of = {local(e): e for e in record}
+            body = of.get("recordData")
+            fields: dict[str, list[str]] = {}
+            for e in body.iter() if body is not None else ():
+                value = (e.text or "").strip()
+                if e is not body and value and value not in fields.setdefault(local(e), []):
+                    fields[local(e)].append(value)
+            place = int(of["recordPosition"].text) if "recordPosition" in of else i
+            kind = of["recordSchema"].text if "recordSchema" in of else None
+            yield int(first["numberOfRecords"].text), place, kind, {k: v for k, v in fields.items() if v}, hashlib.sha256(ET.tostring(body)).hexdigest() if body is not None else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for raw in b[content] for r in rows_of(bytes(raw))], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return files.select(content).mapInPandas(run, schema)
+
+
 def pdf_signatures(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256, is_pdf, n_byte_ranges, n_signatures): marks of signing, by counting byte patterns as text."""
     files = spark.read.format("binaryFile").load(path)
