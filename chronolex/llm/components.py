@@ -9,7 +9,7 @@ from chronolex.storage import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of the edges (a, b). Runs until nothing changes.
+    """(node, component) as a table: the smallest node reachable, for every node of the edges (a, b). Runs until nothing changes.
 
     Each half round replaces every edge by one to a node's smallest neighbour. Minima are aggregated before the
     shuffle and joined back, so a node with very many edges is split like any skewed join key. A round's tables are
@@ -31,7 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
+    found = materialise(stars.union(stars.select(F.col("component").alias("node"), "component").distinct()), "labels")
+    discard(current)
+    return found
 
 
 def _digest(edges: DataFrame) -> tuple:

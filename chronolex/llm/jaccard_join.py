@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import id_text, record_batch
+from chronolex.llm.common import hand_back, id_text, record_batch
 from chronolex.llm.components import components
 from chronolex.storage import discard, load, materialise
 
@@ -41,6 +42,8 @@ from chronolex.storage import discard, load, materialise
 LEAST = Fraction(9, 10)
 #: log2 of the slots of the tables of shingles and of words.
 SLOTS, WORD_SLOTS = 21, 20
+#: Bytes of a text whose words are held at a time, and what they end at.
+PIECE, BLANK = 1 << 18, re.compile(rb"[\x20\x09-\x0D]")
 #: Hashes that a batch of sets or prefixes holds before it is handed on.
 BATCH = 500_000
 #: Below so many ids (8 bytes each) a list of candidates is broadcast; a shuffled join takes longer ones.
@@ -50,9 +53,15 @@ SKETCH = "doc_id long, th long, ck binary, n int, b0 long, b1 long, b2 long, b3
 
 
 def words_hashed(text: str | None) -> np.ndarray:
-    """64-bit hashes of the text's words, in order."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: A-Z and ASCII white space only
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
+    """64-bit hashes of the text's words, in order; a long text is split into words piece by piece."""
+    data = text.encode("utf-8", "surrogatepass").lower() if text else b""  # of bytes: A-Z and ASCII white space only
+    parts, at = [], 0
+    while at < len(data):
+        blank = BLANK.search(data, at + PIECE)
+        end = blank.start() if blank else len(data)
+        parts.append(b"".join(map(xxhash.xxh3_64_digest, data[at:end].split())))
+        at = end
+    return np.frombuffer(b"".join(parts), dtype=np.uint64)
 
 
 def shingled(h: np.ndarray, size: int) -> np.ndarray:
@@ -124,28 +133,38 @@ def rarity(texts: DataFrame, size: int) -> Rarity:
 def sketches(texts: DataFrame, size: int, table: Rarity, least: Fraction) -> DataFrame:
     """One row for each document: key of its set, size, parity bitmap, last prefix hash and prefix."""
     p, q = least.numerator, least.denominator
+    plain, _, _ = SKETCH.rpartition(", prefix ")
+
+    def batch(rows: list[tuple], prefixes: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(ends, np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([*record_batch(rows, plain).columns, lists], [c.split()[0] for c in SKETCH.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
         for b in batches:
-            rows, held = [], 0
+            rows, prefixes, held = [], [], 0
             for doc_id, text, th in zip(*b.columns, strict=True):
                 doc_id, th, words = doc_id.as_py(), th.as_py(), words_hashed(text.as_py())
                 h, w = table.weights(words, size)
                 n = len(h)
                 if not n:
-                    rows.append((doc_id, th, b"", 0, 0, 0, 0, 0, 0, 0, []))
+                    rows.append((doc_id, th, b"", 0, 0, 0, 0, 0, 0, 0))
+                    prefixes.append(none)
                     continue
                 key = xxhash.xxh3_128_digest(h.tobytes())
                 parity = np.bincount((h >> 56) & 255, minlength=256) & 1
                 bits = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
                 order = np.lexsort((h, w))[: n - (p * n + q - 1) // q + 1]
                 first = h[order]
-                rows.append((doc_id, th, key, n, *bits, int(w[order[-1]]), int(first[-1]), first.tolist()))
+                rows.append((doc_id, th, key, n, *bits, int(w[order[-1]]), int(first[-1])))
+                prefixes.append(first)
                 held += len(first)
                 if held > BATCH:
-                    yield record_batch(rows, SKETCH)
-                    rows, held = [], 0
-            yield record_batch(rows, SKETCH)
+                    yield batch(rows, prefixes)
+                    rows, prefixes, held = [], [], 0
+            yield batch(rows, prefixes)
+        hand_back()
 
     return texts.select("doc_id", "text", text_hash().alias("th")).mapInArrow(run, SKETCH)
 
@@ -172,6 +191,7 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     yield batch(sets)
                     sets, held = [], 0
             yield batch(sets)
+        hand_back()
 
     sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "ck binary, hashes array<long>")
     known = wanted.select("cid", "ck")
@@ -233,7 +253,7 @@ def text_hash() -> Column:
 
 def jaccard_components(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links at a Jaccard similarity of least or more."""
-    return _placed(docs, size, least).select("doc_id", "n_shingles", "component_id")
+    return _placed(docs, size, least)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFrame:
@@ -241,7 +261,9 @@ def keep_one(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFra
 
     Documents without words are linked with nothing, so they all stay.
     """
-    placed = materialise(_placed(docs, size, least), "placed")
+    found, tables = _placed(docs, size, least)
+    placed = materialise(found, "placed")
+    discard(*tables)
     gone = placed.where("n_shingles > 0 and not first").select("doc_id", "th").distinct()
     key = "text_hash_of_join"
     marked = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))))
@@ -254,24 +276,28 @@ def keep_one(docs: DataFrame, size: int = 3, least: Fraction = LEAST) -> DataFra
     return left.join(again, repeated, "left_anti").union(once).select(*docs.columns)
 
 
-def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id, first): first marks the class whose document stays."""
+def _placed(docs: DataFrame, size: int, least: Fraction) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, th, n_shingles, component_id, first), and the tables it reads: first marks the class whose document stays."""
     p, q = least.numerator, least.denominator
     texts = id_text(docs)
     sketched = materialise(sketches(texts, size, rarity(texts, size), least), "sketches")
     kept = ["n", "b0", "b1", "b2", "b3", "pw", "ph", "prefix"]
     classes = sketched.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in kept])
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    light = materialise(sketched.select("doc_id", "th", "ck", "n"), "documents")
+    discard(sketched)
+    del sketched
     # groups: one prefix and size; known by their smallest class
     keyed = classes.select("cid", "n", "pw", "ph", F.xxhash64("n", "prefix").alias("g1"), F.xxhash64(F.lit(1), "n", "prefix").alias("g2"))
     leaders = keyed.groupBy("g1", "g2").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
     members = materialise(keyed.join(leaders, ["g1", "g2"]).select("cid", "gid", "members"), "members")
     groups = members.where("cid = gid").select("gid", "members").join(classes.select(F.col("cid").alias("gid"), "n", "pw", "ph", "prefix"), "gid")
-    # one shuffle of (hash, group) serves both the counts and the choice of hashes that several groups have
-    postings = groups.select("gid", F.posexplode("prefix").alias("pos", "h")).repartition("h")
-    several = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    listed = materialise(postings.join(several.select("h"), "h"), "postings")
-    del postings, several
+    # hashes that several groups have: (hash, group) is shuffled once, and sorted by hash, where another row of it is a neighbour
+    postings = groups.select("gid", F.posexplode("prefix").alias("pos", "h"))
+    beside = Window.partitionBy("h").orderBy("gid")
+    known = postings.withColumn("before", F.lag("gid").over(beside)).withColumn("after", F.lead("gid").over(beside))
+    listed = materialise(known.where("before is not null or after is not null").select("gid", "pos", "h"), "postings")
+    del postings, known
     traits = groups.select("gid", "n", "pw", "ph", F.size("prefix").alias("k"))
     shared = materialise(listed.join(traits, "gid"), "traits")
     discard(listed)
@@ -283,7 +309,7 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     stars = stars.where(sizes_fit("n", "pivot_n", least) & enough("c", "n", "k", "pivot_n", least)).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
     inner = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     first = same_sets(near(stars.union(inner), classes, least), classes, texts, size, least)
-    labels = materialise(components(first), "labels")
+    labels = components(first)
 
     # whatever else can link: pairs of groups that meet in a list and aren't in one component as a whole
     labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -308,10 +334,10 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     begins = F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
     left = F.least(F.col("x_n") - F.col("x_u") - F.col("x_rank") + 1, F.col("y_n") - F.col("y_pos"))
     fits = sizes_fit("x_n", "y_n", least) & shares(left, F.col("x_n") + F.col("y_n"), least)
-    # sizes that fit lie in one class of log(n) / log(1 / t) or in two neighbouring ones
-    size_class = lambda n: F.floor(F.log(F.col(n)) / (float(np.log(q / p)) or 1.0) + 1e-9)
-    x = x.withColumn("size_class", F.explode(F.array(*[size_class("x_n") + i for i in (-1, 0, 1)])))
-    y = y.withColumn("size_class", size_class("y_n"))
+    # sizes that fit differ by 1 in log(n) / log(1 / t); classes are four wide, so they lie in one class or two
+    size_class = lambda n, off: F.floor((F.log(F.col(n)) / (float(np.log(q / p)) or 1.0) + off) / 4)
+    x = x.withColumn("size_class", F.explode(F.array_distinct(F.array(size_class("x_n", -1 - 1e-9), size_class("x_n", 1 + 1e-9)))))
+    y = y.withColumn("size_class", size_class("y_n", 0.0))
     close = F.coalesce(few_differ(differing([f"x_{b}" for b in BITS], [f"y_{b}" for b in BITS]), F.col("x_n") + F.col("y_n"), least), F.lit(True))
     met = x.join(y, (x.h == y.h) & (x.size_class == y.size_class) & earlier & begins & fits & (F.col("x_component") != F.col("y_component")) & close)
     met = met.select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb")).distinct()
@@ -324,22 +350,25 @@ def _placed(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     tried = rest.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("differing", "a", "b", "n_a", "n_b", "ca", "cb")).alias("p")).select("p.*")
     tried = materialise(tried, "tried")
     second = same_sets(tried, classes, texts, size, least)
-    merged = materialise(components(tried.join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "labels")
+    merged = components(tried.join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     renamed = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c))
     left_over = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     for c in ("ca", "cb"):
         left_over = left_over.join(merged.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}")), c, "left")
     third = same_sets(left_over.where(renamed("ca") != renamed("cb")), classes, texts, size, least)
-    labels = materialise(components(first.union(second).union(third)), "labels")
+    discard(labels, members, rest, tried, merged)
+    labels = components(first.union(second).union(third))
+    discard(first, second, third)
 
     # component ids are document ids: the smallest of the classes of a component
     named = classes.select("cid", "ck", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = materialise(named, "named")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "cid")).alias("low"))
     final = materialise(named.join(smallest, "component").select("ck", "component_id", "rep", (F.col("cid") == F.col("low.cid")).alias("winner")), "components")
-    found = sketched.select("doc_id", "th", "ck", "n").join(final, "ck", "left")
+    discard(classes, labels, named)
+    found = light.join(final, "ck", "left")
     first = F.coalesce(F.col("winner") & F.col("doc_id").eqNullSafe(F.col("rep")), F.lit(True))
-    return found.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
+    return found.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first")), [light, final]
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
