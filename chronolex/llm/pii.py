@@ -314,6 +314,33 @@ def windows(text: str) -> list[tuple[list[str], tuple[int, int], list[tuple[int,
     return found
 
 
+#: Words that make a number beside them a card's whatever its check digit.
+CARD_CUES = frozenset("card cards visa mastercard amex karte carte tarjeta".split())
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[\x20-]?$")
+
+
+def admissible(kind: str, text: str, s: int, e: int) -> bool:
+    """Whether a span of the field may be of its kind: what rules a pattern's match out rules it out as well.
+
+    An address has four parts up to 255 (a port may follow); a card's number has no letter at it, isn't the rest
+    of a bank account's and passes Luhn, unless a word for cards stands within three words before it.
+    """
+    span = text[s:e]
+    digits = re.sub(r"[^0-9]", "", span)
+    if len(digits) not in DIGITS.get(kind, range(e)):
+        return False
+    if kind == "ip":
+        parts = [int(x) for x in re.findall(r"[0-9]+", re.sub(r":[0-9]+$", "", span))]
+        beside = (s > 1 and text[s - 1] == "." and text[s - 2].isdigit()) or (text[e : e + 1] == "." and text[e + 1 : e + 2].isdigit())
+        return len(parts) == 4 and max(parts) <= 255 and not beside
+    if kind == "card":
+        if any(c.isalpha() for c in span) or text[s - 1 : s].isalnum() or text[e : e + 1].isalnum() or IBAN.search(text[max(0, s - 6) : s]):
+            return False
+        before = re.findall(r"[^\W\d_]+", text[max(0, s - 60) : s].lower())[-3:]
+        return 14 <= len(digits) <= 19 and (luhn(digits) or not CARD_CUES.isdisjoint(before))
+    return True
+
+
 def added_spans(found: list[tuple[str, list[Span]]], field: Field, most_cells: int = 20_000) -> list[list[Span]]:
     """Per text: spans of the field that touch none of the base spans. A batch holds so many padded tokens, or one window."""
     work = [(i, *w) for i, (text, _) in enumerate(found) for w in windows(text)]
@@ -336,8 +363,7 @@ def added_spans(found: list[tuple[str, list[Span]]], field: Field, most_cells: i
                     s = places[t][0] + len(own[t]) - len(own[t].lstrip(EDGES))
                     e = places[end - 1][0] + len(own[end - 1].rstrip(EDGES))
                     at = bisect_left(base, (e,)) - 1  # base spans of a kind don't overlap; those of others may
-                    fits = sum(c.isdigit() for c in text[s:e]) in DIGITS.get(KINDS[kind], range(e))
-                    if s < e and fits and not any(bs < e and s < be for bs, _, be in base[: at + 1]):
+                    if s < e and admissible(KINDS[kind], text, s, e) and not any(bs < e and s < be for bs, _, be in base[: at + 1]):
                         out[i].append((s, int(kind), e))
                     t = end
                 else:

@@ -328,6 +328,17 @@ def test_field_on_forms_it_has_not_seen():
         assert [text[s:e] for s, k, e in spans if (s, k, e) not in base] == want, text
 
 
+def test_field_keeps_the_kinds_rules():
+    """No address with a part above 255, no card that fails Luhn without a word for it, no rest of a bank account."""
+    field = pii.trained()
+    for text in ("version 10.2.3.4000 was built", "see 1.2.3.4.5 of it", "IBAN DE89 3704 0044 0532 0130 00 please", "number 2123465659789240 here", "in 5731080387325255 of them", "paid 4556 7375 8689 9854 yesterday"):
+        base, spans = pii.find([text], field)[0]
+        assert {k for _, k, _ in set(spans) - set(base)} <= {4}, text
+    assert pii.admissible("card", "my visa card 4556737586899854", 13, 29) and not pii.admissible("card", "my code 4556737586899854", 8, 24)
+    assert pii.admissible("card", "4556737586899855", 0, 16) and not pii.admissible("card", "x4556737586899855", 1, 17)
+    assert pii.admissible("ip", "at 10[.]2[.]3[.]4:80", 3, 20) and not pii.admissible("ip", "10[.]2[.]3[.]256", 0, 16)
+
+
 def test_long_runs_are_decoded_whole():
     field = pii.trained()
     numbers = " ".join(str(i % 10) for i in range(197))
