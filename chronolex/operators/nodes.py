@@ -43,6 +43,12 @@ def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added:
     return rows.repartition("doc").sortWithinPartitions("doc", *order).mapInArrow(run, StructType([*rows.schema.fields, *added]))
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right) as a merge of sorted rows: nodes are many and compress well, so the planner takes a few columns
+    of a stored table for small and would send them whole through the driver to be broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ord, parent, ordinal (among all siblings) and path_index (among those of the tag) to rows (doc, depth, tag, ...).
 
@@ -147,7 +153,7 @@ def _doubled(links: DataFrame, keys: list[str], node: str, merge: dict[str, Call
         if links.where(F.col("up").isNotNull()).isEmpty():
             return links
         above = links.select(*keys, F.col(node).alias("up"), F.col("up").alias("further"), F.lit(True).alias("there"), *[F.col(c).alias(f"above_{c}") for c in merge])
-        met = links.where(F.col("up").isNotNull()).join(above, [*keys, "up"], "left")  # a parent that isn't there ends the way
+        met = matched(links.where(F.col("up").isNotNull()), above, [*keys, "up"], "left")  # a parent that isn't there ends the way
         values = [F.when(F.col("there"), f(F.col(f"above_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c, f in merge.items()]
         moved = met.select(*keys, node, F.col("further").alias("up"), *values)
         former, links = links, materialise(links.where(F.col("up").isNull()).select(*keys, node, "up", *merge).unionByName(moved), "links")
@@ -222,7 +228,7 @@ def rendered(nodes: DataFrame, tag: str, between: str = "\n") -> DataFrame:
     own = nodes.where(F.col("tag") == tag).select("doc", F.col("ord").alias("anchor"), "ord", "body")
     parts = subtrees(nodes, tag).select("doc", "anchor", "ord", "body").unionByName(own).where(F.col("body").isNotNull())
     joined = parts.groupBy("doc", "anchor").agg(F.array_sort(F.collect_list(F.struct("ord", "body"))).alias("p"))  # one subtree
-    return own.select("doc", "anchor").join(joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.body", between), F.lit("")).alias("text"))
+    return matched(own.select("doc", "anchor"), joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.body", between), F.lit("")).alias("text"))
 
 
 def segment_texts(nodes: DataFrame) -> DataFrame:
@@ -241,7 +247,7 @@ def segment_texts(nodes: DataFrame) -> DataFrame:
     flat = flat.withColumn("child", F.last(F.when(F.col("s.kind") == "child", F.col("s.ord")), ignorenulls=True).over(so_far))
     texts = flat.where((F.col("s.kind") != "child") & (F.coalesce("s.value", F.lit("")) != "")).select("doc", "ord", "depth", "i", "child", F.col("s.value").alias("value"))
     placed = texts.where("child is null").select("doc", "ord", F.col("ord").alias("anchor"), (-F.col("depth")).alias("up"), "i", "value")
-    tails = texts.where("child is not null").join(n.select("doc", F.col("ord").alias("child"), F.col("last").alias("anchor")), ["doc", "child"])
+    tails = matched(texts.where("child is not null"), n.select("doc", F.col("ord").alias("child"), F.col("last").alias("anchor")), ["doc", "child"])
     return placed.unionByName(tails.select("doc", "ord", "anchor", (-F.col("depth")).alias("up"), "i", "value"))
 
 
@@ -253,10 +259,10 @@ def rendered_segments(nodes: DataFrame, wanted: list[str] | None = None) -> Data
     """
     elements = nodes.where("kind = 'element'") if "kind" in nodes.columns else nodes
     above = with_ancestors(elements.select("doc", "ord", "depth", "tag"), tags=wanted).select("doc", "ord", F.explode("ancestors.ord").alias("of"))
-    parts = segment_texts(nodes).join(above, ["doc", "ord"])
+    parts = matched(segment_texts(nodes), above, ["doc", "ord"])
     joined = parts.groupBy("doc", F.col("of").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("anchor", "up", "i", "value"))).alias("p"))  # one subtree
     own = (elements.where(F.col("tag").isin(wanted)) if wanted is not None else elements).select("doc", F.col("ord").alias("anchor"))
-    return own.join(joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.value", ""), F.lit("")).alias("text"))
+    return matched(own, joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.value", ""), F.lit("")).alias("text"))
 
 
 def display_labels(nodes: DataFrame, titles: dict[str, str]) -> DataFrame:
@@ -265,7 +271,7 @@ def display_labels(nodes: DataFrame, titles: dict[str, str]) -> DataFrame:
     owners = nodes.where(F.col("tag").isin(list(titles))).select("doc", "ord", "tag", table[F.col("tag")].alias("title"))
     children = nodes.where(F.col("tag").isin(list(set(titles.values())))).select("doc", F.col("parent").alias("ord"), F.col("tag").alias("title"), F.col("ord").alias("child"), "body")
     first = children.groupBy("doc", "ord", "title").agg(F.min_by("body", "child").alias("label"))
-    return owners.join(first, ["doc", "ord", "title"], "left").select("doc", "ord", "tag", "label")
+    return matched(owners, first, ["doc", "ord", "title"], "left").select("doc", "ord", "tag", "label")
 
 
 def statistics(nodes: DataFrame, main: str, article: str) -> DataFrame:
@@ -275,9 +281,9 @@ def statistics(nodes: DataFrame, main: str, article: str) -> DataFrame:
     sizes = nodes.groupBy("doc").agg(F.count("*").alias("n"), F.max("depth").alias("d")).agg(F.max("n").alias("n"), F.max("d").cast("long").alias("d"))
     largest = sizes.select(F.explode(F.array(F.struct(F.lit("greatest").alias("what"), F.lit("nodes").alias("name"), F.col("n")), F.struct(F.lit("greatest").alias("what"), F.lit("depth").alias("name"), F.col("d").alias("n")))).alias("r")).select("r.*")
     parts = nodes.where(F.col("tag") == main).select("doc", F.col("ord").alias("anchor"))
-    inside = subtrees(nodes, main).where(F.col("tag") == article).join(nodes.select("doc", "ord", "parent"), ["doc", "ord"])
+    inside = matched(subtrees(nodes, main).where(F.col("tag") == article), nodes.select("doc", "ord", "parent"), ["doc", "ord"])
     found = inside.groupBy("doc", "anchor").agg(F.bool_or(F.col("parent") == F.col("anchor")).alias("direct"))
-    none = parts.join(found, ["doc", "anchor"], "left").agg(F.count_if(~F.coalesce("direct", F.lit(False))).alias("direct"), F.count_if(F.col("direct").isNull()).alias("anywhere"))
+    none = matched(parts, found, ["doc", "anchor"], "left").agg(F.count_if(~F.coalesce("direct", F.lit(False))).alias("direct"), F.count_if(F.col("direct").isNull()).alias("anywhere"))
     bare = none.select(F.explode(F.array(*[F.struct(F.lit("main parts without article").alias("what"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("direct", "anywhere")])).alias("r")).select("r.*")
     return by_tag.union(largest).union(bare)
 
@@ -339,9 +345,9 @@ def evidence_bundle(contexts: DataFrame, nodes: DataFrame) -> DataFrame:
     sha, fails the query.
     """
     wanted = contexts.select("context_id", "doc", "sha", F.size("ords").alias("n"), F.posexplode("ords").alias("pos", "ord"))
-    found = wanted.join(nodes.select("doc", "ord", "body"), ["doc", "ord"])
+    found = matched(wanted, nodes.select("doc", "ord", "body"), ["doc", "ord"])
     grouped = found.groupBy("context_id", "doc", "sha", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "ord", "body"))).alias("nodes"))  # one context
-    whole = contexts.select("context_id").join(grouped, "context_id", "left")
+    whole = matched(contexts.select("context_id"), grouped, ["context_id"], "left")
     text = F.array_join(F.filter("nodes.body", lambda b: F.trim(F.coalesce(b, F.lit(""))) != ""), "\n")
     state = F.when(F.size("nodes") != F.col("n"), "evidence is incomplete").when(F.col("nodes").isNull(), "evidence is missing").when(F.sha2(text, 256) != F.col("sha"), "evidence has changed")
     sound = whole.where(F.when(state.isNull(), True).otherwise(F.raise_error(state).cast("boolean")))

@@ -102,7 +102,7 @@ def article_subtrees(spark, sf_dir):
     n = nodes_of(spark, sf_dir)
     ends = tree.with_end(n).where("tag = 'Article'").select("doc", F.col("ord").alias("anchor"), "end")
     below = tree.subtrees(n, "Article").groupBy("doc", "anchor").agg(F.count("*").alias("n_below"), F.count("body").alias("n_texts"))
-    return ends.join(below, ["doc", "anchor"], "left").select("doc", "anchor", "end", F.coalesce("n_below", F.lit(0)).alias("n_below"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    return tree.matched(ends, below, ["doc", "anchor"], "left").select("doc", "anchor", "end", F.coalesce("n_below", F.lit(0)).alias("n_below"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
 _TEXTS = ", tx AS (SELECT a.doc, a.ord AS anchor, coalesce(string_agg(s.body, chr(10) ORDER BY s.ord), '') AS text FROM n a LEFT JOIN n s ON s.doc = a.doc AND s.parent = a.ord WHERE a.tag = 'Article' GROUP BY 1, 2)"
@@ -121,7 +121,7 @@ def mixed_content(n):
     none = F.lit(None)
     after = F.flatten(F.transform(F.coalesce("children", F.array().cast("array<int>")), lambda c: F.array(segment("child", none, c), segment("tail", F.col("mark"), none))))
     own = F.array(segment("text", F.when(F.col("mark").isNotNull(), F.concat("label", F.lit(": "))), none))
-    joined = n.join(below, ["doc", "ord"], "left").withColumn("mark", mark)
+    joined = tree.matched(n, below, ["doc", "ord"], "left").withColumn("mark", mark)
     return joined.withColumn("segments", F.when(F.col("children").isNotNull() | F.col("mark").isNotNull(), F.concat(own, after))).drop("children", "mark")
 
 
@@ -179,7 +179,8 @@ def article_index_counts(spark, sf_dir):
 def article_detail(spark, sf_dir):
     """Article 7 of every document: its text, and whether its number is unique within and across scopes."""
     n = nodes_of(spark, sf_dir)
-    a = scoped_articles(n).where("num = '7'").join(tree.rendered(n, "Article").withColumnRenamed("anchor", "ord"), ["doc", "ord"])
+    a = scoped_articles(n).where("num = '7'")
+    a = tree.matched(a, tree.rendered(n, "Article").withColumnRenamed("anchor", "ord"), ["doc", "ord"])
     counts = a.where("scope is not null").groupBy("doc", "scope").agg(F.count("*").alias("same"))
     total = counts.groupBy("doc").agg(F.sum("same").alias("all"))
     joined = a.join(counts, ["doc", "scope"], "left").join(total, "doc", "left")
@@ -261,7 +262,7 @@ def node_checks(spark, sf_dir):
     n = nodes_of(spark, sf_dir)
     up = n.select("doc", F.col("ord").alias("parent"), F.col("depth").alias("up"))
     below = n.where("parent is not null")
-    joined = below.join(up, ["doc", "parent"])
+    joined = tree.matched(below, up, ["doc", "parent"])
     roots = n.groupBy("doc").agg(F.count_if(F.col("parent").isNull()).alias("roots"), F.count("*").alias("k"))
     owners = below.select("doc", F.col("parent").alias("ord")).distinct()
     return quality.report(
@@ -271,7 +272,7 @@ def node_checks(spark, sf_dir):
         quality.resolves("parents_resolve", below, up, ["doc", "parent"]),
         quality.violates("parents_one_level_up", joined, (F.col("up") + 1 != F.col("depth")) | (F.col("parent") >= F.col("ord"))),
         quality.violates("elements_have_tags", n, F.trim(F.coalesce("tag", F.lit(""))) == ""),
-        quality.violates("texts_on_leaves_only", n.join(owners, ["doc", "ord"], "left_semi"), F.col("body").isNotNull()),
+        quality.violates("texts_on_leaves_only", tree.matched(n, owners, ["doc", "ord"], "left_semi"), F.col("body").isNotNull()),
         quality.unique("numbers_repeat_among_siblings", n.where("num is not null"), ["doc", "parent", "tag", "num"]),
         quality.violates("documents_without_nodes", roots, F.col("k") == 1),
     )

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolex.operators import nodes, tree
+from chronolex.plans.structure import mixed_content
+from chronolex.storage import materialise
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc long, ord int, parent int, depth int, tag string, path_index int, label string"
@@ -141,3 +143,11 @@ def test_rendering_of_all_pages(spark):
 def test_cached_text_where_no_segments(spark):
     df = spark.createDataFrame([(1, 1, None, 0, "a", None, "whole"), (2, 1, None, 0, "a", [], None)], "doc long, ord int, parent int, depth int, tag string, segments array<struct<kind string, value string, ord int>>, body string")
     assert {r.doc: r.text for r in nodes.rendered_segments(df).collect()} == {1: "whole", 2: ""}
+
+
+def test_joins_of_nodes_send_none_through_the_driver(some, spark):
+    """A stored table of few bytes may hold many nodes: joins with it are merges, however small it looks."""
+    n = materialise(mixed_content(some[1].withColumn("body", F.lit("x"))), "nodes")
+    up = nodes.recursive_paths(n, ["doc"], "ord", "parent", F.col("tag"))
+    for made in (nodes.rendered_segments(n, ["a"]), nodes.rendered(n, "a"), up):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
