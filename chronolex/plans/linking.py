@@ -56,7 +56,8 @@ def latest_text_sources(spark, sf_dir):
 
 @query("SELECT o_orderkey AS relation_id, o_orderstatus AS state, coalesce(n, 0) AS n_assertions, coalesce(modes, '') AS modes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(l_linestatus, ',' ORDER BY l_shipdate, l_linenumber) AS modes FROM lineitem WHERE l_quantity > 10 GROUP BY 1) ON l_orderkey = o_orderkey")
 def relation_details(spark, sf_dir):
-    """Orders as relations, their larger lines as assertions in order of time."""
-    assertions = load(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("relation_id"), F.col("l_shipdate").alias("observed_at"), "l_linenumber", "l_linestatus")
+    """Orders as relations, their larger lines as assertions in order of time; those of one time and number stay in the table's order."""
+    recorded = F.struct("_metadata.file_path", "_metadata.row_index").alias("recorded")
+    assertions = load(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("relation_id"), F.col("l_shipdate").alias("observed_at"), "l_linenumber", recorded, "l_linestatus")
     found = signals.relation_details(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("relation_id"), F.col("o_orderstatus").alias("state")), assertions)
     return found.select("relation_id", "state", F.size("assertions").cast("long").alias("n_assertions"), F.array_join("assertions.l_linestatus", ",").alias("modes"))
