@@ -45,12 +45,12 @@ def signals(texts: DataFrame, laws: DataFrame, revisions: DataFrame) -> DataFram
     ids = ids.union(revisions.select(F.lit("law_revision"), "revision_id", F.lit("amendment-law-id-exact"), "law_id")).where(F.col("value").isNotNull())
     tokens = form.select("document", "locator", "relation", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(ID_TOKEN), F.lit(0)))).alias("value"))
     columns = ["document", "locator", "relation", "target_kind", "target_id", "signal", "value"]
-    by_id = tokens.join(ids, "value").select(columns)
+    by_id = tokens.join(ids.hint("merge"), "value").select(columns)
     rows = form.withColumn("row_id", F.xxhash64("document", "locator", "relation"))
     met = contained_mentions(rows, names.select("name_id", compatible_form("value").alias("text")).distinct(), "row_id", "name_id")
-    by_name = met.join(rows.drop("text"), "row_id").join(names, "name_id").select(columns)
+    by_name = met.join(rows.drop("text").hint("merge"), "row_id").join(names.hint("merge"), "name_id").select(columns)
     table = F.create_map(*[F.lit(x) for kv in BASIS.items() for x in kv])
-    found = by_id.union(by_name).distinct().withColumn("basis", table[F.col("signal")])
+    found = by_id.union(by_name).withColumn("basis", table[F.col("signal")])
     relation = F.when(F.col("target_kind") == "law", F.col("relation")).otherwise(AMENDMENT)
     return found.select("document", "target_kind", "target_id", relation.alias("relation"), "basis", "signal", "value", "locator").distinct()
 

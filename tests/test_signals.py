@@ -2,7 +2,10 @@
 
 from datetime import date
 
-from chronolex.operators import signals
+from pyspark.sql import functions as F
+
+from chronolex.operators import linkage, signals
+from chronolex.plans.linking import relation_details
 
 A, B = "A" * 15, "0" * 14 + "Z"
 LAWS = [(A, "平成十一年法律第一号", ["民法", None, "個人情報 保護法"]), (B, None, None)]
@@ -42,3 +45,21 @@ def test_details_in_order_of_time(spark):
     assertions = spark.createDataFrame([("r1", date(2024, 2, 1), "rejected"), ("r1", date(2024, 1, 1), "candidate")], "relation_id string, observed_at date, status string")
     got = {r.relation_id: [a.status for a in r.assertions] for r in signals.relation_details(relations, assertions).collect()}
     assert got == {"r1": ["candidate", "rejected"], "r2": []}
+
+
+def test_names_that_begin_alike_meet_few_texts(spark):
+    """A large catalogue is looked up by what tells its names apart, not by a beginning that all of them have."""
+    names = spark.range(3000).selectExpr("id AS item_id", "concat('Customer#', lpad(id, 9, '0')) AS text").union(spark.sql("SELECT 9001, 'Act'")).union(spark.sql("SELECT 9002, 'Act No.7'"))
+    keys = linkage.rarest_grams(names.selectExpr("text AS name"), 3, 12)
+    assert keys.count() == 3002 and keys.where("NOT contains(name, gram)").isEmpty()
+    assert keys.groupBy("gram").count().agg({"count": "max"}).first()[0] == 1
+    texts = spark.range(0, 3000, 7).selectExpr("id AS doc_id", "concat('see Customer #', lpad(id, 9, '0'), ' of the Act No.', id) AS text")
+    got = [{tuple(r) for r in linkage.contained_mentions(texts, names, "doc_id", "item_id", most_chars=most).collect()} for most in (10**7, 0)]
+    assert got[0] == got[1] and {(k, 9001) for k in range(0, 3000, 7)} < got[0] and {(k, k) for k in range(0, 3000, 7)} < got[0]
+
+
+def test_assertions_of_one_time_stay_in_the_tables_order(spark, tmp_path):
+    line = spark.createDataFrame([(1, 2, "O", 20.0), (1, 2, "F", 20.0), (1, 1, "X", 20.0), (1, 2, "A", 20.0)], "l_orderkey long, l_linenumber int, l_linestatus string, l_quantity double").withColumn("l_shipdate", F.lit("2024-01-01").cast("timestamp_ntz"))
+    line.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, 'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.modes for r in relation_details(spark, str(tmp_path)).collect()] == ["X,O,F,A"]
