@@ -25,8 +25,12 @@ from chronolex.storage import discard, materialise
 ROUNDS = 40
 
 
-def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added: list[StructField], visitor: Callable[[], Callable[..., tuple]]) -> DataFrame:
-    """rows with columns added by a visitor, which is made anew for each document and called for its rows in order."""
+def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added: list[StructField], visitor: Callable[[], Callable[..., tuple]], dealt: bool = False) -> DataFrame:
+    """rows with columns added by a visitor, which is made anew for each document and called for its rows in order.
+
+    Rows keep their partition and order. dealt says that they already lie by document and in order, as those of
+    another pass do that nothing has shuffled or stored since: they are then read as they come.
+    """
     names, types = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +44,8 @@ def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added:
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*b.schema.names, *names])
 
-    return rows.repartition("doc").sortWithinPartitions("doc", *order).mapInArrow(run, StructType([*rows.schema.fields, *added]))
+    rows = rows if dealt else rows.repartition("doc").sortWithinPartitions("doc", *order)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added]))
 
 
 def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -182,7 +187,7 @@ def nearest_above(nodes: DataFrame, keys: list[str], node: str, parent: str, bou
     return done.select(*keys, node, F.col("nearest.id").alias("nearest"))
 
 
-def anchored(nodes: DataFrame, boundaries: list[str]) -> DataFrame:
+def anchored(nodes: DataFrame, boundaries: list[str], dealt: bool = False) -> DataFrame:
     """Adds anchor (nearest node above or itself with a boundary's tag, else the parent, else itself) and prefix.
 
     prefix joins the labels of the boundaries and the anchor, from the root on.
@@ -204,7 +209,7 @@ def anchored(nodes: DataFrame, boundaries: list[str]) -> DataFrame:
 
         return visit
 
-    return streamed(nodes, ["ord"], ["depth", "ord", "parent", "tag", "label"], [StructField("anchor", nodes.schema["ord"].dataType), StructField("prefix", StringType())], visitor)
+    return streamed(nodes, ["ord"], ["depth", "ord", "parent", "tag", "label"], [StructField("anchor", nodes.schema["ord"].dataType), StructField("prefix", StringType())], visitor, dealt)
 
 
 def scoped(nodes: DataFrame, main: str, supplement: str) -> DataFrame:
@@ -288,16 +293,17 @@ def statistics(nodes: DataFrame, main: str, article: str) -> DataFrame:
     return by_tag.union(largest).union(bare)
 
 
-def anchored_chunks(nodes: DataFrame, boundaries: list[str], most: int = 1200, version: str = "1") -> DataFrame:
+def anchored_chunks(nodes: DataFrame, boundaries: list[str], most: int = 1200, version: str = "1", dealt: bool = False) -> DataFrame:
     """(doc, chunk, anchor, prefix, first_ord, last_ord, n_units, n_chars, oversize, text, chunk_id).
 
     Units are nodes with text. Consecutive ones of one anchor are packed, joined by a line break, while the text has
     at most most characters; a unit is never split. Documents are sorted within partitions and read as a stream, so
-    only one chunk is held.
+    only one chunk is held. Anchors and chunks are two passes over the same order: rows are dealt once for both, and
+    not at all if they are dealt already (as numbered leaves them).
     """
     if most < 100:
         raise ValueError("a chunk holds at least 100 characters")
-    units = anchored(nodes, boundaries).where(F.trim(F.coalesce("body", F.lit(""))) != "").select("doc", "ord", "anchor", "prefix", F.trim("body").alias("body"))
+    units = anchored(nodes.select("doc", "ord", "parent", "depth", "tag", "label", "body"), boundaries, dealt).where(F.trim(F.coalesce("body", F.lit(""))) != "").select("doc", "ord", "anchor", "prefix", F.trim("body").alias("body"))
     names = ["doc", "chunk", "anchor", "prefix", "first_ord", "last_ord", "n_units", "n_chars", "oversize", "text"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +328,7 @@ def anchored_chunks(nodes: DataFrame, boundaries: list[str], most: int = 1200, v
 
     kind = {c: nodes.schema[c].dataType.simpleString() for c in ("doc", "ord")}
     schema = f"doc {kind['doc']}, chunk long, anchor {kind['ord']}, prefix string, first_ord {kind['ord']}, last_ord {kind['ord']}, n_units long, n_chars long, oversize boolean, text string"
-    made = units.repartition("doc").sortWithinPartitions("doc", "ord").mapInPandas(pack, schema)
+    made = units.mapInPandas(pack, schema)
     return made.withColumn("chunk_id", chunk_identity(version, most, "doc", "anchor", "first_ord", "last_ord", F.sha2("text", 256)))
 
 

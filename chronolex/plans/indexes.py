@@ -8,7 +8,7 @@ from chronolex.functions.text import normalise
 from chronolex.operators import chunk
 from chronolex.operators.trigram_index import TrigramIndex, build_index
 from chronolex.plans.queries import _sim, query
-from chronolex.plans.structure import _CHUNKED, _NODES, _SCOPE, building, chunks_of, nodes_of
+from chronolex.plans.structure import _CHUNKED, _NODES, _SCOPE, building, new_chunks
 from chronolex.storage import load, new_path
 
 
@@ -41,7 +41,7 @@ def indexed_lexical_search(spark, sf_dir):
 @query(_NODES + _CHUNKED + f", h AS (SELECT first_ord, chunk_id, {_sim('text', chr(39) + 'from supplier 7 of' + chr(39))} AS score FROM cd WHERE doc IN {_SCOPE} AND (contains(text, 'from supplier 7 of') OR contains(prefix, 'from supplier 7 of'))) SELECT * FROM h ORDER BY score DESC, first_ord, chunk_id LIMIT 50")
 def indexed_chunk_search(spark, sf_dir):
     """The ranked, limited chunk search of a scope, over an index of all chunks' prefixes and texts."""
-    chunks = chunks_of(nodes_of(spark, sf_dir))
+    chunks = new_chunks(spark, sf_dir)
     index = build_index(chunks, new_path(spark, "chunk-index"), F.concat(normalise("prefix"), F.lit("\n"), normalise("text")))
     return index.chunk_lexical_search("from supplier 7 of", ["first_ord", "chunk_id"], building(spark, sf_dir), ["doc"], 50)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolex.operators import evidence, quality, search
 from chronolex.operators import nodes as tree
 from chronolex.plans.queries import page_tree_nodes, query
-from chronolex.storage import load, materialise, replace_partitions, shared_dir
+from chronolex.storage import load, materialise, replace_partitions, shared_dir, small_batches
 
 PARTS = ("MainProvision", "SupplProvision", "AppendixTable")
 BOUNDARIES = ["MainProvision", "SupplProvision", "Chapter", "Article"]
@@ -195,13 +195,19 @@ _CHUNKED = _ANCHORS + f""", un AS (SELECT an.doc, an.ord, anchor, coalesce(prefi
      cd AS (SELECT *, CAST(length(text) AS BIGINT) AS n_chars, length(text) > {MOST} AS oversize, sha256(concat_ws(chr(31), '1', 'soft_max_chars={MOST}', doc, anchor, first_ord, last_ord, sha256(text))) AS chunk_id FROM cx)"""
 
 
-def chunks_of(n):
-    return tree.anchored_chunks(n, BOUNDARIES, MOST)
+def chunks_of(n, dealt=False):
+    return tree.anchored_chunks(n, BOUNDARIES, MOST, dealt=dealt)
+
+
+def new_chunks(spark, sf_dir):
+    """The chunks where nothing else is asked of the nodes: numbered, anchored and packed as they come, not stored between."""
+    small_batches(spark)
+    return chunks_of(law_nodes(spark, sf_dir), dealt=True)
 
 
 @query(_NODES + _CHUNKED + " SELECT * FROM cd")
 def anchored_chunks(spark, sf_dir):
-    return chunks_of(nodes_of(spark, sf_dir))
+    return new_chunks(spark, sf_dir)
 
 
 #: A tenth of the documents are the resolved scope of the chunk searches.
@@ -215,7 +221,7 @@ def building(spark, sf_dir):
 @query(_NODES + _CHUNKED + f" SELECT chunk_id, doc, first_ord, n_chars FROM cd WHERE doc IN {_SCOPE} AND contains(text, 'from supplier 7 of')")
 def chunk_lexical_matches(spark, sf_dir):
     """All chunks of the scope that hold the text; chunk_lexical_search ranks and limits them."""
-    c = search.in_scope(chunks_of(nodes_of(spark, sf_dir)), building(spark, sf_dir), ["doc"])
+    c = search.in_scope(new_chunks(spark, sf_dir), building(spark, sf_dir), ["doc"])
     return search.chunk_matches(c, "from supplier 7 of").select("chunk_id", "doc", "first_ord", "n_chars")
 
 
@@ -286,7 +292,7 @@ def extractive_answers(spark, sf_dir):
 @query(_NODES + _CHUNKED + " SELECT CAST(doc % 8 AS INT) AS bucket, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM cd GROUP BY 1")
 def chunk_store(spark, sf_dir):
     """A store by bucket of documents: built from empty texts, then every second bucket is replaced, then the others."""
-    made = materialise(chunks_of(nodes_of(spark, sf_dir)).withColumn("bucket", (F.col("doc") % 8).cast("int")), "chunks")
+    made = materialise(new_chunks(spark, sf_dir).withColumn("bucket", (F.col("doc") % 8).cast("int")), "chunks")
     path = f"{shared_dir(spark)}/chronolex/chunk-store-{uuid.uuid4().hex}"
     replace_partitions(made.withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")), path, ["bucket"])
     for odd in (0, 1):

@@ -151,3 +151,14 @@ def test_joins_of_nodes_send_none_through_the_driver(some, spark):
     up = nodes.recursive_paths(n, ["doc"], "ord", "parent", F.col("tag"))
     for made in (nodes.rendered_segments(n, ["a"]), nodes.rendered(n, "a"), up):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_deal_nodes_once(some, spark):
+    """Anchors and chunks are passes over one order: one shuffle of stored nodes, none of numbered ones; the same chunks."""
+    n = some[1].withColumn("body", F.concat(F.lit("x" * 40), F.col("ord").cast("string")))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    stored = nodes.anchored_chunks(n.drop("path_index"), ["a"], 100)
+    numbered = nodes.numbered(n.drop("parent", "path_index").withColumnRenamed("ord", "place"), [F.col("place")])
+    fused = nodes.anchored_chunks(numbered, ["a"], 100, dealt=True)
+    assert plan(stored).count("Exchange hashpartitioning") == plan(fused).count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in fused.collect()}
