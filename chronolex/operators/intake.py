@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.operators import tree
-from chronolex.sinks.store import Part, local_orders
+from chronolex.sinks.store import Part, Snapshot, local_orders
 from chronolex.storage import materialise
 
 #: Issue codes.
@@ -17,17 +17,19 @@ def _digest(*values) -> F.Column:
     return F.sha2(F.concat_ws("\x1f", *values), 256)
 
 
-def file_parts(files: DataFrame, revisions: DataFrame) -> dict[str, Part]:
+def file_parts(files: DataFrame, revisions: DataFrame, stored: Snapshot | None = None) -> dict[str, Part]:
     """What a store takes of files (uri, revision, content), as parts for one commit.
 
     raw_file holds each content once; source_file says which address and revision had it, and is immutable as its raw
     copy is stored with it. A file whose revision is known and that is well-formed becomes a document with its nodes
     and attachments. Of others the raw copy stays and an issue says why: one whose revision becomes known later is
-    a document in a later run.
+    a document in a later run. Documents that stored has are not parsed again: a commit would leave them out.
     """
     f = files.select(F.col("uri").cast("string").alias("uri"), F.col("revision").cast("string").alias("revision"), F.col("content").cast("binary").alias("content")).where(F.col("content").isNotNull())
     f = f.withColumn("sha256", F.sha2("content", 256)).withColumn("source_file_id", _digest("uri", "sha256")).withColumn("document_id", _digest("revision", "sha256"))
     known = f.join(revisions.select(F.col("revision").cast("string").alias("revision")).distinct(), "revision", "left_semi").select("document_id", "revision", "sha256", "content")
+    if stored is not None and "document" in stored.tables():
+        known = known.join(stored.read("document").select("document_id").hint("merge"), "document_id", "left_anti")
     known = materialise(known.dropDuplicates(["document_id"]).withColumn("doc", F.monotonically_increasing_id()), "known")
     nodes = materialise(tree.shred_xml_nodes(known, "doc", "content"), "parsed")
     ids = known.select("doc", "document_id", "revision", "sha256")

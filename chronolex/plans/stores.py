@@ -27,7 +27,7 @@ def filled_store(spark, sf_dir):
     most = every.where("o_custkey % 10 <> 9")
     store = Store(spark, new_path(spark, "store"))
     for rows, known in ((files.where("o_custkey % 3 = 0"), most), (files, most), (files, most), (files, every)):
-        store.commit(file_parts(rows, known))
+        store.commit(file_parts(rows, known, store.snapshot()))
     return store
 
 

@@ -130,3 +130,17 @@ def test_members_and_snapshots(spark, tmp_path):
     assert store.commit(snapshot_parts(records, ["lines"])) == 2 and store.commit(snapshot_parts(records, ["lines"])) is None
     at = store.snapshot()
     assert [at.read(t).count() for t in ("source_file_member", "provider", "external_document", "snapshot", "part")] == [2, 2, 2, 3, 3]
+
+
+def test_stored_documents_are_not_parsed_again(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/parsed")
+    assert store.commit(file_parts(files(spark, FILES), known(spark, "r1", "r2"), store.snapshot())) == 1
+    again = file_parts(files(spark, FILES), known(spark, "r1", "r2"), store.snapshot())
+    assert again["document"].rows.isEmpty() and again["document"].children["node"].rows.isEmpty()
+    assert store.commit(again) is None
+    assert store.commit(file_parts(files(spark, FILES), known(spark, "r1", "r2", "r9"), store.snapshot())) == 2
+    whole = Store(spark, f"{tmp_path}/whole")
+    whole.commit(file_parts(files(spark, FILES), known(spark, "r1", "r2")))
+    whole.commit(file_parts(files(spark, FILES), known(spark, "r1", "r2", "r9")))
+    for t in whole.snapshot().tables():
+        assert sorted(map(str, store.snapshot().read(t).collect())) == sorted(map(str, whole.snapshot().read(t).collect()))
