@@ -94,6 +94,7 @@ def members(spark: SparkSession, path: str, revisions_only: bool = True, most: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, f = None, None
         for b in batches:
+            rows, held = [], 0
             for r in b.itertuples(index=False):
                 content, crc, issue = None, r.crc32, r.issue
                 if issue is None and r.size > most:
@@ -108,7 +109,13 @@ def members(spark: SparkSession, path: str, revisions_only: bool = True, most: i
                     if issue is None and (crc != r.crc32 or len(content) != r.size):
                         content, issue = None, "CRC_MISMATCH"
                 sha = hashlib.sha256(content).hexdigest() if content is not None else None
-                yield pd.DataFrame([(r.archive, r.member, r.place, r.revision_id, r.crc32, r.size, sha, content, issue)], columns=names)
+                rows.append((r.archive, r.member, r.place, r.revision_id, r.crc32, r.size, sha, content, issue))
+                held += len(content or b"")
+                if held >= STEP:  # many small members make one batch, a large one is a batch of its own
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
         if f:
             f.close()
 
