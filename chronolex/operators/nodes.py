@@ -151,21 +151,28 @@ def _doubled(links: DataFrame, keys: list[str], node: str, merge: dict[str, Call
     """links (keys, node, up, ...) followed to the top: every round takes each link as far again.
 
     merge gives a column's value from that of the link above and the node's own. A link's up is null once it has
-    arrived. The tables of earlier rounds are removed.
+    arrived. Only links that another one leads to are taken through the rounds, in tables of which the earlier ones
+    are removed; all others, the most of a usual tree, take their value from the one above at last.
     """
-    links = materialise(links, "links")
+    led_to = links.where(F.col("up").isNotNull()).select(*keys, F.col("up").alias(node)).distinct()
+    inner = materialise(matched(links, led_to, [*keys, node], "left_semi"), "links")
     for _ in range(ROUNDS):
-        if links.where(F.col("up").isNotNull()).isEmpty():
-            return links
-        above = links.select(*keys, F.col(node).alias("up"), F.col("up").alias("further"), F.lit(True).alias("there"), *[F.col(c).alias(f"above_{c}") for c in merge])
-        met = matched(links.where(F.col("up").isNotNull()), above, [*keys, "up"], "left")  # a parent that isn't there ends the way
-        values = [F.when(F.col("there"), f(F.col(f"above_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c, f in merge.items()]
-        moved = met.select(*keys, node, F.col("further").alias("up"), *values)
-        former, links = links, materialise(links.where(F.col("up").isNull()).select(*keys, node, "up", *merge).unionByName(moved), "links")
+        if inner.where(F.col("up").isNotNull()).isEmpty():
+            return _followed(links, inner, keys, node, merge)
+        moved = _followed(inner.where(F.col("up").isNotNull()), inner, keys, node, merge)
+        former, inner = inner, materialise(inner.where(F.col("up").isNull()).unionByName(moved), "links")
         discard(former)
     raise ValueError("parents run in a circle")
 
 
+def _followed(links: DataFrame, above: DataFrame, keys: list[str], node: str, merge: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """links joined to the ones above them, whose up they take; one that isn't there ends the way."""
+    over = above.select(*keys, F.col(node).alias("up"), F.col("up").alias("further"), F.lit(True).alias("there"), *[F.col(c).alias(f"above_{c}") for c in merge])
+    met = matched(links, over, [*keys, "up"], "left")
+    values = [F.when(F.col("there"), f(F.col(f"above_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c, f in merge.items()]
+    return met.select(*keys, node, F.col("further").alias("up"), *values)
+
+
 def recursive_paths(nodes: DataFrame, keys: list[str], node: str, parent: str, step: Column) -> DataFrame:
     """(keys, node, path, depth): root-to-node paths from parent pointers alone, by pointer doubling.
 

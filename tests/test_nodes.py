@@ -162,3 +162,19 @@ def test_chunks_deal_nodes_once(some, spark):
     fused = nodes.anchored_chunks(numbered, ["a"], 100, dealt=True)
     assert plan(stored).count("Exchange hashpartitioning") == plan(fused).count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in fused.collect()}
+
+
+def test_rounds_of_doubling_write_inner_nodes_only(some, monkeypatch):
+    """Nodes that no other one points to take their value at last and are in no table of a round."""
+    rows, df = some
+    written = []
+
+    def kept(table, label):
+        made = materialise(table, label)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(nodes, "materialise", kept)
+    inner = {(r[0], r[2]) for r in rows if r[2] is not None}
+    assert nodes.recursive_paths(df, ["doc"], "ord", "parent", F.col("tag")).count() == len(rows)
+    assert len(written) > 1 and set(written) == {len(inner)} and len(inner) < len(rows)
