@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from chronolex.operators.chunk import chunk_identity
 from chronolex.storage import discard, materialise
@@ -235,12 +235,64 @@ def subtrees(nodes: DataFrame, tag: str) -> DataFrame:
     return below.where(F.col("a.ord") != F.col("ord")).select("doc", F.col("a.ord").alias("anchor"), "ord", "depth", "tag", "body")
 
 
-def rendered(nodes: DataFrame, tag: str, between: str = "\n") -> DataFrame:
-    """(doc, anchor, text): the texts of each such node and of all below, in document order."""
-    own = nodes.where(F.col("tag") == tag).select("doc", F.col("ord").alias("anchor"), "ord", "body")
-    parts = subtrees(nodes, tag).select("doc", "anchor", "ord", "body").unionByName(own).where(F.col("body").isNotNull())
-    joined = parts.groupBy("doc", "anchor").agg(F.array_sort(F.collect_list(F.struct("ord", "body"))).alias("p"))  # one subtree
-    return matched(own.select("doc", "anchor"), joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.body", between), F.lit("")).alias("text"))
+def summed(nodes: DataFrame, wanted: Column, between: str | None = "\n") -> DataFrame:
+    """(doc, anchor, end, n_below, n_texts, text) of every wanted node.
+
+    end is the first later node that is no deeper (null at the end of the document); n_below counts the nodes below, n_texts
+    those of them with a text. text joins the node's own text and those below in document order; it is null if
+    between is. A node is given when the pass comes to its end, so only open subtrees' texts are held, each once.
+    """
+    texts = between is not None
+    kind = nodes.schema["ord"].dataType
+    body = F.col("body") if texts else F.when(F.col("body").isNotNull(), F.lit(""))
+    light = nodes.select("doc", "ord", "depth", F.coalesce(wanted, F.lit(False)).alias("wanted"), body.alias("body"))
+    made = StructType([nodes.schema["doc"], StructField("anchor", kind), StructField("end", kind), StructField("n_below", LongType()), StructField("n_texts", LongType()), StructField("text", StringType())])
+    names, types = made.names, [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stack, out = None, [], []  # of every open wanted node: depth, ord, nodes below, texts, their number, its own
+
+        def close(end: int | None) -> None:
+            _, ord_, below, parts, count, own = stack.pop()
+            out.append((current, ord_, end, below, count - own, between.join(parts) if texts else None))
+            if stack:
+                stack[-1][2] += below + 1
+                stack[-1][3] += parts
+                stack[-1][4] += count
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        for b in batches:
+            for doc, ord_, depth, want, body in zip(*(b.column(c).to_pylist() for c in ("doc", "ord", "depth", "wanted", "body")), strict=True):
+                if doc != current:
+                    while stack:
+                        close(None)
+                    current = doc
+                while stack and stack[-1][0] >= depth:
+                    close(ord_)
+                there = body is not None
+                if want:
+                    stack.append([depth, ord_, 0, [body] if there and texts else [], int(there), int(there)])
+                elif stack:
+                    stack[-1][2] += 1
+                    stack[-1][4] += there
+                    if there and texts:
+                        stack[-1][3].append(body)
+            yield rows()
+        while stack:
+            close(None)
+        yield rows()
+
+    return light.repartition("doc").sortWithinPartitions("doc", "ord").mapInArrow(run, made)
+
+
+def rendered(nodes: DataFrame, tag: str, between: str = "\n", only: Column | None = None) -> DataFrame:
+    """(doc, anchor, text): the texts of each such node (only: of those for which it holds) and of all below, in document order."""
+    wanted = F.col("tag") == tag
+    return summed(nodes, wanted if only is None else wanted & only, between).select("doc", "anchor", "text")
 
 
 def segment_texts(nodes: DataFrame) -> DataFrame:

@@ -164,6 +164,28 @@ def test_chunks_deal_nodes_once(some, spark):
     assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in fused.collect()}
 
 
+def test_subtrees_summed_in_one_pass(some):
+    """Ends, counts and texts of subtrees, also of nodes inside one another, equal brute force; nodes are dealt once."""
+    rows, df = some
+    df = df.withColumn("body", F.when(F.col("ord") % 3 > 0, F.concat(F.lit("t"), F.col("ord").cast("string"))))
+    chains, by = above(rows), {(r[0], r[1]): r for r in rows}
+    text = lambda o: f"t{o}" if o % 3 else None
+    want = {}
+    for (doc, ord_), r in by.items():
+        if r[4] == "b":
+            below = sorted(o for d, o in by if d == doc and o != ord_ and ord_ in chains[d, o])
+            end = min((o for d, o in by if d == doc and o > ord_ and by[d, o][3] <= r[3]), default=None)
+            want[doc, ord_] = (end, len(below), sum(text(o) is not None for o in below), ",".join(x for x in map(text, [ord_, *below]) if x))
+    got = nodes.summed(df, F.col("tag") == "b", ",")
+    assert {(r.doc, r.anchor): tuple(r)[2:] for r in got.collect()} == want and len(want) > 20
+    assert {(r.doc, r.anchor): tuple(r)[2:] for r in nodes.summed(df, F.col("tag") == "b", None).collect()} == {k: (*v[:3], None) for k, v in want.items()}
+    some_of = nodes.rendered(df, "b", ",", only=F.col("ord") < 9)
+    assert {(r.doc, r.anchor): r.text for r in some_of.collect()} == {k: v[3] for k, v in want.items() if k[1] < 9}
+    for made in (got, some_of):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert nodes.summed(df.limit(0), F.lit(True)).count() == 0
+
+
 def test_rounds_of_doubling_write_inner_nodes_only(some, monkeypatch):
     """Nodes that no other one points to take their value at last and are in no table of a round."""
     rows, df = some
