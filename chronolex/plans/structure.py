@@ -157,6 +157,8 @@ _SCOPES = _ANCESTORS + """, sc AS (SELECT doc, ord, arg_max(tag_, above) AS t, a
 
 
 def scoped_articles(n):
+    """Articles with their scope. Sentences are leaves below articles: none is a scope or ends one, so the pass goes without them."""
+    n = n.where("tag <> 'Sentence'").select("doc", "ord", "depth", "tag", "num")
     return tree.scoped(n, "MainProvision", "SupplProvision").where("tag = 'Article'").select("doc", "ord", "scope", "num")
 
 
@@ -177,7 +179,7 @@ def article_detail(spark, sf_dir):
     """Article 7 of every document: its text, and whether its number is unique within and across scopes."""
     n = nodes_of(spark, sf_dir)
     a = scoped_articles(n).where("num = '7'")
-    a = tree.matched(a, tree.rendered(n, "Article".withColumnRenamed("anchor", "ord"), ["doc", "ord"])
+    a = tree.matched(a, tree.rendered(n, "Article", only=F.col("num") == "7").withColumnRenamed("anchor", "ord"), ["doc", "ord"])
     counts = a.where("scope is not null").groupBy("doc", "scope").agg(F.count("*").alias("same"))
     total = counts.groupBy("doc").agg(F.sum("same").alias("all"))
     joined = a.join(counts, ["doc", "scope"], "left").join(total, "doc", "left")
