@@ -4,7 +4,8 @@ The vocabulary is the tokenizer's JSON file (a parameter, as public_tokenizers.p
 of the tokenizers library for that file as it comes: strings of added tokens in a text become their ids (with
 special=False they are ordinary text, as with the library's encode_special_tokens). Text is cut at single
 blanks between non-blank characters, where no token of this pre-tokenisation can reach across; the pieces' ids
-come from a bounded cache, and new pieces from tiktoken with the same vocabulary.
+come from a bounded cache, and new pieces from tiktoken with the same vocabulary. Where most words are rare, stretches
+give the same ids without the cache, in half the time.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import re
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import tiktoken
@@ -21,6 +23,8 @@ import tiktoken
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 MOST_CACHED = 150_000
+#: Characters of a stretch, if the text has a single blank behind so many.
+STRETCH = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,6 +76,20 @@ class Encoder:
             return b"".join(self._added[x] if i % 2 else self._plain(x) for i, x in enumerate(self._cut.split(text)))
         return self._plain(text)
 
+    def stretches(self, text: str, most: int = STRETCH) -> Iterator[list[int]]:
+        """The ids of a whole text in order, so that a long text isn't held as one list of numbers."""
+        parts = self._cut.split(text) if self._added and any(t in text for t in self._added) else [text]
+        for i, part in enumerate(parts):
+            if i % 2:
+                yield np.frombuffer(self._added[part], dtype="<u4").tolist()
+                continue
+            at = 0
+            while at < len(part):
+                blank = SINGLE_BLANK.search(part, at + most)
+                end = blank.start() if blank else len(part)
+                yield self._encode(part[at:end])
+                at = end
+
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""

@@ -8,6 +8,8 @@ partitioned by range of slots (slots are dense, so each partition gets exactly o
 shard holds consecutive slots at one stride: reading from any slot on is one seek (read_shard). write_shards writes
 such files, each whole or not at all, with a manifest of its own (key, length, end token, number of sequences,
 vocabulary, checksum); a shard whose manifest and size are those to be written is left alone, any other is written anew.
+The shards are written in waves, each a range of them shuffled by itself, so that the disks never hold all sequences
+as a table, as shuffle files and as shards at once.
 
 Defined results: null or empty text is one end token. Repeated rows are written each. An empty table gives no
 sequence. Other columns are ignored.
@@ -21,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 
 from chronolex.llm.common import id_text, record_batch
 from chronolex.llm.token_ids import encoder
-from chronolex.storage import load, materialise, shared_dir
+from chronolex.storage import discard, load, materialise, shared_dir, short_shuffles
 
 SEQUENCES = "part int, pos long, first_doc_id long, n_tokens int, ids binary"
 ROUNDS = 4
+WAVES = 3
 
 
 def sequences(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
@@ -46,14 +50,16 @@ def sequences(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
         encode, part = encoder(path), TaskContext.get().partitionId()
         if max(encode.top, end) > 0xFFFF:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
-        last = np.array([end], dtype="<u4").tobytes()
+        last = np.array([end], dtype="<u2").tobytes()
         buffer, first, pos = bytearray(), None, 0
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not buffer:
                     first = doc_id
-                buffer += np.frombuffer(encode(text or "") + last, dtype="<u4").astype("<u2").tobytes()
+                for ids in encode.stretches(text or ""):
+                    buffer += np.array(ids, dtype="<u2").tobytes()
+                buffer += last
                 while len(buffer) >= 2 * length:
                     rows.append((part, pos, first, length, bytes(buffer[: 2 * length])))
                     del buffer[: 2 * length]
@@ -95,17 +101,14 @@ def permuted(index: np.ndarray, total: int, key: int) -> np.ndarray:
 
 def training_order(docs: DataFrame, path: str | None = None, length: int = 2048, end: int = 2, key: int = 20240501, shard_slots: int = 4096) -> DataFrame:
     """(slot, shard, byte_offset, first_doc_id, n_tokens, ids_crc32, ids), range-partitioned and sorted by slot."""
-    return _ordered(docs, path or public_tokenizers.path("byte_bpe_50k.json"), length, end, key, shard_slots)[0]
+    placed, total = _placed(docs, path or public_tokenizers.path("byte_bpe_50k.json"), length, end, key)
+    return _ranged(placed, 0, max(1, -(-total // shard_slots)), length, shard_slots)
 
 
-def _ordered(docs: DataFrame, path: str, length: int, end: int, key: int, shard_slots: int) -> tuple[DataFrame, int]:
-    """The rows of training_order and the number of sequences."""
-    spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/chronolex/sequences-{uuid.uuid4().hex}"
-    made = sequences(docs, path, length, end)
-    made.write.option("compression", "zstd").parquet(out)
-    kept = spark.read.schema(made.schema).parquet(out)
-    counts = sorted((r.part, r["n"]) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row an input partition
+def _placed(docs: DataFrame, path: str, length: int, end: int, key: int) -> tuple[DataFrame, int]:
+    """The sequences, from a table, with their slots, and their number."""
+    made = materialise(sequences(docs, path, length, end), "sequences", "zstd")
+    counts = sorted((r.part, r["n"]) for r in made.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row an input partition
     total = sum(n for _, n in counts)
     before = np.zeros(max((p for p, _ in counts), default=0) + 1, dtype=np.int64)
     at = 0
@@ -116,10 +119,14 @@ def _ordered(docs: DataFrame, path: str, length: int, end: int, key: int, shard_
     def slot(part: pd.Series, pos: pd.Series) -> pd.Series:
         return pd.Series(permuted(before[part.to_numpy()] + pos.to_numpy(), total, key))
 
-    placed = kept.withColumn("slot", slot("part", "pos"))
-    shard = F.floor(F.col("slot") / shard_slots).cast("long")
-    ranged = placed.withColumn("shard", shard).repartitionById(max(1, -(-total // shard_slots)), F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return ranged.select("slot", "shard", ((F.col("slot") % shard_slots) * 2 * length).alias("byte_offset"), "first_doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids"), total
+    return made.withColumn("slot", slot("part", "pos")), total
+
+
+def _ranged(placed: DataFrame, first: int, past: int, length: int, shard_slots: int) -> DataFrame:
+    """The rows of training_order in the shards from first on and before past."""
+    own = placed.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("long")).where((F.col("shard") >= first) & (F.col("shard") < past))
+    ranged = own.repartitionById(past - first, (F.col("shard") - first).cast("int")).sortWithinPartitions("slot")
+    return ranged.select("slot", "shard", ((F.col("slot") % shard_slots) * 2 * length).alias("byte_offset"), "first_doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
 
 
 WRITTEN = "slot long, shard long, byte_offset long, first_doc_id long, n_tokens int, ids_crc32 long, n_slots long, n_bytes long"
@@ -197,11 +204,16 @@ def written_order(docs: DataFrame, uri: str, path: str | None = None, length: in
     The ids are in the shards: of each row at its byte_offset. Shards of an earlier, longer order are removed.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    ordered, total = _ordered(docs, path, length, end, key, shard_slots)
+    placed, total = _placed(docs, path, length, end, key)
     with open(path, "rb") as f:
         vocabulary = hashlib.sha256(f.read()).hexdigest()
     made_of = {"key": key, "length": length, "end": end, "shard_slots": shard_slots, "total": total, "vocabulary_sha256": vocabulary}
-    written = materialise(write_shards(ordered, uri, made_of), "shards_written")
+    shards = max(1, -(-total // shard_slots))
+    edges = sorted({shards * w // WAVES for w in range(WAVES + 1)})
+    with short_shuffles(docs.sparkSession):
+        waves = [materialise(write_shards(_ranged(placed, lo, hi, length, shard_slots), uri, made_of), "shards_written") for lo, hi in zip(edges, edges[1:], strict=False)]
+    discard(placed)
+    written = reduce(DataFrame.unionByName, waves)
     files, root = fs.FileSystem.from_uri(uri)
     if files.get_file_info(root).type == fs.FileType.Directory:
         for f in files.get_file_info(fs.FileSelector(root, recursive=True)):

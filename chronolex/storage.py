@@ -6,6 +6,8 @@ import gc
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +44,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_ROWS))
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     small_batches(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +73,21 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files are removed when it is over, not when the driver's collector finds its plan.
+
+    A frame that is computed twice inside shuffles twice.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     """Rows become the whole content of the partitions they name in the table at path; its other partitions stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

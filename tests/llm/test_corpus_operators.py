@@ -1,6 +1,8 @@
 """Operators over whole tables: near duplicates, chat, licences, token output, packing, decontamination, pipeline."""
 
 import re
+import tempfile
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 from chronolex.llm import chat_formatting, decontamination, jaccard_join, language_id, license_scan, packing, pii, training_order
 from chronolex.llm.components import components
-from chronolex.llm.token_ids import Encoder, encoder
+from chronolex.llm.token_ids import STRETCH, Encoder, encoder
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,6 +234,35 @@ def test_shards_round_trip(spark, awkward, empty, tmp_path):
     assert training_order.written_order(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_shards_leave_no_shuffle_files_or_sequences(spark, tmp_path):
+    """Waves don't add up: what a wave shuffled is gone after it, and the table of sequences after the last."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def left():
+        local = Path(spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()))
+        return {f for f in local.glob("blockmgr-*/*/shuffle_*.data") if f.stat().st_size > 500_000} | set(shared.glob("chronolex/sequences-*"))
+
+    before = left()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    training_order.written_order(docs.union(docs).union(docs), f"file://{tmp_path}/shards", length=256, shard_slots=64)
+    until = time.monotonic() + 10
+    while (new := left() - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not new
+
+
+def test_stretches_give_the_library_ids(spark):
+    """Whole texts without the cache, cut at single blanks, with added tokens, no blanks and blanks in a row."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoded = Tokenizer.from_file(path), encoder(path)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect()]
+    texts += ["", " ", "a  b   c d", " x \n y\u00a0z ", "a" * 5000, "it's <|endoftext|> two<|endoftext|>", "\u00e9 \u4e2d\u6587 12 345\t6"]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        for most in (1, 7, 1000, STRETCH):
+            assert [i for ids in encoded.stretches(text, most) for i in ids] == want
+
+
 def test_decontamination(spark, awkward, empty):
     item = " ".join(f"Q{i}" for i in range(30))
     near = item.replace("Q29", "other").replace("Q28", "words")  # 24 of 26 shingles
