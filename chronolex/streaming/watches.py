@@ -8,8 +8,9 @@ The log has three kinds of rows, all with the run's id and start time:
 
 A resolution counts only if its run fully succeeded: a stream-stream join by run and time holds it back until the
 run's end is known, and lets it go with the watermark if that never comes or wasn't a success. What a key has been
-told waits in its state, and a timer at the run's time evaluates it once the watermark has passed, so rows that come
-in another order than the runs give the same events.
+told waits in its state, and a timer at the earliest run's time evaluates it once the watermark has passed: all runs
+up to the watermark, in their order, so rows that come in another order than the runs give the same events. A key is
+read and written once for all runs that are due, not once for each.
 
 A state that isn't resolved writes nothing and moves nothing. The first resolved one sets the baseline without an
 event. Later ones give an observed-change for each revision seen after the baseline's run and up to this one (in
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Times within the state are microseconds; evaluated is the last millisecond whose timer has fired.
+#: Times within the state are microseconds; evaluated is the last millisecond up to which runs were evaluated.
 EVENTS = "key string, event_type string, from_revision string, to_revision string, source_run string, run string, at long"
 HELD = "at long, run string, kind string, status string, revision string, source_run string"
 BASELINE = "revision string, at long, run string, evaluated long"
@@ -62,19 +63,21 @@ class WatchProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         evaluated = self.baseline.get()[3] if self.baseline.exists() else None
         new = {(r.at, r.run, r.kind, r.status, r.revision, r.source_run) for r in rows if evaluated is None or r.at // 1000 > evaluated}
-        for r in sorted(new, key=repr):
-            self.held.appendValue(r)
-        for at in {r[0] // 1000 for r in new}:
-            self.handle.registerTimer(at)
+        if new:
+            self.held.appendList(sorted(new, key=repr))
+            self.handle.registerTimer(min(r[0] for r in new) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        kept = self.baseline.get() if self.baseline.exists() else None
+        if kept is not None and kept[3] is not None and expired <= kept[3]:  # an earlier timer has evaluated this run too
+            return
+        until = max(expired, timerValues.getCurrentWatermarkInMs())
         held = sorted({tuple(h) for h in self.held.get()}, key=repr)
         due = [h for h in held if h[0] // 1000 <= until]
         if not due:
             return
-        kept = self.baseline.get() if self.baseline.exists() else None
         baseline = (kept[0], (kept[1], kept[2])) if kept is not None and kept[0] is not None else None
         observed = [((h[0], h[1]), h[4]) for h in due if h[2] == "observed"]
         resolved = {(h[0], h[1]): (h[3], h[4], h[5]) for h in due if h[2] == "resolution"}
@@ -86,10 +89,14 @@ class WatchProcessor(StatefulProcessor):
                 yield Row(key=key[0], event_type=kind, from_revision=before, to_revision=after, source_run=source, run=run[1], at=run[0])
         revision, at = baseline or (None, (None, None))
         self.baseline.update((revision, at[0], at[1], until))
-        self.held.clear()
-        for h in held:
-            if h[0] // 1000 > until or (h[2] == "observed" and ((h[0], h[1]), h[4]) in observed):
-                self.held.appendValue(h)
+        later = [h for h in held if h[0] // 1000 > until]
+        if later:
+            self.handle.registerTimer(min(h[0] for h in later) // 1000)
+        left = later + [h for h in due if h[2] == "observed" and ((h[0], h[1]), h[4]) in observed]
+        if left:
+            self.held.put(left)
+        else:
+            self.held.clear()
 
     def close(self) -> None:
         pass

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 
 from chronolex.streaming import watches
 
@@ -90,3 +93,56 @@ def test_stream_with_restarts_repeats_and_disorder(spark, tmp_path):
     assert len(want) > 20 and sorted(map(tuple, got.collect()), key=repr) == want
     assert sizes[-1] == sizes[-2] == len(want)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+class Counted:
+    """A state of one key in memory, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("update", "put"):
+                self.value = args[0]
+            elif name == "appendList":
+                self.value = (self.value or []) + list(args[0])
+            elif name == "appendValue":
+                self.value = [*(self.value or []), args[0]]
+            elif name == "clear":
+                self.value = None
+            elif name == "exists":
+                return self.value is not None
+            elif name == "get":
+                return iter(self.value or []) if self.value is None or isinstance(self.value, list) else self.value
+            return None
+
+        return call
+
+
+def test_state_calls_do_not_grow_with_runs():
+    """All runs that are due are evaluated at once, rows of later ones and unresolved observations wait; the same events as by brute force."""
+    ms = 86_400_000
+    runs, told, seen = log(11)
+    ok = {r[0] for r in runs if r[2] == "succeeded"}
+    number = {r[0]: i for i, r in enumerate(runs)}
+    kinds = [(k, run, "resolution", status, selected, source) for k, run, _, status, selected, source in told if run in ok]
+    kinds += [(k, run, "observed", None, revision, None) for k, run, _, revision in seen]
+    got, calls = [], {}
+    for days in (24, 12, 1):  # days for which the watermark stands still
+        made = []
+        for k in "abcdef":
+            p, timers = watches.WatchProcessor(), set()
+            p.baseline, p.held = Counted(), Counted()
+            p.handle = SimpleNamespace(registerTimer=timers.add)
+            rows = [Row(at=number[run] * ms * 1000, run=run, kind=kind, status=s, revision=v, source_run=src) for kk, run, kind, s, v, src in kinds if kk == k]
+            list(p.handleInputRows((k,), iter(rows), None))
+            for mark in range(days - 1, 24, days):
+                while due := sorted(t for t in timers if t <= mark * ms):
+                    timers.remove(due[0])
+                    made += p.handleExpiredTimer((k,), SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m * ms), SimpleNamespace(getExpiryTimeInMs=lambda t=due[0]: t))
+            calls[days] = calls.get(days, 0) + p.baseline.calls + p.held.calls
+        got.append(sorted([(r.key, r.event_type, r.from_revision, r.to_revision, r.source_run, r.run) for r in made], key=repr))
+    assert got == [brute(runs, told, seen)] * 3 and len(got[0]) > 20
+    assert calls[24] <= 6 * 8
