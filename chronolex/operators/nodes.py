@@ -23,6 +23,8 @@ from chronolex.storage import discard, materialise
 
 #: Rounds of pointer doubling: paths of up to 2 ** 40 nodes; more means that parents run in a circle.
 ROUNDS = 40
+#: Rows of a task where a whole stored table is joined or grouped.
+TASK_ROWS = 400_000
 
 
 def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added: list[StructField], visitor: Callable[[], Callable[..., tuple]], dealt: bool = False) -> DataFrame:
@@ -54,6 +56,12 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
     return left.join(right.hint("merge"), on, how)
 
 
+def shares(table: DataFrame, most: int = TASK_ROWS) -> int:
+    """Into how many tasks a stored table is dealt for some most rows each. The planner goes by bytes of shuffled data
+    that compresses well, so the memory of its tasks grows with the table up to many times those bytes."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // most))
+
+
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ord, parent, ordinal (among all siblings) and path_index (among those of the tag) to rows (doc, depth, tag, ...).
 

@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,36 @@ def test_rounds_of_doubling_write_inner_nodes_only(some, monkeypatch):
     inner = {(r[0], r[2]) for r in rows if r[2] is not None}
     assert nodes.recursive_paths(df, ["doc"], "ord", "parent", F.col("tag")).count() == len(rows)
     assert len(written) > 1 and set(written) == {len(inner)} and len(inner) < len(rows)
+
+
+def test_checks_of_broken_nodes_equal_sql_with_bounded_tasks(spark):
+    """Every check finds what the SQL finds, in as many tasks as the rows ask for."""
+    from chronolex.plans import queries, structure
+
+    n = structure.nodes_of(spark, "/root/testdata/sf0.001").toPandas()
+    n = n[n.doc.isin(sorted(n.doc.unique())[:40])].astype({"parent": "Int64"}).astype(object).where(lambda d: d.notna(), None)
+    rows = [dict(zip(n.columns, r, strict=True)) for r in n.itertuples(index=False)]
+    for i, r in enumerate(rows):
+        if i % 97 == 5:
+            r["depth"] += 1
+        if i % 89 == 7:
+            r["tag"] = " "
+        if i % 83 == 11 and r["parent"] is not None:
+            r["parent"] = 10_000
+        if i % 79 == 13:
+            r["ordinal"] = 1
+        if i % 73 == 17:
+            r["body"] = "text"
+        if i % 151 == 20:
+            r["parent"] = None
+    rows += [dict(r) for r in rows[3::101]] + [dict(rows[0], doc=-1, parent=None, ord=1)]
+    kind = structure.law_nodes(spark, "/root/testdata/sf0.001").schema
+    table = materialise(spark.createDataFrame([tuple(r[f.name] for f in kind) for r in rows], kind), "broken")
+    checked = structure.checked(table, most=50)
+    got = dict(map(tuple, checked.collect()))
+    con = duckdb.connect()
+    con.register("n", table.toPandas().astype({"parent": "Int64"}))
+    assert got == dict(con.sql("WITH " + queries.ORACLES["node_checks"].removeprefix(structure._NODES + ", ")).fetchall())
+    assert all(got.values())
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-len(rows) // 50)}), REPARTITION_BY_NUM" in plan
