@@ -10,10 +10,11 @@ binary digits.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -25,6 +26,18 @@ from chronolex.storage import discard, materialise
 ROUNDS = 40
 #: Rows of a task where a whole stored table is joined or grouped.
 TASK_ROWS = 400_000
+#: Characters of rendered texts that leave a task at once: nodes inside one another each have the text of all below.
+BATCH_CHARS = 1_000_000
+
+
+def listed(column: pa.Array) -> list:
+    """column.to_pylist(), by way of numpy where that gives the same values: it makes an object for each otherwise."""
+    if pa.types.is_integer(column.type) and column.null_count:
+        values = column.fill_null(0).to_numpy(zero_copy_only=False).astype(object)
+        values[column.is_null().to_numpy(zero_copy_only=False)] = None
+        return values.tolist()
+    kinds = (pa.types.is_integer, pa.types.is_string, *([] if column.null_count else [pa.types.is_boolean]))
+    return column.to_numpy(zero_copy_only=False).tolist() if any(k(column.type) for k in kinds) else column.to_pylist()
 
 
 def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added: list[StructField], visitor: Callable[[], Callable[..., tuple]], dealt: bool = False) -> DataFrame:
@@ -39,7 +52,7 @@ def streamed(rows: DataFrame, order: list[Column | str], uses: list[str], added:
         current, visit = None, None
         for b in batches:
             out: list[tuple] = []
-            for doc, *values in zip(*(b.column(c).to_pylist() for c in ("doc", *uses)), strict=True):
+            for doc, *values in zip(*(listed(b.column(c)) for c in ("doc", *uses)), strict=True):
                 if visit is None or doc != current:
                     current, visit = doc, visitor()
                 out.append(visit(*values))
@@ -56,16 +69,17 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
     return left.join(right.hint("merge"), on, how)
 
 
-def shares(table: DataFrame, most: int = TASK_ROWS) -> int:
-    """Into how many tasks a stored table is dealt for some most rows each. The planner goes by bytes of shuffled data
+def shares(*tables: DataFrame, most: int = TASK_ROWS) -> int:
+    """Into how many tasks stored tables are dealt for some most rows each. The planner goes by bytes of shuffled data
     that compresses well, so the memory of its tasks grows with the table up to many times those bytes."""
-    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // most))
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-sum(t.count() for t in tables) // most))
 
 
-def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], dealt: bool = False) -> DataFrame:
     """Adds ord, parent, ordinal (among all siblings) and path_index (among those of the tag) to rows (doc, depth, tag, ...).
 
-    order sorts a document's rows depth-first: a parent before its children, keys of deeper levels null above.
+    order sorts a document's rows depth-first: a parent before its children, keys of deeper levels null above. dealt
+    says that a document's rows already lie in one partition; they are sorted there.
     """
 
     def visitor() -> Callable[..., tuple]:
@@ -87,7 +101,8 @@ def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
 
         return visit
 
-    return streamed(rows, order, ["depth", "tag"], [StructField(c, IntegerType()) for c in ("ord", "parent", "ordinal", "path_index")], visitor)
+    rows = rows.sortWithinPartitions("doc", *order) if dealt else rows
+    return streamed(rows, order, ["depth", "tag"], [StructField(c, IntegerType()) for c in ("ord", "parent", "ordinal", "path_index")], visitor, dealt)
 
 
 def with_ancestors(nodes: DataFrame, *columns: str, tags: list[str] | None = None) -> DataFrame:
@@ -136,6 +151,27 @@ def with_end(nodes: DataFrame) -> DataFrame:
     return streamed(nodes, [F.desc("ord")], ["depth", "ord"], [StructField("end", kind), StructField("last", kind)], visitor)
 
 
+def with_children(nodes: DataFrame, dealt: bool = False) -> DataFrame:
+    """Adds children: the ords of a node's children in order, null for a leaf. Rows leave dealt by document and in order."""
+
+    def visitor() -> Callable[..., tuple]:
+        stack: list[tuple] = []  # depth and ord of nodes whose parent is still to come, read backwards
+
+        def visit(depth: int, ord_: int) -> tuple:
+            children = []
+            while stack and stack[-1][0] > depth:
+                children.append(stack.pop()[1])
+            stack.append((depth, ord_))
+            return (children or None,)
+
+        return visit
+
+    nodes = nodes if dealt else nodes.repartition("doc")
+    backwards = nodes.sortWithinPartitions("doc", F.desc("ord"))
+    found = streamed(backwards, [], ["depth", "ord"], [StructField("children", ArrayType(nodes.schema["ord"].dataType))], visitor, dealt=True)
+    return found.sortWithinPartitions("doc", "ord")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(doc, ord, path): the steps from the root, each with its place among siblings of the tag."""
 
@@ -274,7 +310,7 @@ def summed(nodes: DataFrame, wanted: Column, between: str | None = "\n") -> Data
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for b in batches:
-            for doc, ord_, depth, want, body in zip(*(b.column(c).to_pylist() for c in ("doc", "ord", "depth", "wanted", "body")), strict=True):
+            for doc, ord_, depth, want, body in zip(*(listed(b.column(c)) for c in ("doc", "ord", "depth", "wanted", "body")), strict=True):
                 if doc != current:
                     while stack:
                         close(None)
@@ -303,38 +339,83 @@ def rendered(nodes: DataFrame, tag: str, between: str = "\n", only: Column | Non
     return summed(nodes, wanted if only is None else wanted & only, between).select("doc", "anchor", "text")
 
 
-def segment_texts(nodes: DataFrame) -> DataFrame:
-    """(doc, ord, anchor, up, i, value): the texts of every node, keyed by their place in the document.
+def pieces(segments: pa.ListArray) -> Iterator[tuple[tuple, ...]]:
+    """Kind, value and ord of every row's segments, taken from Arrow a column at a time: a dict for each takes most of a pass."""
+    flat = segments.flatten()
+    named = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+    every = zip(*(listed(named[c]) for c in ("kind", "value", "ord")), strict=True)
+    for n in listed(segments.value_lengths().fill_null(0)):
+        yield tuple(islice(every, n)) if n else ()
 
-    A text before all children of its node stands right after the node; one behind a child stands after the last node
-    of the child's subtree, texts of deeper owners first. So (anchor, up, i) sorts a document's texts. An element
-    without segments has its cached text; comments and instructions have none.
-    """
-    element = F.col("kind") == "element" if "kind" in nodes.columns else F.lit(True)
-    n = with_end(nodes.select("doc", "ord", "depth", element.alias("element"), "segments", "body"))
-    n = materialise(n.drop("end"), "segments")
-    own = F.when(F.size(F.coalesce("segments", F.array())) > 0, F.col("segments")).otherwise(F.array(F.struct(F.lit("text").alias("kind"), F.col("body").alias("value"), F.lit(None).cast("int").alias("ord"))))
-    flat = n.where("element").select("doc", "ord", "depth", F.posexplode(own).alias("i", "s"))
-    so_far = Window.partitionBy("doc", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    flat = flat.withColumn("child", F.last(F.when(F.col("s.kind") == "child", F.col("s.ord")), ignorenulls=True).over(so_far))
-    texts = flat.where((F.col("s.kind") != "child") & (F.coalesce("s.value", F.lit("")) != "")).select("doc", "ord", "depth", "i", "child", F.col("s.value").alias("value"))
-    placed = texts.where("child is null").select("doc", "ord", F.col("ord").alias("anchor"), (-F.col("depth")).alias("up"), "i", "value")
-    tails = matched(texts.where("child is not null"), n.select("doc", F.col("ord").alias("child"), F.col("last").alias("anchor")), ["doc", "child"])
-    return placed.unionByName(tails.select("doc", "ord", "anchor", (-F.col("depth")).alias("up"), "i", "value"))
-
-
-def rendered_segments(nodes: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+
+def rendered_segments(nodes: DataFrame, wanted: list[str] | None = None, dealt: bool = False) -> DataFrame:
     """(doc, anchor, text): the texts of each element with a wanted tag (None: of every one) and of all below, tails included.
 
-    Each text goes to the wanted nodes above it and is sorted there by its place: one aggregate, no recursion.
-    Elements without any text have an empty one.
+    One pass over a document in order: a node's segments before its first child go out where it begins, those behind
+    a child where that child's subtree ends. An element without segments has its cached text; comments and
+    instructions have none. Only texts of open wanted nodes are held, and a node inside another gives it one text.
     """
-    elements = nodes.where("kind = 'element'") if "kind" in nodes.columns else nodes
-    above = with_ancestors(elements.select("doc", "ord", "depth", "tag"), tags=wanted).select("doc", "ord", F.explode("ancestors.ord").alias("of"))
-    parts = matched(segment_texts(nodes), above, ["doc", "ord"])
-    joined = parts.groupBy("doc", F.col("of").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("anchor", "up", "i", "value"))).alias("p"))  # one subtree
-    own = (elements.where(F.col("tag").isin(wanted)) if wanted is not None else elements).select("doc", F.col("ord").alias("anchor"))
-    return matched(own, joined, ["doc", "anchor"], "left").select("doc", "anchor", F.coalesce(F.array_join("p.value", ""), F.lit("")).alias("text"))
+    element = F.coalesce(F.col("kind") == "element", F.lit(False)) if "kind" in nodes.columns else F.lit(True)
+    want = element if wanted is None else element & F.coalesce(F.col("tag").isin(wanted), F.lit(False))
+    filled = F.coalesce(F.size("segments") > 0, F.lit(False))
+    light = nodes.select("doc", "ord", "depth", want.alias("wanted"), F.when(element & filled, F.col("segments")).alias("segments"), F.when(element & ~filled, F.col("body")).alias("body"))
+    made = StructType([nodes.schema["doc"], StructField("anchor", nodes.schema["ord"].dataType), StructField("text", StringType())])
+    names, types = made.names, [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, 0
+        stack: list[tuple] = []  # of every open node: depth, ord, whether wanted, texts of the wanted node at or next above it, its own behind each child
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            nonlocal held
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            out.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        def close(least: int) -> Iterator[pa.RecordBatch]:
+            """Ends the open nodes from the depth on."""
+            nonlocal held
+            while stack and stack[-1][0] >= least:
+                _, ord_, want, texts, _ = stack.pop()
+                above, tails = stack[-1][3:] if stack else (None, None)
+                if want:
+                    text = "".join(texts)
+                    out.append((current, ord_, text))
+                    held += len(text)
+                    if above is not None:
+                        above.append(text)
+                if above is not None and tails:
+                    above += tails.pop(ord_, ())
+                if held > BATCH_CHARS:
+                    yield rows()
+
+        for b in batches:
+            plain = (listed(b.column(c)) for c in ("doc", "ord", "depth", "wanted", "body"))
+            for doc, ord_, depth, want, body, segments in zip(*plain, pieces(b.column("segments")), strict=True):
+                if doc != current:
+                    yield from close(0)
+                    current = doc
+                yield from close(depth)
+                texts = [] if want else stack[-1][3] if stack else None
+                tails: dict[int, list[str]] = {}
+                if texts is not None:
+                    if body:
+                        texts.append(body)
+                    to = texts
+                    for kind, value, child in segments:
+                        if kind == "child":
+                            to = to if child is None else tails.setdefault(child, [])
+                        elif kind is not None and value:
+                            to.append(value)
+                stack.append((depth, ord_, want, texts, tails))
+            yield rows()
+        yield from close(0)
+        yield rows()
+
+    light = light if dealt else light.repartition("doc").sortWithinPartitions("doc", "ord")
+    return light.mapInArrow(run, made)
 
 
 def display_labels(nodes: DataFrame, titles: dict[str, str]) -> DataFrame:

@@ -18,25 +18,34 @@ MOST = 100
 
 
 def law_nodes(spark, sf_dir):
-    """(doc, ord, parent, ordinal, path_index, depth, tag, num, label, body)."""
-    o = load(spark, sf_dir, "orders")
+    """(doc, ord, parent, ordinal, path_index, depth, tag, num, label, body). Rows are dealt by document as keys and numbers, in tasks by their number; texts are made there."""
+    o, line = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    tasks = tree.shares(o, line)
     part = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    o = o.select(F.col("o_custkey").alias("doc"), part.alias("k1"), F.year("o_orderdate").alias("k2"), F.col("o_orderkey").alias("k3"), F.month("o_orderdate").cast("string").alias("month"), "o_orderstatus")
-    none = lambda kind: F.lit(None).cast(kind)
-    tag = F.element_at(F.array(*[F.lit(p) for p in PARTS]), F.col("k1") + 1)
-    row = lambda d, depth, k1, k2, k3, k4, tag, num, label, body: d.select("doc", F.lit(depth).alias("depth"), k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), k3.cast("long").alias("k3"), k4.cast("long").alias("k4"), tag.alias("tag"), num.cast("string").alias("num"), label.cast("string").alias("label"), body.cast("string").alias("body"))
-    null = none("int")
-    roots = row(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), "c_name"), 0, null, null, null, null, F.lit("Law"), null, F.col("c_name"), null)
-    parts = row(o.select("doc", "k1", "o_orderstatus").distinct(), 1, F.col("k1"), null, null, null, tag, F.col("o_orderstatus"), tag, null)
-    chapters = row(o.select("doc", "k1", "k2").distinct(), 2, F.col("k1"), F.col("k2"), null, null, F.lit("Chapter"), F.col("k2"), F.concat(F.lit("Chapter "), F.col("k2").cast("string")), null)
-    articles = row(o, 3, F.col("k1"), F.col("k2"), F.col("k3"), null, F.lit("Article"), F.col("month"), F.concat(F.lit("Article "), "month"), null)
-    line = load(spark, sf_dir, "lineitem")
-    text = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from supplier "), F.col("l_suppkey").cast("string"), F.lit(" of "), F.col("l_quantity").cast("int").cast("string"))
-    lines = line.select(F.col("l_orderkey").alias("k3"), F.col("l_linenumber").alias("k4"), text.alias("body")).join(o, "k3")
-    sentences = row(lines, 4, F.col("k1"), F.col("k2"), F.col("k3"), F.col("k4"), F.lit("Sentence"), F.col("k4"), null, F.col("body"))
-    rows = roots.union(parts).union(chapters).union(articles).union(sentences)
+    o = o.select(F.col("o_custkey").alias("doc"), part.alias("k1"), F.year("o_orderdate").alias("k2"), F.col("o_orderkey").cast("long").alias("k3"), F.month("o_orderdate").cast("string").alias("month"), "o_orderstatus")
+    level = lambda d, depth, *columns: d.select("doc", F.lit(depth).alias("depth"), *columns)
+    roots = level(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), "c_name"), 0, F.col("c_name").alias("word"))
+    parts = level(o.select("doc", "k1", "o_orderstatus").distinct(), 1, "k1", F.col("o_orderstatus").alias("word"))
+    chapters = level(o.select("doc", "k1", "k2").distinct(), 2, "k1", "k2")
+    articles = level(o, 3, "k1", "k2", "k3", F.col("month").alias("word"))
+    lines = line.select(F.col("l_orderkey").cast("long").alias("k3"), F.col("l_linenumber").cast("long").alias("k4"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("quantity"))
+    sentences = level(lines.join(o, "k3"), 4, "k1", "k2", "k3", "k4", "l_partkey", "l_suppkey", "quantity")
+    rows = roots
+    for below in (parts, chapters, articles, sentences):
+        rows = rows.unionByName(below, allowMissingColumns=True)
+    rows = rows.repartition(tasks, "doc")
+    word, year, at = F.col("word").cast("string"), F.col("k2").cast("string"), F.col("depth")
+    of_part = F.element_at(F.array(*[F.lit(p) for p in PARTS]), F.col("k1") + 1)
+    tag = F.when(at == 0, "Law").when(at == 1, of_part).when(at == 2, "Chapter").when(at == 3, "Article").otherwise("Sentence")
+    text = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from supplier "), F.col("l_suppkey").cast("string"), F.lit(" of "), F.col("quantity").cast("string"))
+    rows = rows.select(
+        "doc", "depth", "k1", "k2", "k3", "k4", tag.alias("tag"),
+        F.when(at.isin(1, 3), word).when(at == 2, year).when(at == 4, F.col("k4").cast("string")).alias("num"),
+        F.when(at == 0, word).when(at == 1, of_part).when(at == 2, F.concat(F.lit("Chapter "), year)).when(at == 3, F.concat(F.lit("Article "), word)).alias("label"),
+        text.alias("body"),
+    )
     order = [F.asc_nulls_first(c) for c in ("k1", "k2", "k3", "k4", "body")]
-    return tree.numbered(rows, order).drop("k1", "k2", "k3", "k4")
+    return tree.numbered(rows, order, dealt=True).drop("k1", "k2", "k3", "k4")
 
 
 def nodes_of(spark, sf_dir):
@@ -110,15 +119,14 @@ def rendered_articles(spark, sf_dir):
     return tree.rendered(nodes_of(spark, sf_dir), "Article").select("doc", "anchor", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
 
 
-def mixed_content(n):
+def mixed_content(n, dealt=False):
     """Nodes with segments: articles and chapters begin with a text of their own, and a text follows each of their children."""
-    below = n.where("parent is not null").groupBy("doc", F.col("parent").alias("ord")).agg(F.array_sort(F.collect_list("ord")).alias("children"))
     mark = F.when(F.col("tag") == "Article", ". ").when(F.col("tag") == "Chapter", "; ")
     segment = lambda kind, value, at: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), at.cast("int").alias("ord"))
     none = F.lit(None)
     after = F.flatten(F.transform(F.coalesce("children", F.array().cast("array<int>")), lambda c: F.array(segment("child", none, c), segment("tail", F.col("mark"), none))))
     own = F.array(segment("text", F.when(F.col("mark").isNotNull(), F.concat("label", F.lit(": "))), none))
-    joined = tree.matched(n, below, ["doc", "ord"], "left").withColumn("mark", mark)
+    joined = tree.with_children(n, dealt).withColumn("mark", mark)
     return joined.withColumn("segments", F.when(F.col("children").isNotNull() | F.col("mark").isNotNull(), F.concat(own, after))).drop("children", "mark")
 
 
@@ -128,14 +136,17 @@ def mixed_content(n):
 SELECT doc, ord AS anchor, sha256(t) AS sha, length(t) AS n_chars FROM (SELECT doc, ord, t FROM a UNION ALL SELECT doc, ord, t FROM c UNION ALL SELECT doc, ord, t FROM l)""")
 def rendered_mixed(spark, sf_dir):
     """Articles, chapters and whole documents rendered from mixed content, texts between and behind children included."""
-    rendered = tree.rendered_segments(mixed_content(nodes_of(spark, sf_dir)), ["Article", "Chapter", "Law"])
+    small_batches(spark)
+    nodes = law_nodes(spark, sf_dir).select("doc", "ord", "depth", "tag", "label", "body")
+    rendered = tree.rendered_segments(mixed_content(nodes, dealt=True), ["Article", "Chapter", "Law"], dealt=True)
     return rendered.select("doc", "anchor", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
 
 
 @query()
 def rendered_pages(spark, sf_dir):
     """The text of every block of every page, as a browser's textContent gives it."""
-    nodes = materialise(page_tree_nodes(spark, sf_dir), "nodes")
+    small_batches(spark)
+    nodes = page_tree_nodes(spark, sf_dir)
     return tree.rendered_segments(nodes, ["body", "div", "p", "li", "td", "title"]).select("doc", "anchor", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
 
 
@@ -269,7 +280,7 @@ def node_checks(spark, sf_dir):
 
 def checked(n, most=tree.TASK_ROWS):
     """The checks of a stored node table. Joins and distinct counts are dealt so that a task has some most rows, however many there are."""
-    tasks = tree.shares(n, most)
+    tasks = tree.shares(n, most=most)
     dealt = lambda rows, *keys: rows.repartition(tasks, *keys)
     below = n.where("parent is not null")
     roots = n.groupBy("doc").agg(F.count_if(F.col("parent").isNull()).alias("roots"), F.count("*").alias("k"))

@@ -4,6 +4,7 @@ import random
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,45 @@ def test_checks_of_broken_nodes_equal_sql_with_bounded_tasks(spark):
     assert all(got.values())
     plan = checked._jdf.queryExecution().executedPlan().toString()
     assert f", {-(-len(rows) // 50)}), REPARTITION_BY_NUM" in plan
+
+
+def test_mixed_content_rendered_in_one_pass(some, spark, monkeypatch):
+    """Children, segments and texts, also of nodes inside one another, equal brute force; nodes are dealt once, none are stored."""
+    from chronolex.plans import structure
+
+    rows, df = some
+    names = {"a": "Article", "b": "Chapter", "c": "Sentence"}
+    tagged = df.replace(names, subset="tag").withColumn("body", F.when(F.col("ord") % 5 > 0, F.concat(F.lit("t"), F.col("ord").cast("string"))))
+    kids, by = {}, {(r[0], r[1]): r for r in rows}
+    for r in rows:
+        kids.setdefault((r[0], r[2]), []).append(r[1])
+
+    def text(doc, ord_):
+        tag, label, mark = names[by[doc, ord_][4]], by[doc, ord_][6], {"a": ". ", "b": "; ", "c": ""}[by[doc, ord_][4]]
+        below = kids.get((doc, ord_), [])
+        if not below and tag == "Sentence":
+            return f"t{ord_}" if ord_ % 5 else ""
+        own = f"{label}: " if mark and label is not None else ""
+        return own + "".join(text(doc, k) + mark for k in below)
+
+    assert {(r.doc, r.ord): r.children for r in nodes.with_children(tagged).collect()} == {k: kids.get(k) for k in by}
+    want = {k: text(*k) for k in by if by[k][4] != "c"}
+    for most in (1_000_000, 5):
+        monkeypatch.setattr(nodes, "BATCH_CHARS", most, raising=False)
+        made = nodes.rendered_segments(mixed_content(tagged), ["Article", "Chapter"])
+        assert {(r.doc, r.anchor): r.text for r in made.collect()} == want
+    fused = structure.rendered_mixed(spark, SF)
+    assert fused._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert {f.rsplit("/", 2)[-2] for f in fused.inputFiles()} == {"sf0.001"}
+    assert nodes.rendered_segments(mixed_content(tagged.limit(0))).count() == 0
+
+
+def test_segments_behind_children(spark):
+    """Texts follow the child named last, however often it is named; a null kind is no text; columns are read as they are."""
+    kind = "doc string, ord long, depth int, tag string, kind string, segments array<struct<kind string, value string, ord long>>, body string"
+    top = [("text", "A", None), ("child", None, 2), ("tail", "B", None), ("child", None, None), ("tail", "C", None), (None, "no", None), ("child", None, 3), ("child", None, 2), ("tail", "D", None), ("child", None, 3), ("tail", "E", None)]
+    df = spark.createDataFrame([("d", 1, 0, "a", "element", top, "no"), ("d", 2, 1, "b", "element", None, "x"), ("d", 3, 1, None, "comment", None, "no"), ("e", 1, 0, "b", "element", [("text", None, None)], "no")], kind)
+    assert {(r.doc, r.anchor): r.text for r in nodes.rendered_segments(df).collect()} == {("d", 1): "AxBCDE", ("d", 2): "x", ("e", 1): ""}
+    for values in (["a", None, ""], [1, None, 3], [2**62 + 1, None], [True, None], [True, False], [[1], None], [None]):
+        column = pa.array(values)
+        assert nodes.listed(column) == values and nodes.listed(column[1:]) == values[1:]
